@@ -7,7 +7,7 @@ import importlib
 
 from loomtable.plans.suite.base import QUERIES, SQL
 
-MODULES = ("columns",)
+MODULES = ("columns", "tables", "joins", "grouping", "windows")
 
 
 def load() -> tuple[dict, dict]:

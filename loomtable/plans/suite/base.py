@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomtable.session import ensure_checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -30,6 +33,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, for results written and read back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/results-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
 
