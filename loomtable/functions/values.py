@@ -19,7 +19,9 @@ WHITE_SPACE = ("\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\
 PLACEHOLDER_TEXT = ("N/A", "NA", "null", "NULL")
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_DATE = r"^([0-9]{1,6})[-/]([0-9]{1,2})[-/]([0-9]{1,2})$"
+_DATE = r"^[0-9]{4,6}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
+_TIME = r"^[0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?$"
+_DAY_ZERO = "1970-01-01"
 
 
 def strip(c: Column) -> Column:
@@ -98,35 +100,31 @@ def two_decimal_number(c: Column) -> Column:
 
 
 def _calendar_date(t: Column) -> Column:
-    parts = [F.regexp_extract(t, _DATE, i) for i in (1, 2, 3)]
-    iso = F.concat_ws("-", F.lpad(parts[0], 4, "0"), *[F.lpad(p, 2, "0") for p in parts[1:]])
-    return F.when(t.rlike(_DATE), iso.try_cast("date"))
+    return F.when(t.rlike(_DATE), F.replace(t, F.lit("/"), F.lit("-")).try_cast("date"))
 
 
 def date_from_text(c: Column) -> Column:
     """Date of ``y-m-d`` or ``y/m/d`` text, with or without a time after it."""
-    return _calendar_date(F.split(strip(c), "[ T]").getItem(0))
+    return _calendar_date(F.regexp_replace(strip(c), "(?s)[ T].*$", ""))
 
 
-def seconds_from_time_text(c: Column) -> Column:
-    """``h:m`` or ``h:m:s`` text -> second of the day, else null."""
-    rx = r"^([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?$"
+def time_from_text(c: Column) -> Column:
+    """``h:m`` or ``h:m:s`` text -> that time on day zero, else null."""
     t = strip(c)
-    part = [F.regexp_extract(t, rx, i) for i in (1, 2, 3)]
-    h, m, s = (F.coalesce(p.try_cast("int"), F.lit(0)) for p in part)
-    ok = t.rlike(rx) & (h <= 23) & (m <= 59) & (s <= 59)
-    return F.when(ok, h * 3600 + m * 60 + s)
+    return F.when(t.rlike(_TIME), F.concat(F.lit(_DAY_ZERO + " "), t).try_cast("timestamp_ntz"))
 
 
 def time_of_day(c: Column) -> Column:
-    """Second of the day from the last piece of a time or date-time text."""
-    return seconds_from_time_text(F.element_at(F.split(strip(c), "[ T]"), -1))
+    """Time from the last piece of a time or date-time text, on day zero."""
+    return time_from_text(F.regexp_replace(strip(c), "(?s)^.*[ T]", ""))
 
 
-def clock(seconds: Column) -> Column:
-    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600),
-                           F.floor(F.pmod(seconds, F.lit(3600)) / 60),
-                           F.pmod(seconds, F.lit(60)))
+def clock(time: Column) -> Column:
+    return F.date_format(time, "HH:mm:ss")
+
+
+def clock_of_seconds(seconds: Column) -> Column:
+    return clock(F.timestamp_add("SECOND", seconds, F.lit(_DAY_ZERO).cast("timestamp_ntz")))
 
 
 def any_date(c: Column) -> Column:
@@ -136,7 +134,7 @@ def any_date(c: Column) -> Column:
     has_tail = t.rlike("-" + "[0-9]{1,2}" + tail)
     clock_text = F.regexp_extract(t, r"[ T]([0-9:]+)$", 1)
     dated = _calendar_date(F.regexp_replace(t, r"[ T][0-9:]+$", ""))
-    return (F.when(has_tail & seconds_from_time_text(clock_text).isNotNull(), dated)
+    return (F.when(has_tail & time_from_text(clock_text).isNotNull(), dated)
             .otherwise(_calendar_date(t)))
 
 

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from loomtable.functions.checks import dtype_of, need_columns, need_distinct, need_some
-from loomtable.functions.values import (clock, date_from_text, is_blank, parse_number,
-                                        seconds_from_time_text, strip, text_of)
+from loomtable.functions.values import (clock, clock_of_seconds, date_from_text, is_blank,
+                                        parse_number, strip, text_of, time_of_day)
 from loomtable.registry import operator
 
 
@@ -51,17 +51,16 @@ def parse_datetime_columns(df: DataFrame, rules: list[dict]) -> DataFrame:
         serial = F.when(serial >= 0, serial)
         second = F.round((serial - F.floor(serial)) * 86400).cast("int")
         late = second >= 86400
-        serial_day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int") + F.when(late, 1).otherwise(0))
-        serial_second = F.when(late, 0).otherwise(second)
+        serial_day = F.date_add(F.lit("1899-12-30").cast("date"),
+                                F.floor(serial).cast("int") + F.when(late, 1).otherwise(0))
         if r["target_type"] == "date":
             parsed = F.coalesce(day, serial_day).cast("string")
         elif r["target_type"] == "datetime":
             tail = F.regexp_extract(strip(t), r"(?s)^[^\sT]+[\sT](.*)$", 1)
-            seconds = F.when(strip(tail) == "", 0).otherwise(seconds_from_time_text(tail))
-            parsed = F.coalesce(
-                F.when(day.isNotNull(), F.concat(day.cast("string"), F.lit(" "), clock(seconds))),
-                F.when(day.isNull(), F.concat(serial_day.cast("string"), F.lit(" "),
-                                              clock(serial_second))))
+            time = F.when(strip(tail) == "", "00:00:00").otherwise(clock(time_of_day(tail)))
+            serial_time = clock_of_seconds(F.when(late, 0).otherwise(second))
+            parsed = F.coalesce(F.concat(day.cast("string"), F.lit(" "), time),
+                                F.concat(serial_day.cast("string"), F.lit(" "), serial_time))
         else:
             raise ValueError(f"unknown target type {r['target_type']!r}")
         problem = F.raise_error(F.concat(

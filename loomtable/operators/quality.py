@@ -184,7 +184,7 @@ def _date_observations(df, columns, place):
 
 
 def _time_observations(df, columns, place):
-    hour = lambda cell: F.floor(time_of_day(cell) / 3600)
+    hour = lambda cell: F.hour(time_of_day(cell))
     by_hour = _counts_by(df, columns, hour).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     by_part = (by_hour.withColumn("period", F.when(F.col("value").isNotNull(), day_period(F.col("value"))))
                .groupBy("column_name", "period")

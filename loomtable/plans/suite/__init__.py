@@ -7,7 +7,8 @@ import importlib
 
 from loomtable.plans.suite.base import QUERIES, SQL
 
-MODULES = ("columns", "tables", "joins", "grouping", "windows")
+MODULES = ("columns", "tables", "joins", "grouping", "windows", "quality", "statistics",
+           "business")
 
 
 def load() -> tuple[dict, dict]:

@@ -214,7 +214,7 @@ def scalar_text_rules(spark, sf):
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     as_float = e.select("event_id", "ts", "value", F.col("event_id").cast("double").alias("k"))
     return as_float.select(
-        "event_id", day_period(F.floor(time_of_day(stamp) / 3600)).alias("part_of_day"),
+        "event_id", day_period(F.hour(time_of_day(stamp))).alias("part_of_day"),
         year_month("ts").alias("month"),
         F.round(parse_loose_number(F.concat(F.col("value").cast("string"), F.lit("%"))), 6).alias("share"),
         parse_loose_number(F.format_number(F.col("value") + 1000, 2)).alias("amount"),
