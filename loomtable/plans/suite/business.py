@@ -13,7 +13,7 @@ from loomtable.plans.suite.base import Tables, query, rounded
 
 _SALES = """
     WITH s AS (SELECT o_orderdate AS order_date, p_brand AS shop, p_type AS category, n_name AS city,
-                      l_extendedprice AS sale_price, l_extendedprice * (0.055 - l_discount) / 1.07 AS profit
+                      l_extendedprice AS sale_price, l_extendedprice * (0.055 - l_discount) * sqrt(0.9::DOUBLE) AS profit
                FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
                JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
 _RATE = "CASE WHEN abs(sum(sale_price)) < 1e-9 THEN 0 ELSE sum(profit) / sum(sale_price) END"
@@ -28,7 +28,7 @@ def _sales(spark, sf):
     return rows.select(F.col("o_orderdate").alias("order_date"), F.col("p_brand").alias("shop"),
                        F.col("p_type").alias("category"), F.col("n_name").alias("city"),
                        F.col("l_extendedprice").alias("sale_price"),
-                       (F.col("l_extendedprice") * (0.055 - F.col("l_discount")) / 1.07).alias("profit"))
+                       (F.col("l_extendedprice") * (0.055 - F.col("l_discount")) * F.sqrt(F.lit(0.9))).alias("profit"))
 
 
 def _money(df, more=()):
