@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomtable.functions.checks import need_columns
 from loomtable.operators.bars import SNAPSHOT, indicator_snapshot
 from loomtable.registry import operator
+from loomtable.session import cut_lineage
 
 C = F.col
 # The breakout outcomes that settle a structure.
@@ -220,6 +221,7 @@ def contextual_alignment(signals: DataFrame, proxies: DataFrame) -> DataFrame:
     """
     need_columns(signals, ["symbol", "bias"])
     need_columns(proxies, ["symbol", "market_symbol", "sector_symbol"])
+    signals = cut_lineage(signals)  # read three times below; one row per symbol
     other = lambda p: signals.select(C("symbol").alias(f"{p}_symbol"), C("bias").alias(f"{p}_bias"))
     rows = (signals.join(proxies, "symbol").join(other("market"), "market_symbol").join(other("sector"), "sector_symbol"))
     own, market, sector = (bias_direction(C(b)) for b in ("bias", "market_bias", "sector_bias"))

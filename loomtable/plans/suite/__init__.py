@@ -8,7 +8,7 @@ import importlib
 from loomtable.plans.suite.base import QUERIES, SQL
 
 MODULES = ("columns", "tables", "joins", "grouping", "windows", "quality", "statistics",
-           "business", "prices")
+           "business", "prices", "signals")
 
 
 def load() -> tuple[dict, dict]:
