@@ -8,7 +8,8 @@ import importlib
 from loomtable.plans.suite.base import QUERIES, SQL
 
 MODULES = ("columns", "tables", "joins", "grouping", "windows", "quality", "statistics",
-           "business", "prices", "signals")
+           "business", "prices", "signals",
+           "disclosures", "concepts", "capacity")
 
 
 def load() -> tuple[dict, dict]:
