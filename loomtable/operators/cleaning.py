@@ -39,35 +39,43 @@ def normalize_text_columns(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 @operator("parse_datetime_columns")
 def parse_datetime_columns(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """Date texts and spreadsheet serial days -> ISO text; anything else is an error."""
+    """Date texts and spreadsheet serial days -> ISO text; anything else is an error.
+
+    The pieces are made in steps of their own, so each is worked out once a row.
+    """
     need_some(rules, "rule")
     need_columns(df, [r["column"] for r in rules])
     need_distinct([r["column"] for r in rules], "column rule")
-    out = {}
     for r in rules:
-        t = text_of(df, r["column"])
-        day = date_from_text(t)
-        serial = parse_number(strip(t))
-        serial = F.when(serial >= 0, serial)
-        second = F.round((serial - F.floor(serial)) * 86400).cast("int")
+        if r["target_type"] not in ("date", "datetime"):
+            raise ValueError(f"unknown target type {r['target_type']!r}")
+    n = range(len(rules))
+    out = df.withColumns({f"__t{i}": strip(text_of(df, rules[i]["column"])) for i in n})
+    out = out.withColumns({
+        **{f"__d{i}": date_from_text(F.col(f"__t{i}")) for i in n},
+        **{f"__n{i}": parse_number(F.col(f"__t{i}")) for i in n},
+        **{f"__w{i}": F.regexp_extract(f"__t{i}", r"(?s)^[^\sT]+[\sT](.*)$", 1)
+           for i in n if rules[i]["target_type"] == "datetime"}})
+    out = out.withColumns({f"__s{i}": F.round((F.col(f"__n{i}") - F.floor(f"__n{i}")) * 86400).cast("int") for i in n})
+    final = {}
+    for i, r in enumerate(rules):
+        t, day, serial, second = (F.col(f"__{k}{i}") for k in "tdns")
         late = second >= 86400
-        serial_day = F.date_add(F.lit("1899-12-30").cast("date"),
-                                F.floor(serial).cast("int") + F.when(late, 1).otherwise(0))
+        serial_day = F.when(serial >= 0, F.date_add(
+            F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int") + F.when(late, 1).otherwise(0)))
         if r["target_type"] == "date":
             parsed = F.coalesce(day, serial_day).cast("string")
-        elif r["target_type"] == "datetime":
-            tail = F.regexp_extract(strip(t), r"(?s)^[^\sT]+[\sT](.*)$", 1)
-            time = F.when(strip(tail) == "", "00:00:00").otherwise(clock(time_of_day(tail)))
-            serial_time = clock_of_seconds(F.when(late, 0).otherwise(second))
-            parsed = F.coalesce(F.concat(day.cast("string"), F.lit(" "), time),
-                                F.concat(serial_day.cast("string"), F.lit(" "), serial_time))
         else:
-            raise ValueError(f"unknown target type {r['target_type']!r}")
+            tail = F.col(f"__w{i}")
+            time = F.when(tail == "", "00:00:00").otherwise(clock(time_of_day(tail)))
+            parsed = F.coalesce(
+                F.concat(day.cast("string"), F.lit(" "), time),
+                F.concat(serial_day.cast("string"), F.lit(" "), clock_of_seconds(F.when(late, 0).otherwise(second))))
         problem = F.raise_error(F.concat(
             F.lit(f"column {r['column']}: not a {r['target_type']}: "), t)).cast("string")
-        out[r["column"]] = F.when(is_blank(df, r["column"]), t).otherwise(
-            F.coalesce(parsed, problem))
-    return df.withColumns(out)
+        blank = t.isNull() | (t == "")
+        final[r["column"]] = F.when(blank, text_of(df, r["column"])).otherwise(F.coalesce(parsed, problem))
+    return out.withColumns(final).select(*df.columns)
 
 
 @operator("fill_missing_values")

@@ -16,7 +16,7 @@ from loomtable.functions.values import strip
 from loomtable.operators.ordering import keep_one_per_key
 from loomtable.operators.windows import number_rows
 from loomtable.registry import operator
-from loomtable.session import cut_lineage
+from loomtable.session import cut_lineage, spread
 
 # Relation types between concepts.
 RELATION_TYPES = ("parent_of", "child_of", "depends_on", "supports", "references", "adjacent_to")
@@ -55,8 +55,8 @@ def route_questions(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     keys = check_aliases(aliases)
     longest = keys.agg(F.max(F.size(F.split("alias_key", " ")))).first()[0] or 1
     words = questions.select("question_id", word_list(F.col("question")).alias("w"))
-    places = words.select("question_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("start")
-                          ).filter(F.size("w") > 0)
+    places = words.select("question_id", "w", F.posexplode_outer("w").alias("p", "one")).filter(F.col("p").isNotNull())
+    places = places.select("question_id", "w", (F.col("p") + 1).alias("start"))
     spans = places.select("question_id", "start", F.explode(F.sequence(F.lit(1), F.least(
         F.lit(longest), F.size("w") - F.col("start") + 1))).alias("length"), "w")
     spans = spans.select("question_id", "start", "length",
@@ -123,17 +123,24 @@ def roam_concepts(routes: DataFrame, relations: DataFrame, relation_types: list[
 def retrieve_nodes(questions: DataFrame, scope: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes of the concepts in scope, scored by shared words; no zero scores.
 
-    Question and node meet on ids first; the words are attached to the distinct
-    pairs after that.
+    Question and node meet on (concept, word), so only shared words make rows.
+    All words of a node sit in one task, which adds them up before the shuffle.
+    A node of several concepts counts under the first one in scope.
     """
     need_columns(nodes, ["node_id", "title", "body", "concept_ids"])
-    owned = nodes.select("node_id", F.explode("concept_ids").alias("concept_id"))
-    pairs = scope.select("question_id", "concept_id").join(owned, "concept_id").select("question_id", "node_id").distinct()
-    asked = questions.select("question_id", word_set(F.col("question")).alias("qw"))
-    held = nodes.select("node_id", F.array_union(word_set(F.col("title")), word_set(F.col("body"))).alias("nw"))
-    scored = pairs.join(asked, "question_id").join(held, "node_id")
-    return (scored.select("question_id", "node_id", F.size(F.array_intersect("qw", "nw")).cast("bigint").alias("score"))
-            .filter("score > 0"))
+    asked = (questions.select("question_id", F.explode_outer(word_set(F.col("question"))).alias("word"))
+             .filter(F.col("word").isNotNull()))
+    wide = scope.groupBy("question_id").agg(F.collect_set("concept_id").alias("scope"))
+    wanted = scope.select("question_id", "concept_id").distinct().join(wide, "question_id").join(asked, "question_id")
+    held = spread(nodes.select("node_id", "title", "body", "concept_ids")).select(
+        "node_id", F.array_distinct("concept_ids").alias("concepts"),
+        F.array_union(word_set(F.col("title")), word_set(F.col("body"))).alias("nw"))
+    held = held.select("node_id", "concepts", F.explode_outer("nw").alias("word"))
+    held = held.select("node_id", "concepts", "word", F.explode_outer("concepts").alias("concept_id"))
+    first = F.get(F.filter("concepts", lambda c: F.array_contains(F.col("scope"), c)), F.lit(0))
+    counted = F.when(F.size("concepts") == 1, True).otherwise(first == F.col("concept_id"))
+    return (held.join(wanted, ["concept_id", "word"]).filter(counted)
+            .groupBy("question_id", "node_id").agg(F.count(F.lit(1)).alias("score")))
 
 
 @operator("assemble_citations")

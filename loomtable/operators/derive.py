@@ -60,7 +60,8 @@ def derive_columns(df: DataFrame, derivations: list[dict]) -> DataFrame:
                              d["else_value"])
         elif kind == "bucketize":
             need_columns(df, [d["source_column"]])
-            v = number_of(df, d["source_column"])
+            df = df.withColumn("__v", number_of(df, d["source_column"]))
+            v = F.col("__v")
             c = _first_match([(_in_range(v, b.get("min_inclusive"), b.get("max_exclusive")),
                                b["label"]) for b in d["buckets"]], d["else_value"])
         elif kind == "score_rules":
@@ -69,7 +70,8 @@ def derive_columns(df: DataFrame, derivations: list[dict]) -> DataFrame:
                 c = c + F.when(condition(df, r["when"]), int(r["score"])).otherwise(0)
         elif kind == "date_bucketize":
             need_columns(df, [d["source_column"]])
-            v = any_date(text_of(df, d["source_column"]))
+            df = df.withColumn("__v", any_date(text_of(df, d["source_column"])))
+            v = F.col("__v")
             c = _first_match([(_in_range(v, _day(b.get("start_inclusive")),
                                          _day(b.get("end_exclusive"))), b["label"])
                               for b in d["buckets"]], d["else_value"])
@@ -77,5 +79,5 @@ def derive_columns(df: DataFrame, derivations: list[dict]) -> DataFrame:
             c = template_column(df, d["template"])
         else:
             raise ValueError(f"unknown derivation {kind!r}")
-        df = df.withColumn(d["output_column"], c)
+        df = df.withColumn(d["output_column"], c).drop("__v")
     return df

@@ -158,17 +158,24 @@ class Clusters:
     def assign(self, df: DataFrame) -> DataFrame:
         x = [F.col(f"`{f}`").cast("double") for f in self.features]
         whole = reduce(Column.__and__, [c.isNotNull() for c in x])
-        return df.filter(whole).withColumn("cluster_id", _nearest(x, self.centers)["id"])
+        return (_with_nearest(df.filter(whole), x, self.centers).withColumnRenamed("__k", "cluster_id")
+                .drop("__d"))
 
 
 def _distance(x: list[Column], center: list[float]) -> Column:
     return reduce(Column.__add__, [(c - float(v)) * (c - float(v)) for c, v in zip(x, center)])
 
 
-def _nearest(x: list[Column], centers: list[list[float]]) -> Column:
-    """Struct(distance, id) of the nearest centre; the lowest id wins a tie."""
-    return F.array_min(F.array(*[F.struct(_distance(x, c).alias("distance"), F.lit(i).alias("id"))
-                                 for i, c in enumerate(centers)]))
+def _with_nearest(df: DataFrame, x: list[Column], centers: list[list[float]]) -> DataFrame:
+    """Adds ``__d`` (distance) and ``__k`` (id) of the nearest centre; the lowest
+    id wins a tie.  Distances are columns of their own, worked out once a row."""
+    names = [f"__d{i}" for i in range(len(centers))]
+    df = df.withColumns({n: _distance(x, c) for n, c in zip(names, centers)})
+    df = df.withColumn("__d", F.least(*names) if len(names) > 1 else F.col(names[0]))
+    k = F.lit(len(names) - 1)
+    for i in reversed(range(len(names) - 1)):
+        k = F.when(F.col(names[i]) == F.col("__d"), i).otherwise(k)
+    return df.withColumn("__k", k).drop(*names)
 
 
 def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id: str,
@@ -195,26 +202,26 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
             raise ValueError(f"{cluster_count} clusters need at least as many rows, not {first['n']}")
         centers = [list(first["c"])]
         while len(centers) < cluster_count:
-            far = data.select(_nearest(x, centers)["distance"].alias("d"), "id", *names).agg(
-                F.max_by(F.struct("d", *names), F.struct("d", -F.col("id"))).alias("c")).first()["c"]
-            if far["d"] <= 1e-12:
+            far = _with_nearest(data, x, centers).agg(
+                F.max_by(F.struct("__d", *names), F.struct("__d", -F.col("id"))).alias("c")).first()["c"]
+            if far["__d"] <= 1e-12:
                 raise ValueError(f"only {len(centers)} distinct points for {cluster_count} clusters")
             centers.append([far[n] for n in names])
         for _ in range(max(1, max_iterations)):
-            rows = (data.select(_nearest(x, centers)["id"].alias("k"), *names).groupBy("k")
+            rows = (_with_nearest(data, x, centers).groupBy("__k")
                     .agg(*[F.avg(n).alias(n) for n in names]).collect())
             moved = [list(c) for c in centers]
             for r in rows:
-                moved[r["k"]] = [r[n] for n in names]
+                moved[r["__k"]] = [r[n] for n in names]
             still = np.allclose(moved, centers, rtol=1e-12, atol=1e-12)
             centers = moved
             if still:
                 break
-        near = data.select(_nearest(x, centers).alias("m"))
-        final = near.groupBy("m.id").agg(F.count(F.lit(1)).alias("n"), F.sum("m.distance").alias("d")).collect()
+        final = (_with_nearest(data, x, centers).groupBy("__k")
+                 .agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("d")).collect())
         sizes = [0] * cluster_count
         for r in final:
-            sizes[r["id"]] = r["n"]
+            sizes[r["__k"]] = r["n"]
         if 0 in sizes:
             raise ValueError("a cluster is empty")
         return Clusters(list(features), centers, sizes, float(sum(r["d"] for r in final)), first["n"])

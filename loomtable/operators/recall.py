@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtable.functions.checks import need_columns
 from loomtable.registry import operator
+from loomtable.session import cut_lineage
 
 # Parameters of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -15,43 +16,60 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsAlphabetic}\p{N}_]+)"), F.lit(1))
 
 
+@operator("recall_index")
+def recall_index(memories: DataFrame) -> DataFrame:
+    """Word counts per memory (memory_id, dl, term, tf), written out once.
+
+    One shuffle by memory serves the counts here and the sums of a later recall.
+    """
+    need_columns(memories, ["memory_id", "text"])
+    counted = memories.select("memory_id", "text").repartition("memory_id").select(
+        "memory_id", words(F.col("text")).alias("w"))
+    # an outer explode keeps the tokenising below it from being repeated in filters
+    rows = counted.select("memory_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
+    return cut_lineage(rows.groupBy("memory_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
 @operator("recall_situations")
-def recall_situations(memories: DataFrame, situations: DataFrame, n_matches: int = 1) -> DataFrame:
+def recall_situations(memories: DataFrame, situations: DataFrame, n_matches: int = 1,
+                      index: DataFrame | None = None) -> DataFrame:
     """Best memories per situation, with the score relative to the best one.
 
     ``memories`` has memory_id and text, ``situations`` situation_id and text.
-    Term weights are joined to the words of the situations; a memory that
-    shares no word scores zero and only fills places that would stay empty.
+    A memory that shares no word scores zero and only fills places that would
+    stay empty.
     """
-    need_columns(memories, ["memory_id", "text"])
     need_columns(situations, ["situation_id", "text"])
     if n_matches < 1:
         raise ValueError("n_matches must be positive")
-    counted = memories.select("memory_id", words(F.col("text")).alias("w"))
-    lengths = counted.select("memory_id", F.size("w").alias("dl"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
+    terms = recall_index(memories) if index is None else index
+    size = terms.select("memory_id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
     total, mean_length = size["n"], size["avg"]
-    terms = (counted.select("memory_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-             .groupBy("memory_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    asked = (situations.select("situation_id", F.explode(words(F.col("text"))).alias("term"))
-             .groupBy("situation_id", "term").agg(F.count(F.lit(1)).alias("qf")))
+    terms = terms.filter(F.col("term").isNotNull())
     freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(total - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = freq.select("term", idf.alias("idf"))
-    floor = EPSILON * (weights.agg(F.avg("idf")).first()[0] or 0.0)
-    weights = weights.select("term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
-    # only terms that are asked for leave the memory side
-    asked = asked.join(weights, "term")
+    floor = EPSILON * (freq.agg(F.avg(idf)).first()[0] or 0.0)
+    weights = freq.select("term", F.when(idf < 0, floor).otherwise(idf).alias("idf"))
+    asked = (situations.select("situation_id", F.explode_outer(words(F.col("text"))).alias("term"))
+             .filter(F.col("term").isNotNull())
+             .groupBy("situation_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(weights, "term"))
     part = F.col("idf") * F.col("qf") * (F.col("tf") * (K1 + 1)) / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
     scores = terms.join(asked, "term").groupBy("situation_id", "memory_id").agg(F.sum(part).alias("score"))
-    first = [r[0] for r in memories.select("memory_id").orderBy("memory_id").limit(n_matches).collect()]
-    spare = situations.select("situation_id", F.explode(F.array(*[F.lit(i) for i in first])).alias("memory_id"))
-    spare = spare.join(scores, ["situation_id", "memory_id"], "left_anti").withColumn("score", F.lit(0.0))
-    ranked = scores.unionByName(spare)
     # equal texts score alike up to the order of addition: the lower id goes first
     w = Window.partitionBy("situation_id").orderBy(F.round("score", 9).desc(), "memory_id")
-    best = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_matches)
-    top = F.max("score").over(Window.partitionBy("situation_id"))
-    return best.select("situation_id", "memory_id", F.col("rank").cast("bigint").alias("rank"), "score",
-                       (F.col("score") / F.when(top > 0, top).otherwise(1.0)).alias("similarity_score"))
+    best = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_matches)
+            .groupBy("situation_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id", "score"))).alias("b")))
+    kept = situations.select("situation_id").join(best, "situation_id", "left")
+    found = F.transform(F.coalesce("b", F.array().cast(best.schema["b"].dataType)),
+                        lambda x: F.struct(x["memory_id"].alias("memory_id"), x["score"].alias("score")))
+    first = [r[0] for r in memories.select("memory_id").orderBy("memory_id").limit(n_matches).collect()]
+    spare = F.filter(F.array(*[F.struct(F.lit(i).alias("memory_id"), F.lit(0.0).alias("score")) for i in first]),
+                     lambda x: ~F.exists(F.col("f"), lambda y: y["memory_id"] == x["memory_id"]))
+    filled = kept.select("situation_id", found.alias("f")).select(
+        "situation_id", F.slice(F.concat("f", spare), 1, n_matches).alias("f"))
+    top = F.array_max("f.score")
+    return filled.select("situation_id", F.when(top > 0, top).otherwise(1.0).alias("top"),
+                         F.posexplode("f").alias("p", "x")).select(
+        "situation_id", F.col("x.memory_id").alias("memory_id"), (F.col("p") + 1).cast("bigint").alias("rank"),
+        F.col("x.score").alias("score"), (F.col("x.score") / F.col("top")).alias("similarity_score"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtable.operators.concepts import navigate, retrieve_nodes, roam_concepts, route_questions, word_list
 from loomtable.operators.recall import recall_situations
+from loomtable.operators.windows import number_rows
 from loomtable.plans.suite.base import Tables, query
 
 # Concepts: one per source of the documents; its aliases are pairs of words.
@@ -33,12 +34,12 @@ def _ontology(spark, sf):
     t = Tables(spark, sf)
     sources = t.documents.select("source").distinct()
     n = sources.count()
-    src = sources.select("source", (F.row_number().over(_all("source")) - 1).alias("i"))
+    src = number_rows(sources, [], ["source"], "i").withColumn("i", F.col("i") - 1)
     w = t.benchmark.select("item_id", word_list(F.lower("text")).alias("w"))
     grams = w.select(F.explode(F.when(F.size("w") > 1, F.transform(
         F.sequence(F.lit(1), F.size("w") - 1), lambda s: F.array_join(F.slice("w", s, 2), " ")))).alias("alias")).distinct()
     words = w.select(F.explode("w").alias("alias")).distinct()
-    number = lambda df: df.withColumn("g", F.row_number().over(_all("alias")))
+    number = lambda df: number_rows(df, [], ["alias"], "g")
     picked = number(grams).filter("g % 3 = 0").unionByName(number(words).filter("g % 2 = 0"))
     aliases = picked.join(src, F.col("i") == F.col("g") % n).select(F.col("source").alias("concept_id"), "alias")
     to = src.select(F.col("source").alias("to_concept_id"), F.col("i").alias("j"))
@@ -54,12 +55,6 @@ def _ontology(spark, sf):
     return _questions(t), aliases, relations, nodes
 
 
-def _all(*order):
-    """Order over a short list of names (sources, distinct words of the questions)."""
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0)).orderBy(*order)
-
-
 # Longest spans first: pairs, then single words, each left to right without overlap.
 _ROUTES_SQL = _CONCEPTS_SQL + """,
     pairs AS (SELECT item_id, start, concept_id FROM bi JOIN al ON alias_key = gram),
