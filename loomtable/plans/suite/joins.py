@@ -79,7 +79,9 @@ def join_check(spark, sf):
     return rounded(out, ["left_match_rate", "right_match_rate"], 6)
 
 
-@query("join_preview_rows")
+@query("join_preview_rows", """
+    SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey,
+           r_regionkey::VARCHAR AS r_regionkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def join_preview_rows(spark, sf):
     t = Tables(spark, sf)
     return join_preview(t.nation, t.region, "n_regionkey", "r_regionkey", limit=30)

@@ -182,7 +182,7 @@ def health(spark, sf):
                       AS share FROM e)
     SELECT 'top_category' AS observation_type, c AS column_name, first(v ORDER BY n DESC, v) AS label,
            NULL::DOUBLE AS number, round(max(n) / sum(n), 6) AS share FROM c GROUP BY c
-    UNION ALL SELECT 'numeric_range', 'amount', format('{:.2f}', lo) || ' - ' || format('{:.2f}', hi), NULL, NULL FROM s
+    UNION ALL SELECT 'numeric_range', 'amount', (CASE WHEN lo = floor(lo) THEN lo::BIGINT::VARCHAR ELSE format('{:.2f}', lo) END) || ' - ' || (CASE WHEN hi = floor(hi) THEN hi::BIGINT::VARCHAR ELSE format('{:.2f}', hi) END), NULL, NULL FROM s
     UNION ALL SELECT CASE WHEN abs(mean - q2) / (hi - lo) >= 0.15 THEN 'median_center' ELSE 'numeric_center' END,
            'amount', NULL, round(CASE WHEN abs(mean - q2) / (hi - lo) >= 0.15 THEN q2 ELSE mean END, 4), NULL FROM s
     UNION ALL SELECT 'date_range', 'event_date',
@@ -191,7 +191,7 @@ def health(spark, sf):
     UNION ALL SELECT 'time_peak_period', 'event_time', part, NULL, round(share, 6) FROM (
            SELECT part, n / (SELECT sum(n) FROM p) AS share FROM p) WHERE share >= 0.5
     UNION ALL SELECT 'time_business_hour_pattern', 'event_time', NULL, NULL, round(share, 6) FROM w WHERE share >= 0.8
-    UNION ALL SELECT 'amount_typical_band', 'amount', format('{:.2f}', q1) || ' - ' || format('{:.2f}', q3), NULL, NULL FROM s
+    UNION ALL SELECT 'amount_typical_band', 'amount', (CASE WHEN q1 = floor(q1) THEN q1::BIGINT::VARCHAR ELSE format('{:.2f}', q1) END) || ' - ' || (CASE WHEN q3 = floor(q3) THEN q3::BIGINT::VARCHAR ELSE format('{:.2f}', q3) END), NULL, NULL FROM s
     UNION ALL SELECT 'amount_negative_presence', 'amount', NULL, NULL, NULL FROM s WHERE lo < 0
     UNION ALL SELECT 'amount_skew_hint', 'amount', NULL, NULL, NULL FROM s WHERE abs(mean - q2) / (hi - lo) >= 0.15""")
 def observed_business(spark, sf):
