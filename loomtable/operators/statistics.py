@@ -116,7 +116,7 @@ def distribution_summary(df: DataFrame, column: str, single_task_rows: int | Non
                    F.count(v).alias("non_null_count"), F.min(v).alias("min"), F.max(v).alias("max"),
                    F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"),
                    F.when(flat, 0.0).otherwise(F.skewness(v)).alias("skewness"))
-    return (stats.join(q, "column_name")
+    return (stats.withColumn("quantiles", q.select("quantiles").scalar())
             .withColumns({n: F.col("quantiles")[i] for i, n in enumerate(("q1", "median", "q3"))})
             .withColumn("null_count", F.col("row_count") - F.col("non_null_count")).drop("quantiles"))
 

@@ -20,7 +20,7 @@ from loomtable.functions.values import is_blank
 from loomtable.registry import operator
 from loomtable.session import cut_lineage
 
-HOT_GROUP_ROWS = 20_000_000
+HOT_GROUP_ROWS = 5_000_000
 RANKS = ("rank", "percent_rank")
 NUMERIC_KINDS = ("cumulative_sum", "rolling_sum", "rolling_mean")
 KINDS = ("row_number", *RANKS, "lag", "lead", *NUMERIC_KINDS)

@@ -64,10 +64,10 @@ def saved_result_with_lineage(spark, sf):
     counts = group_and_aggregate(Tables(spark, sf).orders, ["o_orderstatus"],
                                  [{"column": "o_orderkey", "operator": "count"}])
     save_result(counts, root, "order_status", "group_and_aggregate", ["orders"])
-    lineage = result_lineage(spark, root).select("result_ref", "produced_by",
-                                                 F.array_join("source_refs", ",").alias("sources"))
-    return load_result(spark, root, "order_status").withColumn("result_ref", F.lit("order_status")).join(
-        lineage, "result_ref")
+    line = result_lineage(spark, root).filter("result_ref = 'order_status'")
+    return load_result(spark, root, "order_status").withColumns({
+        "result_ref": F.lit("order_status"), "produced_by": line.select("produced_by").scalar(),
+        "sources": line.select(F.array_join("source_refs", ",")).scalar()})
 
 
 @query("source_files")
@@ -128,12 +128,12 @@ def rows_in_date_range(spark, sf):
 
 
 @query("indicator_rows", """
-    SELECT DATE '1999-06-30' - ((DATE '1999-06-30' - o_orderdate::DATE)::INTEGER) AS time,
-           round(sum(o_totalprice), 2) AS value
+    SELECT strftime(o_orderdate, '%Y-%m-%d') AS time, round(sum(o_totalprice), 2) AS value
     FROM orders WHERE o_orderdate BETWEEN DATE '1999-06-30' - 90 AND DATE '1999-06-30'
     GROUP BY o_orderdate""")
 def indicator_rows(spark, sf):
     daily = (Tables(spark, sf).orders.groupBy(day_text("o_orderdate").alias("time"))
              .agg(F.round(F.sum("o_totalprice"), 2).cast("string").alias("RSI")))
     out = indicator_from_csv(daily, "rsi", "1999-06-30", 90)
-    return cast_column_types(out, [{"column": "value", "target_type": "float64"}])
+    return cast_column_types(out, [{"column": "value", "target_type": "float64"},
+                                   {"column": "time", "target_type": "string"}])
