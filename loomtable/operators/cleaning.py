@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from loomtable.functions.checks import dtype_of, need_columns, need_distinct, need_some

@@ -35,17 +35,12 @@ def _day(text: str | None):
 def template_column(df: DataFrame, template: str) -> Column:
     """``"{a}-{b}"`` -> concat; an unclosed brace stays as it is."""
     parts: list[Column] = []
-    for literal, name in re.findall(r"([^{]*)(?:\{([^}]*)\})?", template.split("\0")[0]):
-        if literal:
-            parts.append(F.lit(literal))
-        if name:
-            need_columns(df, [name])
-            parts.append(F.coalesce(text_of(df, name), F.lit("null")))
-    tail = re.search(r"\{[^}]*$", template)
-    if tail:
-        # findall drops the lone brace and reads what follows as plain text
-        parts = parts[: -1] if len(tail.group()) > 1 else parts
-        parts.append(F.lit(tail.group()))
+    for i, piece in enumerate(re.split(r"\{([^}]*)\}", template)):
+        if i % 2:
+            need_columns(df, [piece])
+            parts.append(F.coalesce(text_of(df, piece), F.lit("null")))
+        elif piece:
+            parts.append(F.lit(piece))
     return F.concat(*parts) if parts else F.lit("")
 
 

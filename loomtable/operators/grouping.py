@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomtable.functions.checks import (dtype_of, need_columns, need_distinct, need_numeric,
-                                        need_some)
+from loomtable.functions.checks import need_columns, need_distinct, need_numeric, need_some
 from loomtable.functions.values import text_of
 from loomtable.registry import operator
 

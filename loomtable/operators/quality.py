@@ -97,11 +97,6 @@ def display_findings(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-# Observation kinds in the order they are offered.
-OBSERVATIONS = ("top_category", "numeric_range", "dominant_dimension", "center", "dates", "times",
-                "amounts")
-
-
 @operator("business_observations")
 def business_observations(df: DataFrame, columns: list[str] | None = None, top_k: int = 5) -> DataFrame:
     """First ``top_k`` observations: type, column, a label, a number and a share."""

@@ -14,8 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomtable.functions.checks import (dtype_of, is_numeric, need_columns, need_distinct,
-                                        need_some)
+from loomtable.functions.checks import is_numeric, need_columns, need_distinct, need_some
 from loomtable.functions.values import is_blank
 from loomtable.registry import operator
 from loomtable.session import cut_lineage

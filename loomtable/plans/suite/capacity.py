@@ -9,7 +9,7 @@ from loomtable.operators.capacity import (capacity_assessment, capacity_from_inv
 from loomtable.operators.masking import mask_ledger, season_factors
 from loomtable.operators.reports import capacity_report_tables, diagnostics_report_tables
 from loomtable.operators.statistics import diagnostics_report
-from loomtable.plans.suite.base import Tables, day_text, query, rounded, scratch_folder
+from loomtable.plans.suite.base import SQL, Tables, day_text, query, rounded, scratch_folder
 from loomtable.sources.exports import export_bundle
 
 # A service per user; an event is a reading of one or two metrics.
@@ -177,13 +177,24 @@ def from_inventory(spark, sf):
     return out.select("service", "instance_source", "current_instance_count", "recommended_instance_count", "capacity_status")
 
 
-@query("capacity_tables")
+@query("capacity_tables", f"""
+    WITH a AS ({SQL['capacity_assessment']}),
+         n AS (SELECT count(*) AS services, sum(CASE WHEN current_instance_count > 0 THEN
+                      (NOT list_contains(string_split(missing_inputs, ','), 'cpu'))::INTEGER
+                      + (NOT list_contains(string_split(missing_inputs, ','), 'memory'))::INTEGER ELSE 0 END)::BIGINT AS resources,
+                      sum(CASE WHEN missing_inputs = '' THEN 1 ELSE len(string_split(missing_inputs, ',')) END)::BIGINT AS todo FROM a)
+    SELECT 'conclusion' AS name, 0 AS position, services * 6 AS rows FROM n UNION ALL SELECT 'resources', 1, resources FROM n
+    UNION ALL SELECT 'evidence', 2, services * 10 FROM n UNION ALL SELECT 'actions', 3, todo + services FROM n""")
 def capacity_tables(spark, sf):
     """Four result tables written as one bundle; how many rows each has."""
     return _bundle_counts(spark, capacity_report_tables(_assessed(spark, sf)))
 
 
-@query("diagnostics_tables")
+@query("diagnostics_tables", """
+    WITH c AS (SELECT corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_tax) AS b FROM lineitem)
+    SELECT 'summary' AS name, 0 AS position, 5::BIGINT AS rows UNION ALL SELECT 'overview', 1, 3
+    UNION ALL SELECT 'correlation_outlier', 2, 1 + (a >= 0 OR b >= 0)::INTEGER + (a < 0 OR b < 0)::INTEGER FROM c
+    UNION ALL SELECT 'distribution_trend', 3, 1""")
 def diagnostics_tables(spark, sf):
     report = diagnostics_report(Tables(spark, sf).lineitem,
                                 correlation={"target_column": "l_extendedprice", "feature_columns": ["l_quantity", "l_tax"]},
@@ -201,9 +212,6 @@ def _bundle_counts(spark, tables):
     return manifest.select("position", "name").join(counts, "name")
 
 
-_LEDGER = "o_orderkey AS n"
-
-
 @query("masked_ledger", """
     WITH l AS (SELECT o_orderkey AS n, o_orderkey % 12 + 1 AS mo FROM orders),
          v AS (SELECT *, round((18000 + n % 17 * 1450 + 3 * 320) * (CASE mo WHEN 1 THEN 0.72 WHEN 2 THEN 0.58 WHEN 3 THEN 0.81

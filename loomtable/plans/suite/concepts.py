@@ -128,7 +128,29 @@ def retrieved(spark, sf):
     return retrieve_nodes(questions, scope, nodes)
 
 
-@query("navigated_citations")
+@query("navigated_citations", _ROUTES_SQL + r""",
+    z0 AS (SELECT question_id, concept_id, place FROM routes WHERE place <= 4),
+    z1 AS (SELECT s.question_id, r.to_concept_id AS concept_id,
+                  min((s.place, CASE r.relation_type WHEN 'supports' THEN 1 ELSE 2 END, r.position)) AS o
+           FROM z0 s JOIN rel r ON r.from_concept_id = s.concept_id
+           WHERE NOT EXISTS (SELECT 1 FROM z0 x WHERE x.question_id = s.question_id AND x.concept_id = r.to_concept_id)
+           GROUP BY ALL),
+    z2 AS (SELECT question_id, concept_id, row_number() OVER (PARTITION BY question_id ORDER BY o)
+                  + (SELECT count(*) FROM z0 x WHERE x.question_id = z1.question_id) AS place FROM z1),
+    zs AS (SELECT question_id, concept_id FROM z0 UNION ALL SELECT question_id, concept_id FROM z2 WHERE place <= 4),
+    q AS (SELECT item_id AS question_id, list_filter(list_distinct(regexp_split_to_array(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')), lambda w: w <> '') AS qw
+          FROM benchmark),
+    nw AS (SELECT doc_id AS node_id, source, lang, list_distinct(regexp_split_to_array(translate('about ' || lang || ' ' || text,
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')) AS nw FROM documents),
+    hits AS (SELECT zs.question_id, node_id, source, lang, len(list_intersect(qw, nw)) AS score
+             FROM zs JOIN nw ON nw.source = zs.concept_id JOIN q ON q.question_id = zs.question_id),
+    refs AS (SELECT question_id, node_id, score, 0 AS pos, source AS source_ref, (node_id % 10)::VARCHAR AS locator FROM hits
+             WHERE score > 0 UNION ALL SELECT question_id, node_id, score, 1, lang, 'all' FROM hits WHERE score > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_ref, locator ORDER BY score DESC, node_id, pos) AS dup
+               FROM refs)
+    SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id, pos) AS citation, source_ref,
+           locator, node_id FROM ranked WHERE dup = 1""")
 def citations(spark, sf):
     return navigate(*_ontology(spark, sf), ["supports", "depends_on"], 1, 4)["citations"]
 

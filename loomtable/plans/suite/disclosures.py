@@ -46,7 +46,7 @@ _EVENTS_SQL = f"""
                            WHEN 2 THEN 'https://static.example.com/' || doc_id || '.csv' END AS url FROM documents),
          e AS (SELECT 'cninfo-' || k AS event_id, 'X' || k % 3 AS exchange, ticker AS ticker_normalized, title, category,
                       strftime(t, '%Y-%m-%dT%H:%M:%S') || '+08:00' AS published_at, strftime(t, '%Y-%m-%d') AS document_date,
-                      url AS document_url, CASE WHEN k % 2 = 0 THEN 'pdf' ELSE 'pdf' END AS document_type,
+                      url AS document_url, 'pdf' AS document_type,
                       'https://www.cninfo.com.cn/new/disclosure/detail?orgId=org1&announcementId=' || k
                       || '&announcementTime=' || strftime(t, '%Y-%m-%d') AS source_url, md5(text) AS content_md5,
                       sha256('CN-A|X' || k % 3 || '|' || ticker || '|' || lower(replace(title, '  ', ' ')) || '|'
@@ -60,8 +60,7 @@ _COLUMNS = ("event_id, exchange, ticker_normalized, title, category, published_a
 
 def _events(spark, sf):
     out = build_disclosures(_landed(spark, sf))
-    first = F.col("attachments")
-    attachment = F.array_join(F.transform(first, lambda a: F.concat_ws(" ", a["name"], a["media_type"])), ",")
+    attachment = F.array_join(F.transform("attachments", lambda a: F.concat_ws(" ", a["name"], a["media_type"])), ",")
     return out.withColumns({"content_md5": F.md5("content_text"), "attachment": attachment})
 
 

@@ -119,18 +119,11 @@ SIGNALS_SQL = SNAPSHOT_SQL + f""",
         WHEN score < 2 THEN 'medium' WHEN score >= 4 THEN 'high' ELSE 'medium' END AS confidence FROM g5)"""
 
 
-def _earlier(bars, days):
-    return bars if days is None else bars.filter(F.col("trade_date") <= F.lit(days).cast("date"))
-
-
 @query("technical_signals", SIGNALS_SQL + f" SELECT symbol, {', '.join(SIGNALS)} FROM sig")
 def signals(spark, sf):
     return technical_consultation(daily_bars(spark, sf)).select("symbol", *SIGNALS)
 
 
-_WIDE_BARS = "FROM lineitem JOIN part ON p_partkey = l_partkey"
-
-
 @query("technical_signals_by_supplier", SIGNALS_SQL.replace(
     "SELECT p_brand AS symbol", "SELECT l_suppkey::VARCHAR AS symbol").replace("n >= 200", "n >= 220")
     + f" SELECT symbol, {', '.join(SIGNALS)} FROM sig")

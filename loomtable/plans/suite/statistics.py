@@ -122,7 +122,21 @@ def least_squares(spark, sf):
     return rounded(linear_regression(Tables(spark, sf).lineitem, ["l_quantity"], "l_extendedprice"), ["value"])
 
 
-@query("least_squares_many")
+@query("least_squares_many", """
+    WITH m AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3,
+                 var_pop(l_extendedprice) AS v, var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b,
+                 covar_pop(l_quantity, l_tax) AS c, var_pop(l_discount) AS d, covar_pop(l_discount, l_tax) AS e, var_pop(l_tax) AS f,
+                 covar_pop(l_extendedprice, l_quantity) AS y1, covar_pop(l_extendedprice, l_discount) AS y2,
+                 covar_pop(l_extendedprice, l_tax) AS y3 FROM lineitem),
+         t AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+         k AS (SELECT *, (y1 * (d * f - e * e) - b * (y2 * f - y3 * e) + c * (y2 * e - y3 * d)) / det AS b1,
+                      (a * (y2 * f - y3 * e) - y1 * (b * f - c * e) + c * (b * y3 - c * y2)) / det AS b2,
+                      (a * (d * y3 - e * y2) - b * (b * y3 - c * y2) + y1 * (b * e - c * d)) / det AS b3 FROM t)
+    SELECT 'coefficient' AS kind, 'l_quantity' AS name, round(b1, 4) AS value FROM k
+    UNION ALL SELECT 'coefficient', 'l_discount', round(b2, 4) FROM k UNION ALL SELECT 'coefficient', 'l_tax', round(b3, 4) FROM k
+    UNION ALL SELECT 'metric', 'intercept', round(my - b1 * m1 - b2 * m2 - b3 * m3, 4) FROM k
+    UNION ALL SELECT 'metric', 'r2', round((b1 * y1 + b2 * y2 + b3 * y3) / v, 4) FROM k
+    UNION ALL SELECT 'metric', 'row_count_used', n FROM k UNION ALL SELECT 'metric', 'dropped_rows', 0.0""")
 def least_squares_many(spark, sf):
     return rounded(linear_regression(Tables(spark, sf).lineitem, ["l_quantity", "l_discount", "l_tax"],
                                      "l_extendedprice"), ["value"])

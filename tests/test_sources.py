@@ -9,7 +9,7 @@ from loomtable import get_operator, list_operators, operator
 from loomtable.sources.disclosures import build_disclosures, dedupe_key, exchange_bulletins, market_route, normalize_ticker
 from loomtable.sources.exports import export_bundle, export_csv, load_bundle, verify_artifacts
 from loomtable.sources.news import distinct_news, news_in_range, parse_articles
-from loomtable.sources.prices import (clean_prices, import_price_csv, import_summary, parse_price_rows, provider_symbol,
+from loomtable.sources.prices import (clean_prices, import_price_csv, import_summary, provider_symbol,
                                       sync_price_payloads, upsert_bars)
 from loomtable.sources.statements import announcements, latest_statement
 from loomtable.sources.tables import (canonicalize_header_paths, changed_files, filter_by_first_date, indicator_from_csv,
