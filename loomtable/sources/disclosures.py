@@ -110,10 +110,14 @@ def build_disclosures(landed: DataFrame) -> DataFrame:
     """
     need_columns(landed, ["announcement_id", "announcement_time", "market", "exchange", "sec_code",
                           "sec_name", "org_id", "title", "file_url", "adjunct_type", "content"])
-    local = F.from_utc_timestamp(F.timestamp_millis(F.col("announcement_time")), ZONE)
+    # wall-clock text in the home zone, whatever the zone of the session
+    ms, day = F.col("announcement_time"), F.lit(86_400_000)
+    utc = F.timestamp_add("SECOND", F.floor(F.pmod(ms, day) / 1000).cast("int"),
+                          F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / day).cast("int")).cast("timestamp_ntz"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), utc).cast("string")
     rows = landed.withColumns({
-        "document_date": F.date_format(local, "yyyy-MM-dd"),
-        "published_at": F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")),
+        "document_date": F.substring(local, 1, 10),
+        "published_at": F.concat(F.substring(local, 1, 10), F.lit("T"), F.substring(local, 12, 8), F.lit("+08:00")),
         "ticker_normalized": normalize_ticker(F.col("market"), F.col("sec_code")),
         "document_url": _https(F.col("file_url"), STATIC_HOST),
         "title": strip(F.coalesce("title", F.lit("")))})
