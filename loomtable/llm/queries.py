@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtable.llm.minhash import near_duplicates
+from loomtable.llm.rules import MEASURES, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +51,47 @@ near as (select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other)
 select *, doc_id = component_id as kept from near""")
 def op6(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def quality_rules_sql(source: str) -> str:
+    """CTEs ending in judged(doc_id, counts, base_failed, kept)."""
+    space = r"[^\x20\x09-\x0D]"
+    rates = {m: f"coalesce({top} * 1000 // nullif({bottom}, 0), 0)" for m, (top, bottom, _, _) in MEASURES.items()}
+    long = " union all ".join(f"select lang, source, '{m}' as measure, {r} as v from q_rows where not base_failed" for m, r in rates.items())
+
+    def level(name, by):
+        keys = "".join(f"{c}, " for c in by)
+        return f"""
+q_s_{name} as (select {keys}measure, low, sum(n) as n from q_sketch group by {keys}measure, low),
+q_p_{name} as (select *, sum(n) over (partition by {keys}measure) as total,
+        sum(n) over (partition by {keys}measure order by low rows unbounded preceding) as upto from q_s_{name}),
+q_{name} as (select {keys}measure, max(total) as total, min(case when upto * 4 >= total then low end) as q1,
+        min(case when upto * 4 >= 3 * total then low end) as q3 from q_p_{name} group by {keys}measure)"""
+
+    tests = " and ".join(f"{rates[m]} <= hi_{m}" + (f" and {rates[m]} >= lo_{m}" if low else "") for m, (_, _, _, low) in MEASURES.items())
+    return f"""
+q_words as (select doc_id, lang, source, coalesce(text, '') as t, {WORDS.format("coalesce(text, '')")} as words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{space}')) as lines from {source}),
+q_grams as (select doc_id, words[i:i + 4] as gram, i from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from q_words)),
+q_dups as (select doc_id, unnest(range(i, i + 5)) as p from (select *, count(*) over (partition by doc_id, gram) as c from q_grams) where c > 1),
+q_rep as (select doc_id, count(distinct p) as r from q_dups group by doc_id),
+q_counts as (select doc_id, lang, source, len(words) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+        coalesce(r, 0) as n_repeat_words, len(lines) as n_lines, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) as n_upper
+        from q_words left join q_rep using (doc_id)),
+q_rows as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from q_counts),
+q_sketch as (select lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) as low, count(*) as n
+        from ({long}) group by all),{level('fine', ['lang', 'source'])},{level('lang', ['lang'])},{level('all', [])},
+q_used as (select f.lang, f.source, f.measure, case when f.total >= 200 then f.q1 when l.total >= 200 then l.q1 else a.q1 end as q1,
+        case when f.total >= 200 then f.q3 when l.total >= 200 then l.q3 else a.q3 end as q3
+        from q_fine f join q_lang l on f.lang is not distinct from l.lang and f.measure = l.measure join q_all a on a.measure = f.measure),
+q_fence as (select lang, source, {', '.join(f"max(case when measure = '{m}' then q1 - greatest(3 * (q3 - q1), {s}) end) as lo_{m}, max(case when measure = '{m}' then q3 + greatest(3 * (q3 - q1), {s}) end) as hi_{m}" for m, (_, _, s, _) in MEASURES.items())}
+        from q_used group by lang, source),
+judged as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,
+        not base_failed and coalesce({tests}, true) as kept
+        from q_rows r left join q_fence f on r.lang is not distinct from f.lang and r.source is not distinct from f.source)"""
+
+
+@query("op3_quality_rules", f"with {quality_rules_sql('documents')} select * from judged")
+def op3(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
