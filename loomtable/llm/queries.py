@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomtable.llm.decontaminate import benchmark_hits
 from loomtable.llm.minhash import near_duplicates
 from loomtable.llm.rules import MEASURES, quality_rules
 
@@ -95,3 +96,29 @@ judged as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
 @query("op3_quality_rules", f"with {quality_rules_sql('documents')} select * from judged")
 def op3(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def benchmark_hits_sql(source: str) -> str:
+    """CTEs ending in hits(doc_id, item_id, first_word, n_words, similarity), by comparing every window that shares a shingle."""
+    return f"""
+b_docs as (select doc_id, {FOLDED_WORDS} as words from {source}),
+b_items as (select item_id, {FOLDED_WORDS} as words from benchmark),
+b_ds as (select doc_id, len(words) as n, i - 1 as p, array_to_string(words[i:i + 4], ' ') as g
+        from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from b_docs)),
+b_is as (select item_id, len(words) as n, array_to_string(words[i:i + 4], ' ') as g
+        from (select item_id, words, unnest(range(1, len(words) - 3)) as i from b_items)),
+b_starts as (select distinct doc_id, item_id, d_n, n, unnest(range(greatest(0, p + 5 - n), least(p, greatest(0, d_n - n)) + 1)) as s
+        from (select doc_id, b_ds.n as d_n, p, item_id, b_is.n as n from b_ds join b_is using (g))),
+b_win as (select x.doc_id, x.item_id, x.s, x.n, x.d_n, d.g, count(*) as c from b_starts x
+        join b_ds d on d.doc_id = x.doc_id and d.p between x.s and x.s + least(x.n, x.d_n) - 5 group by all),
+b_ic as (select item_id, g, count(*) as c from b_is group by all),
+b_sim as (select doc_id, item_id, s, w.n, d_n, sum(least(w.c, coalesce(i.c, 0))) as low, any_value(least(w.n, d_n)) - 4 + any_value(w.n) - 4 as total
+        from b_win w left join b_ic i using (item_id, g) group by doc_id, item_id, s, w.n, d_n),
+b_best as (select *, low / (total - low) as similarity,
+        row_number() over (partition by doc_id, item_id order by low / (total - low) desc, s) as r from b_sim),
+hits as (select doc_id, item_id, s as first_word, least(n, d_n) as n_words, similarity from b_best where r = 1 and similarity >= 0.8)"""
+
+
+@query("op4_benchmark_hits", f"with {benchmark_hits_sql('documents')} select * from hits")
+def op4(spark, sf_dir):
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
