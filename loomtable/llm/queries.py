@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomtable.llm.archives import arc_archives, converted_archives, read_archives, warc_records
 from loomtable.llm.decontaminate import benchmark_hits
 from loomtable.llm.minhash import near_duplicates
+from loomtable.llm.quality import scored, train
 from loomtable.llm.rules import MEASURES, quality_rules
+from loomtable.llm.tables import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +125,24 @@ hits as (select doc_id, item_id, s as first_word, least(n, d_n) as n_words, simi
 @query("op4_benchmark_hits", f"with {benchmark_hits_sql('documents')} select * from hits")
 def op4(spark, sf_dir):
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_quality_scores")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_warc_records", """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first < page_id then first end as refers_to from f""")
+def op5(spark, sf_dir):
+    folder = scratch(spark)
+    page = "cast(regexp_extract(cast(http as string), 'X-Page-Id: ([^\\r]*)', 1) as long)"
+    converted_archives(arc_archives(table(spark, sf_dir, "pages")), folder, page)
+    back = written(warc_records(read_archives(spark, folder), payloads=False).select(
+        F.expr(page).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "record_id", "refers_to"))
+    named = back.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"))
+    return back.join(named, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first").alias("refers_to"))
