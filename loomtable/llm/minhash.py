@@ -2,15 +2,16 @@
 
 Each permutation of a document's shingle fingerprints gives two signature values, its minimum and its
 maximum, so half the hash evaluations of plain MinHash give the same signature.  Bands of the signature
-are bucket keys.  With the defaults (24 bands of 3 values) a pair of similarity 0.85 is missed with
-probability 1e-10.
+are bucket keys.  With the defaults (32 bands of 6 values, 96 permutations) a pair of similarity 0.85 meets in
+no bucket with probability 3e-7, one of 0.9 with 4e-11; texts that only share a boilerplate line rarely meet.
 
 Steps: texts with the same shingle set collapse into one class by a pre-aggregated group; only class
 representatives are banded.  In a bucket every member is compared with a few leaders, not with every
 other member; the links found join components; members that are in other components than the rest of
-their bucket are compared with further leaders.  When the pairs left across components are fewer than
-the memberships, those pairs are compared as well, so no bucket has a cap and nothing stays untested that
-could join two components.  Links are confirmed on the full sets.
+their bucket are compared with further leaders as long as that joins components.  The members of buckets still
+split are then paired exactly by prefix filtering: under one order of all shingles, frequent ones last, two sets of the wanted
+similarity share one of their first few; pairs of one component are left out.  So no bucket has a cap, and texts that share a
+frequent passage but little else are never paired.  Links are confirmed on the full sets.
 
 Defined results: a null id is kept as a document of its own that links with nothing; rows that repeat an id
 are one document each for its set (the first text in byte order counts) and one row in the result; empty texts have
@@ -20,7 +21,9 @@ n_shingles 0 and link with nothing; an empty table gives an empty result.  Extra
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +125,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
-                    bands: int = 24, rows: int = 3) -> DataFrame:
+                    bands: int = 32, rows: int = 6) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
     given = columns(docs, id=id_col, text=text_col)
     signs = written(signed(given, bands, rows)).withColumn("order", F.xxhash64("set_id"))
@@ -152,25 +155,21 @@ def _linked(given: DataFrame, signs: DataFrame, classes: DataFrame, percent: int
     sets = written(shingle_sets(given.join(chosen, "id", "left_semi")).join(chosen, ["id", "set_id"]).select("id", "members"))
     links = None
     labels = member.select("rep").distinct().limit(0).select("rep", F.col("rep").alias("comp"))
-    tested, turn = None, 0
+    tested, turn, before = None, 0, float("inf")
     while True:
         state = written(member.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
-        mixed_keys = state.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        sizes = (state.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
-                 .agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
-                 .filter("n * n > squares"))
+        sizes = written(state.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+                        .agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
+                        .filter("n * n > squares"))
         totals = sizes.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs"),
                            F.sum("n").alias("members")).first()
         if not totals.members:
             break
-        open_keys = mixed_keys.filter("lo < hi").select("key", "n")
-        left = state.join(open_keys, "key")
-        last = turn > 0 and totals.pairs <= 4 * totals.members
+        left = state.join(sizes.select("key"), "key")
+        last = turn > 0 and (totals.pairs <= 4 * totals.members or totals.pairs > 0.7 * before)
+        before = totals.pairs
         if last:
-            a, b = left.alias("x"), left.alias("y")
-            pairs = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-                           & (F.col("x.comp") != F.col("y.comp"))).select(
-                F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"))
+            pairs = _sharing_rare(left.select("rep", "size", "comp").distinct(), sets, percent)
         else:
             pairs = _with_leaders(left, turn)
         pairs = pairs.filter(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b").distinct()
@@ -187,6 +186,51 @@ def _linked(given: DataFrame, signs: DataFrame, classes: DataFrame, percent: int
     return labels
 
 
+def _sharing_rare(open_reps: DataFrame, sets: DataFrame, percent: int, sample: int = 1000) -> DataFrame:
+    """Pairs across components that share a shingle among each one's first |S| - ceil(percent |S| / 100) + 1.
+
+    A pair must also pass its parity bitmaps (each element flips one of 2048 bits): the bits in which they differ are never more
+    than the elements in which the sets differ, so no pair of the wanted similarity fails.
+    Any one order is exact.  This one puts shingles of at least a hundredth of a bounded sample last, which keeps groups small;
+    that list has at most 100 times the mean set size."""
+    held = written(open_reps.join(sets, open_reps.rep == sets.id).select("rep", "size", "comp", "members"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.column(0):
+                yield pa.record_batch([pa.array(np.frombuffer(m.as_buffer(), np.int64))], names=["s"])
+
+    some = held.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("members").mapInArrow(listed, "s long")
+    often = [r.s for r in some.groupBy("s").count().filter(F.col("count") * 100 >= sample).select("s").collect()]
+    shared = open_reps.sparkSession.sparkContext.broadcast(np.sort(np.array(often, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            first, parity = [], []
+            for m in batch.column(3):
+                own = np.frombuffer(m.as_buffer(), np.int64)
+                rare = own[~np.isin(own, hot)] if len(hot) else own
+                place = (own.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(53)).astype(np.int64)
+                parity.append(np.packbits((np.bincount(place, minlength=2048) & 1).astype(np.uint8)).view(np.int64))
+                n = len(own) - -(-percent * len(own) // 100) + 1
+                first.append(rare[:n] if len(rare) >= n else np.concatenate([rare, own[np.isin(own, hot)][:n - len(rare)]]))
+            yield pa.record_batch([*batch.columns[:3], pa.array(first, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                                  names=["rep", "size", "comp", "first", "parity"])
+
+    kind = open_reps.schema["rep"].dataType.simpleString()
+    prefix = written(held.mapInArrow(run, f"rep {kind}, size long, comp {kind}, first array<long>, parity array<long>")
+                     .select("rep", "size", "comp", "parity", F.explode("first").alias("s")))
+    split = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("s")
+    x = written(prefix.join(split, "s"))
+    a, b = x.alias("a"), x.alias("b")
+    apart = reduce(operator.add, [F.bit_count(F.get("a.parity", F.lit(i)).bitwiseXOR(F.get("b.parity", F.lit(i)))) for i in range(32)])
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp"))
+                  & (apart * (100 + percent) <= (F.col("a.size") + F.col("b.size")) * (100 - percent))
+                  & (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * percent)).select(
+        F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb"))
+
+
 def _with_leaders(left: DataFrame, turn: int) -> DataFrame:
     """Pairs (leader, member) across components: one more leader per bucket in the first round, then twice as many each time."""
     count = 1 << min(turn, 4)
