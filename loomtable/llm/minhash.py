@@ -244,3 +244,9 @@ def _with_leaders(left: DataFrame, turn: int) -> DataFrame:
             .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"),
                     F.col("size").alias("sa"), F.col("lead.size").alias("sb")))
 
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows with their own columns, without near-duplicates of a smaller id; null ids stay."""
+    gone = written(near_duplicates(docs, id_col, **options).filter("not kept").select(F.col(id_col).alias("_gone_id")))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtable.llm.archives import arc_archives, converted_archives, read_archives, warc_records
+from loomtable.llm.chat import digests, formatted
 from loomtable.llm.decontaminate import benchmark_hits
 from loomtable.llm.minhash import near_duplicates
+from loomtable.llm.mixing import mixed
 from loomtable.llm.quality import scored, train
 from loomtable.llm.rules import MEASURES, quality_rules
+from loomtable.llm.sharding import lookup_table, placed
 from loomtable.llm.tables import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +149,44 @@ def op5(spark, sf_dir):
         F.expr(page).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "record_id", "refers_to"))
     named = back.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"))
     return back.join(named, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first").alias("refers_to"))
+
+
+@query("op8_chat_formatting", r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(regexp_replace(replace(text, '\', '\\'), '\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE[ \]]', '\0+', 'g'))
+        + case role when 'user' then 15 when 'assistant' then 11 when 'system' then 18 else null end as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(chars) as bigint) as formatted_chars from e group by conv_id""")
+def op8(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(formatted(talks))
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+SLOT_SQL = "(('0x' || substr(md5(coalesce(cast({} as varchar), '')), 1, 15))::bigint % 65537)"
+
+
+def shard_sql(key: str) -> str:
+    """The owner of a key's slot, read from the table written as one hexadecimal digit per slot."""
+    digits = "".join(f"{o:x}" for o in lookup_table(SHARDS))
+    return f"'shard-' || lpad(cast(('0x' || substr('{digits}', {SLOT_SQL.format(key)} + 1, 1))::bigint as varchar), 2, '0')"
+
+
+@query("op9_shards", f"select doc_id, {shard_sql('doc_id')} as shard from documents")
+def op9(spark, sf_dir):
+    return placed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+#: target weights; a source that is not named has weight 1
+WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
+
+
+@query("op10_mixed_sources")
+def op10(spark, sf_dir):
+    out = mixed(table(spark, sf_dir, "documents"), WEIGHTS, carry=["doc_id"])
+    return out.select("row.doc_id", "source", "block", "slot", "place")
