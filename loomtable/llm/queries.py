@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomtable.llm.archives import arc_archives, converted_archives, read_archives, warc_records
 from loomtable.llm.chat import digests, formatted
 from loomtable.llm.decontaminate import benchmark_hits
+from loomtable.llm.line_runs import without_repeated_runs
 from loomtable.llm.minhash import near_duplicates
 from loomtable.llm.mixing import mixed
 from loomtable.llm.quality import scored, train
@@ -190,3 +191,19 @@ WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
 def op10(spark, sf_dir):
     out = mixed(table(spark, sf_dir, "documents"), WEIGHTS, carry=["doc_id"])
     return out.select("row.doc_id", "source", "block", "slot", "place")
+
+
+@query("op2_line_runs", """
+with l as (select doc_id, unnest(case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end) as line,
+        generate_subscripts(case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end, 1) - 1 as pos from documents),
+w as (select *, lead(line) over (partition by doc_id order by pos) as line2 from l),
+n as (select *, row_number() over (partition by line, line2 order by doc_id, pos) as r from w where line2 is not null),
+gone as (select distinct doc_id, unnest([pos, pos + 1]) as pos from n where r > 1),
+m as (select l.*, g.pos is not null as g, lag(g.pos is not null, 1, false) over (partition by l.doc_id order by l.pos) as before
+      from l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos)
+select d.doc_id, count(m.pos) as n_lines, count(*) filter (g) as n_removed, count(*) filter (g and not before) as n_runs,
+       md5(coalesce(string_agg(line, chr(10) order by m.pos) filter (not g), '')) as kept_md5
+from documents d left join m on m.doc_id = d.doc_id group by d.doc_id""")
+def op2(spark, sf_dir):
+    out = without_repeated_runs(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
