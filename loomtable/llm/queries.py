@@ -13,6 +13,7 @@ from loomtable.llm.line_runs import without_repeated_runs
 from loomtable.llm.minhash import near_duplicates
 from loomtable.llm.mixing import mixed
 from loomtable.llm.quality import scored, train
+from loomtable.llm.repeats import without_repeats
 from loomtable.llm.rules import MEASURES, quality_rules
 from loomtable.llm.sharding import lookup_table, placed
 from loomtable.llm.tables import scratch, written
@@ -207,3 +208,9 @@ from documents d left join m on m.doc_id = d.doc_id group by d.doc_id""")
 def op2(spark, sf_dir):
     out = without_repeated_runs(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
+
+
+@query("op7_repeated_bytes")
+def op7(spark, sf_dir):
+    out = without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
