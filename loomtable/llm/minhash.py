@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomtable.llm.components import connected
-from loomtable.llm.tables import columns, written
+from loomtable.llm.tables import columns, possibly_among, written
 from loomtable.llm.words import Words, batches_of_bytes, mixed
 
 
@@ -151,8 +151,9 @@ def _linked(given: DataFrame, signs: DataFrame, classes: DataFrame, percent: int
     busy = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     held = written(keyed.join(busy, "key").distinct())
     member = held.select("key", "rep", "size")
-    chosen = held.select(F.col("rep").alias("id"), "set_id").distinct()
-    sets = written(shingle_sets(given.join(chosen, "id", "left_semi")).join(chosen, ["id", "set_id"]).select("id", "members"))
+    chosen = written(held.select(F.col("rep").alias("id"), "set_id").distinct())
+    wanted = possibly_among(given, "id", chosen, "id").join(chosen, "id", "left_semi")
+    sets = written(shingle_sets(wanted).join(chosen, ["id", "set_id"]).select("id", "members"))
     links = None
     labels = member.select("rep").distinct().limit(0).select("rep", F.col("rep").alias("comp"))
     tested, turn, before = None, 0, float("inf")

@@ -26,3 +26,18 @@ def written(df: DataFrame) -> DataFrame:
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
+
+
+def possibly_among(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
+    """The rows whose key's fingerprint is marked by one of the ids, before a join that decides exactly.
+
+    The marks are a bitmap of fixed size (at most 2 ** (bits - 6) rows of 64 marks), so its broadcast is bounded whatever
+    the number of ids; with many more ids than marks it only lets more rows through."""
+    def place(c):
+        return F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+
+    marks = (ids.select(place(F.col(id_col)).alias("h"))
+             .groupBy(F.shiftright("h", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("_mask")))
+    marked = df.withColumn("_h", place(F.col(key))).withColumn("_word", F.shiftright("_h", 6))
+    return (marked.join(F.broadcast(written(marks)), "_word").filter(F.expr("shiftright(_mask, cast(_h & 63 as int)) & 1 = 1"))
+            .drop("_h", "_word", "_mask"))
