@@ -1,41 +1,28 @@
 """Exact linear-interpolation quantiles of many columns.
 
-Small tables use Spark's ``percentile``.  Larger ones first bracket each
-quantile with a mergeable sketch, then count only the values inside the
-brackets, so no task holds a whole column.  A bracket that misses is replaced
-by the full range: the result is always exact.
+A mergeable sketch brackets each quantile, then only the values inside the brackets are counted, so no
+task holds a whole column.  A bracket that misses is replaced by the full range: the result is always exact.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from loomtable.operators.windows import running_before
-
-SINGLE_TASK_ROWS = 5_000_000
 _ACCURACY = 10_000
 _MARGIN = 0.0005
 
 
-def quantile_rows(df: DataFrame, columns: list[str], probabilities: list[float],
-                  single_task_rows: int | None = None) -> DataFrame:
+def quantile_rows(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """Rows of (column_name, quantiles array<double>)."""
-    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    if df.count() <= limit:
-        probs = F.array(*[F.lit(p) for p in probabilities])
-        one = values.agg(*[F.percentile(F.col(f"`{c}`"), probs).alias(c) for c in columns])
-        return one.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("quantiles"))
-            for c in columns])))
-    exact = _bracketed(values, columns, probabilities, limit)
+    exact = _bracketed(values, columns, probabilities)
     rows = [(c, exact[c]) for c in columns]
     return df.sparkSession.createDataFrame(rows, "column_name string, quantiles array<double>")
 
 
-def _bracketed(values: DataFrame, columns, probabilities, limit) -> dict[str, list[float]]:
+def _bracketed(values: DataFrame, columns, probabilities) -> dict[str, list[float]]:
     edges = sorted({min(1.0, max(0.0, p + s)) for p in probabilities for s in (-_MARGIN, _MARGIN)})
     first = values.agg(*[e for i, c in enumerate(columns) for e in (
         F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.min(F.col(f"`{c}`")).alias(f"lo{i}"),
@@ -50,16 +37,16 @@ def _bracketed(values: DataFrame, columns, probabilities, limit) -> dict[str, li
             low = at[max(0.0, p - _MARGIN)] if p > _MARGIN else first[f"lo{i}"]
             high = at[min(1.0, p + _MARGIN)] if p < 1 - _MARGIN else first[f"hi{i}"]
             wanted[(c, j)] = (low, high, p * (n - 1))
-    found = _pick(values, wanted, limit)
+    found = _pick(values, wanted)
     missed = {k: (None, None, v[2]) for k, v in wanted.items() if k not in found}
     if missed:
-        found.update(_pick(values, missed, limit))
+        found.update(_pick(values, missed))
     for (c, j), v in found.items():
         out[c][j] = v
     return out
 
 
-def _pick(values: DataFrame, wanted: dict, limit: int) -> dict:
+def _pick(values: DataFrame, wanted: dict) -> dict:
     """Values at the wanted positions, interpolated; only complete ones."""
     if not wanted:
         return {}
@@ -72,7 +59,9 @@ def _pick(values: DataFrame, wanted: dict, limit: int) -> dict:
     base = values.agg(*below).first()
     counts = (values.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
               .select("x.id", "x.v").groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")))
-    ranked = running_before(counts, ["id"], ["v"], "n", "before", limit)
+    # about a thousandth of the distinct values lies in a bracket
+    earlier = Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     hit = None
     for i, (_, _, position) in enumerate(wanted.values()):
         for k in {math.floor(position), math.ceil(position)}:

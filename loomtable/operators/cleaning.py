@@ -78,7 +78,7 @@ def parse_datetime_columns(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 @operator("fill_missing_values")
 def fill_missing_values(df: DataFrame, rules: list[dict], order_by: list[str] | None = None,
-                        hot_group_rows: int | None = None) -> DataFrame:
+                        block_rows: int | None = None) -> DataFrame:
     """Strategies constant, zero and forward_fill; blank text counts as missing.
 
     forward_fill follows ``order_by``, which must be a unique order of the rows.
@@ -103,5 +103,5 @@ def fill_missing_values(df: DataFrame, rules: list[dict], order_by: list[str] |
     forward = [r["column"] for r in rules if r["strategy"] == "forward_fill"]
     if forward:
         from loomtable.operators.windows import forward_fill
-        filled = forward_fill(filled, forward, [], order_by or [], hot_group_rows)
+        filled = forward_fill(filled, forward, [], order_by or [], block_rows)
     return filled

@@ -8,9 +8,6 @@ from loomtable.functions.checks import need_columns, need_numeric, need_some
 from loomtable.operators.windows import window_calculation
 from loomtable.registry import operator
 
-# Older values weigh less than 2**-900 in the smoothed value: below any double.
-_SMOOTHED_ROWS = 900
-
 
 def _points(df: DataFrame, time_column: str, value_column: str, keys: list[str], row_id: list[str]) -> DataFrame:
     need_columns(df, [time_column, *keys, *row_id])
@@ -40,7 +37,7 @@ def _series_stats(rows: DataFrame, keys: list[str], n_ids: int) -> DataFrame:
 @operator("short_term_forecast")
 def short_term_forecast(df: DataFrame, time_column: str, value_column: str, horizon: int = 3,
                         sensitivity: float = 2.0, keys: list[str] | None = None,
-                        row_id: list[str] | None = None, hot_group_rows: int | None = None) -> DataFrame:
+                        row_id: list[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """Mean of a drift line, a damped three-point average and a smoothed line.
     Series with fewer than three points give no forecast."""
     if horizon < 1:
@@ -49,9 +46,9 @@ def short_term_forecast(df: DataFrame, time_column: str, value_column: str, hori
     rows = _points(df, time_column, value_column, keys, ids)
     group = keys or ["__all"]
     rows = rows if keys else rows.withColumn("__all", F.lit(0))
-    stats = _series_stats(_with_previous(rows, group, len(ids), hot_group_rows), group, len(ids))
+    stats = _series_stats(_with_previous(rows, group, len(ids), block_rows), group, len(ids))
     latest = Window.partitionBy(*group).orderBy(F.desc("__t"), *[F.desc(f"__r{i}") for i in range(len(ids))])
-    recent = rows.withColumn("__n", F.row_number().over(latest)).filter(F.col("__n") <= _SMOOTHED_ROWS)
+    recent = rows.withColumn("__n", F.row_number().over(latest))
     weight = F.when(F.col("__n") == F.col("point_count"), F.pow(F.lit(0.5), F.col("__n") - 1)).otherwise(
         F.pow(F.lit(0.5), F.col("__n")))
     recent = recent.join(stats.select(*group, "point_count"), group).groupBy(*group).agg(
@@ -75,13 +72,13 @@ def short_term_forecast(df: DataFrame, time_column: str, value_column: str, hori
 @operator("historical_alerts")
 def historical_alerts(df: DataFrame, time_column: str, value_column: str, sensitivity: float = 2.0,
                       keys: list[str] | None = None, row_id: list[str] | None = None, keep: int = 5,
-                      hot_group_rows: int | None = None) -> DataFrame:
+                      block_rows: int | None = None) -> DataFrame:
     """The latest points far from the previous value plus the mean step."""
     keys, ids = list(keys or []), list(row_id or [])
     rows = _points(df, time_column, value_column, keys, ids)
     group = keys or ["__all"]
     rows = rows if keys else rows.withColumn("__all", F.lit(0))
-    rows = _with_previous(rows, group, len(ids), hot_group_rows)
+    rows = _with_previous(rows, group, len(ids), block_rows)
     stats = _series_stats(rows, group, len(ids)).select(*group, "mean_delta", "residual_sigma")
     s = min(max(sensitivity, 1.0), 5.0)
     expected = F.col("__p") + F.col("mean_delta")

@@ -88,14 +88,13 @@ def summarize_table(df: DataFrame, columns: list[str] | None = None, top_k: int
 
 
 @operator("stat_summary")
-def stat_summary(df: DataFrame, columns: list[str] | None = None, top_k: int = 5,
-                 single_task_rows: int | None = None) -> DataFrame:
+def stat_summary(df: DataFrame, columns: list[str] | None = None, top_k: int = 5) -> DataFrame:
     """Column summaries plus quartiles, zero ratio, top share and true ratio."""
     names = list(columns or df.columns)
     out = summarize_table(df, names, max(top_k, 1))
     numeric = [c for c in names if column_kind(df, c) == "numeric"]
     if numeric:
-        q = quantile_rows(df, numeric, [0.25, 0.5, 0.75], single_task_rows)
+        q = quantile_rows(df, numeric, [0.25, 0.5, 0.75])
         q = q.select("column_name", *[F.col("quantiles")[i].alias(n)
                                       for i, n in enumerate(("q1", "median", "q3"))])
         out = out.join(q, "column_name", "left")

@@ -19,7 +19,7 @@ def plain_title(c: Column) -> Column:
 @operator("reconcile_sources")
 def reconcile_sources(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
                       left_order: list | None = None, right_order: list | None = None,
-                      hot_group_rows: int | None = None) -> DataFrame:
+                      block_rows: int | None = None) -> DataFrame:
     """The k-th record of a key on the left meets the k-th on the right.
 
     Numbering makes (key, k) unique on both sides, so a key with very many
@@ -33,7 +33,7 @@ def reconcile_sources(left: DataFrame, right: DataFrame, keys: list[str], left_i
         rows = df.select(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")).alias(m)
                            for k, m in zip(keys, made)],
                          *{o if isinstance(o, str) else o["column"] for o in order} | {id_column})
-        return number_rows(rows, made, order, "__n", hot_group_rows).select(
+        return number_rows(rows, made, order, "__n", block_rows).select(
             *made, "__n", F.col(f"`{id_column}`").alias(alias))
 
     lhs = side(left, left_id, left_order or [left_id], "left_id")

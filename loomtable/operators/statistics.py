@@ -51,7 +51,7 @@ def correlation_analysis(df: DataFrame, target_column: str, feature_columns: lis
             .orderBy(F.desc("coefficient"), "feature_column"))
 
 
-def _bounds(df: DataFrame, columns: list[str], method: str, single_task_rows=None) -> dict[str, tuple]:
+def _bounds(df: DataFrame, columns: list[str], method: str) -> dict[str, tuple]:
     """Per column (low, high, mean, stddev); one row of statistics reaches the driver."""
     need_some(columns, "column")
     need_numeric(df, columns)
@@ -66,7 +66,7 @@ def _bounds(df: DataFrame, columns: list[str], method: str, single_task_rows=Non
     if method != "iqr":
         raise ValueError(f"unknown method {method!r}")
     out = {}
-    for r in quantile_rows(df, columns, [0.25, 0.75], single_task_rows).collect():
+    for r in quantile_rows(df, columns, [0.25, 0.75]).collect():
         q1, q3 = r["quantiles"]
         out[r["column_name"]] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), None, None)
     return out
@@ -85,17 +85,15 @@ def _is_outlier(c: str, bound: tuple) -> Column:
 
 
 @operator("outlier_detection")
-def outlier_detection(df: DataFrame, columns: list[str], method: str = "iqr",
-                      single_task_rows: int | None = None) -> DataFrame:
+def outlier_detection(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
     """The table with a boolean ``<column>__is_outlier`` per column."""
-    bounds = _bounds(df, columns, method, single_task_rows)
+    bounds = _bounds(df, columns, method)
     return df.withColumns({f"{c}__is_outlier": _is_outlier(c, bounds[c]) for c in columns})
 
 
 @operator("outlier_summary")
-def outlier_summary(df: DataFrame, columns: list[str], method: str = "iqr",
-                    single_task_rows: int | None = None) -> DataFrame:
-    bounds = _bounds(df, columns, method, single_task_rows)
+def outlier_summary(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
+    bounds = _bounds(df, columns, method)
     counted = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(_is_outlier(c, bounds[c]), 1)).alias(f"o{i}")
                                                      for i, c in enumerate(columns)])
     rows = [F.struct(F.lit(c).alias("column_name"), F.lit(method).alias("method"),
@@ -107,10 +105,10 @@ def outlier_summary(df: DataFrame, columns: list[str], method: str = "iqr",
 
 
 @operator("distribution_summary")
-def distribution_summary(df: DataFrame, column: str, single_task_rows: int | None = None) -> DataFrame:
+def distribution_summary(df: DataFrame, column: str) -> DataFrame:
     need_numeric(df, [column])
     v = _number(column)
-    q = quantile_rows(df, [column], [0.25, 0.5, 0.75], single_task_rows)
+    q = quantile_rows(df, [column], [0.25, 0.5, 0.75])
     flat = F.stddev_pop(v) <= TINY
     stats = df.agg(F.lit(column).alias("column_name"), F.count(F.lit(1)).alias("row_count"),
                    F.count(v).alias("non_null_count"), F.min(v).alias("min"), F.max(v).alias("max"),

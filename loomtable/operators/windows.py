@@ -1,17 +1,14 @@
-"""Window calculations that stay exact and spread out when one group is huge.
+"""Window calculations.
 
-A group whose rows fit one task runs as a plain Spark window.  If any group is
-larger than ``hot_group_rows`` the rows are range-partitioned on (group, order),
-numbered chunk by chunk with carried counts, and regrouped into equal blocks of
-the row number.  Neighbours needed across a block edge travel as marked copies,
-and running totals are carried from block to block, so no task sees more than
-a block and no row is dropped.
+With partition keys the calculation is a plain Spark window: a group is sorted, spilled where it must be, and streamed.  Without keys,
+or when the caller passes ``block_rows`` because one group is too long for a task, rows are range-partitioned on (group, order),
+numbered chunk by chunk with carried counts, and regrouped into blocks of the row number.  Neighbours needed across a block edge
+travel as marked copies, and running totals are carried from block to block.  Which form runs depends on the arguments alone, never on
+the number of rows; in blocks a sum adds up inside each block first, then over the blocks before it.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtable.functions.checks import is_numeric, need_columns, need_distinct, need_some
@@ -19,7 +16,7 @@ from loomtable.functions.values import is_blank
 from loomtable.registry import operator
 from loomtable.session import cut_lineage
 
-HOT_GROUP_ROWS = 5_000_000
+BLOCK_ROWS = 1_000_000
 RANKS = ("rank", "percent_rank")
 NUMERIC_KINDS = ("cumulative_sum", "rolling_sum", "rolling_mean")
 KINDS = ("row_number", *RANKS, "lag", "lead", *NUMERIC_KINDS)
@@ -39,13 +36,9 @@ def order_names(order_by: list) -> list[str]:
     return [o if isinstance(o, str) else o["column"] for o in order_by]
 
 
-def has_hot_group(df: DataFrame, keys: list[str], hot_group_rows: int | None) -> bool:
-    limit = HOT_GROUP_ROWS if hot_group_rows is None else hot_group_rows
-    rows = df.count()
-    if rows <= limit or not keys:
-        return rows > limit
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return largest > limit
+def in_blocks(keys: list[str], block_rows: int | None) -> int | None:
+    """Rows of a block, or None for a plain window."""
+    return block_rows or (None if keys else BLOCK_ROWS)
 
 
 def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,13 +46,11 @@ def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("__g", group)
 
 
-def _number_in_chunks(df: DataFrame, order: list[Column], rows_per_task: int,
-                      weight: str | None = None) -> DataFrame:
+def _number_in_chunks(df: DataFrame, order: list[Column], weight: str | None = None) -> DataFrame:
     """Adds ``__rn`` (1, 2, ... per ``__g``) and, with a weight, ``__before``
     (the weight of all earlier rows of the group)."""
-    rows = df.count()
-    parts = max(2, math.ceil(rows / rows_per_task))
-    chunked = cut_lineage(df.repartitionByRange(parts, F.col("__g"), *order)
+    # the chunks are read twice and must be the same both times, so they are written
+    chunked = cut_lineage(df.repartitionByRange(F.col("__g"), *order)
                           .withColumn("__chunk", F.spark_partition_id()))
     w = Window.partitionBy("__g", "__chunk").orderBy(*order)
     earlier = Window.partitionBy("__g").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,29 +73,17 @@ def _number_in_chunks(df: DataFrame, order: list[Column], rows_per_task: int,
 
 @operator("number_rows")
 def number_rows(df: DataFrame, keys: list[str], order_by: list, out: str,
-                hot_group_rows: int | None = None) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """Position of each row in its group, under a unique order."""
     need_columns(df, [*keys, *order_names(order_by)])
     order = sort_columns(order_by)
-    if not has_hot_group(df, keys, hot_group_rows):
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys] or [F.lit(0)]).orderBy(*order)
+    if not in_blocks(keys, block_rows):
+        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    numbered = _number_in_chunks(_grouped(df, keys), order, hot_group_rows or HOT_GROUP_ROWS)
+    numbered = _number_in_chunks(_grouped(df, keys), order)
     return numbered.withColumn(out, F.col("__rn").cast("bigint")).select(*df.columns, out)
 
 
-def running_before(df: DataFrame, keys: list[str], order_by: list, weight: str, out: str,
-                   hot_group_rows: int | None = None) -> DataFrame:
-    """Sum of ``weight`` over the earlier rows of the group."""
-    order = sort_columns(order_by)
-    if not has_hot_group(df, keys, hot_group_rows):
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys] or [F.lit(0)]).orderBy(*order)
-        inside = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        return df.withColumn(out, F.coalesce(inside, F.lit(0)))
-    numbered = _number_in_chunks(_grouped(df, keys), order, hot_group_rows or HOT_GROUP_ROWS, weight)
-    return numbered.withColumn(out, F.col("__before")).select(*df.columns, out)
-
-
 def _check(df: DataFrame, partition_by, order_by, calculations) -> None:
     need_some(order_by, "order column")
     need_some(calculations, "calculation")
@@ -145,14 +124,19 @@ def _row_calc(c: dict, w) -> Column:
 @operator("window_calculation")
 def window_calculation(df: DataFrame, partition_by: list[str], order_by: list,
                        calculations: list[dict], row_id: list[str] | None = None,
-                       hot_group_rows: int | None = None) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """row_number, rank (dense), percent_rank, cumulative_sum, lag, lead,
-    rolling_sum and rolling_mean.  ``row_id`` breaks ties of ``order_by``."""
+    rolling_sum and rolling_mean.  All but the ranks depend on which of two tied rows comes first, so ``order_by``
+    with ``row_id`` must tell the rows of a group apart; without ``row_id``, ties are broken by all orderable columns, so that
+    only rows equal in every one of them are interchangeable."""
     _check(df, partition_by, order_by, calculations)
-    if has_hot_group(df, partition_by, hot_group_rows):
-        return _split_calculation(df, partition_by, order_by, calculations, row_id or [],
-                                  hot_group_rows or HOT_GROUP_ROWS)
-    keys = [F.col(f"`{k}`") for k in partition_by] or [F.lit(0)]
+    if row_id is None:
+        given = {*partition_by, *order_names(order_by)}
+        row_id = [c for c, t in df.dtypes if c not in given and not t.startswith(("map", "variant", "array<map"))]
+    size = in_blocks(partition_by, block_rows)
+    if size:
+        return _split_calculation(df, partition_by, order_by, calculations, row_id or [], size)
+    keys = [F.col(f"`{k}`") for k in partition_by]
     ranked = Window.partitionBy(*keys).orderBy(*sort_columns(order_by))
     w = Window.partitionBy(*keys).orderBy(*sort_columns([*order_by, *(row_id or [])]))
     out = {}
@@ -175,9 +159,9 @@ def window_calculation(df: DataFrame, partition_by: list[str], order_by: list,
 def _split_calculation(df, partition_by, order_by, calculations, row_id, block_rows) -> DataFrame:
     names = order_names(order_by)
     full_order = sort_columns([*order_by, *row_id])
-    rows = _number_in_chunks(_grouped(df, partition_by), full_order, block_rows)
+    rows = _number_in_chunks(_grouped(df, partition_by), full_order)
     if any(c["kind"] in RANKS for c in calculations):
-        rows = _with_ranks(rows, names, sort_columns(order_by), block_rows)
+        rows = _with_ranks(rows, names, sort_columns(order_by))
     before = max([c.get("offset", 1) if c["kind"] == "lag" else c["window_size"] - 1
                   for c in calculations if c["kind"] in ("lag", "rolling_sum", "rolling_mean")] + [0])
     after = max([c.get("offset", 1) for c in calculations if c["kind"] == "lead"] + [0])
@@ -225,11 +209,11 @@ def _split_calculation(df, partition_by, order_by, calculations, row_id, block_r
     return rows.select(*df.columns, *[c["output_column"] for c in calculations])
 
 
-def _with_ranks(rows: DataFrame, names: list[str], order: list[Column], block_rows: int) -> DataFrame:
+def _with_ranks(rows: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
     """Ranks from the distinct order values of each group and their counts."""
     value = F.struct(*[F.col(f"`{n}`") for n in names])
     distinct = rows.groupBy("__g", *names).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = (_number_in_chunks(distinct, order, block_rows, "__n")
+    ranked = (_number_in_chunks(distinct, order, "__n")
               .select("__g", value.alias("__o"), F.col("__rn").alias("__dense"), "__before"))
     totals = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__total"))
     share = F.when(F.col("__total") > 1, F.col("__before") / (F.col("__total") - 1)).otherwise(0.0)
@@ -238,18 +222,18 @@ def _with_ranks(rows: DataFrame, names: list[str], order: list[Column], block_ro
 
 
 def forward_fill(df: DataFrame, columns: list[str], keys: list[str], order_by: list,
-                 hot_group_rows: int | None = None) -> DataFrame:
+                 block_rows: int | None = None) -> DataFrame:
     """Last value that is not blank, in row order; leading blanks stay."""
     need_some(order_by, "order column")
     need_columns(df, [*columns, *keys, *order_names(order_by)])
     present = {c: F.when(~is_blank(df, c), F.col(f"`{c}`")) for c in columns}
-    if not has_hot_group(df, keys, hot_group_rows):
-        w = (Window.partitionBy(*[F.col(f"`{k}`") for k in keys] or [F.lit(0)])
+    size = in_blocks(keys, block_rows)
+    if not size:
+        w = (Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
              .orderBy(*sort_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumns({c: F.coalesce(F.last(p, ignorenulls=True).over(w), F.col(f"`{c}`"))
                                for c, p in present.items()})
-    size = hot_group_rows or HOT_GROUP_ROWS
-    rows = (_number_in_chunks(_grouped(df, keys), sort_columns(order_by), size)
+    rows = (_number_in_chunks(_grouped(df, keys), sort_columns(order_by))
             .withColumn("__block", F.floor((F.col("__rn") - 1) / size)))
     earlier = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (rows.groupBy("__g", "__block")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtable.operators.capacity import (capacity_assessment, capacity_from_inventory, latest_metrics, matched_processes,
                                           parse_inventory)
-from loomtable.operators.masking import mask_ledger, season_factors
+from loomtable.operators.masking import mask_values
 from loomtable.operators.reports import capacity_report_tables, diagnostics_report_tables
 from loomtable.operators.statistics import diagnostics_report
 from loomtable.plans.suite.base import SQL, Tables, day_text, query, rounded, scratch_folder
@@ -67,9 +67,9 @@ def newest_metrics(spark, sf):
 
 def _profiles(spark, sf):
     u = F.col("user_id")
-    users = Tables(spark, sf).events.select("user_id").distinct().filter("user_id % 3 <> 0")
+    users = Tables(spark, sf).events.select("user_id").distinct()
     return users.select(
-        F.concat(F.lit("svc"), u.cast("string")).alias("service"),
+        F.concat(F.when(u % 3 == 0, "other-svc").otherwise("svc"), u.cast("string")).alias("service"),
         F.when(u % 3 == 1, F.when(u % 2 == 0, "core").otherwise("important")).alias("service_tier"),
         F.when(u % 3 == 1, "burst").alias("peak_pattern"), F.when(u % 6 == 1, "critical").alias("failure_impact"),
         F.when(u % 3 == 2, "n_plus_one").alias("redundancy_mode"), F.when(u % 3 == 2, 4).alias("scaling_step"),
@@ -212,39 +212,34 @@ def _bundle_counts(spark, tables):
     return manifest.select("position", "name").join(counts, "name")
 
 
-@query("masked_ledger", """
-    WITH l AS (SELECT o_orderkey AS n, o_orderkey % 12 + 1 AS mo FROM orders),
-         v AS (SELECT *, round((18000 + n % 17 * 1450 + 3 * 320) * (CASE mo WHEN 1 THEN 0.72 WHEN 2 THEN 0.58 WHEN 3 THEN 0.81
-                 WHEN 4 THEN 0.92 WHEN 5 THEN 1.03 WHEN 6 THEN 1.18 WHEN 7 THEN 1.42 WHEN 8 THEN 1.36 WHEN 9 THEN 1.28
-                 WHEN 10 THEN 0.96 WHEN 11 THEN 1.21 ELSE 1.33 END), 2)::DOUBLE AS income,
-                 (['北京', '上海', '广州', '深圳', '杭州', '南京', '苏州', '成都', '重庆', '武汉', '长沙', '郑州', '西安',
-                   '青岛', '厦门', '宁波', '天津', '福州'])[(n + 3) % 18 + 1] AS region FROM l)
-    SELECT n AS row_number, region || (['星河', '云途', '盛景', '华旅', '安程', '嘉境', '明远', '恒信', '天域', '锦川'])[n % 10 + 1]
-             || (['文旅发展有限公司', '商贸有限公司', '供应链管理有限公司', '健康管理有限公司', '汽车服务有限公司', '物业服务有限公司',
-                  '科技有限公司', '农业发展有限公司', '工业设备有限公司', '会展服务有限公司'])[(n + 2) % 10 + 1] AS "客户名称",
-           (['周承泽', '林知夏', '高昱辰', '顾清和', '唐予安', '许嘉木', '宋昭宁', '韩景川', '叶书禾', '陆闻笙'])[(n + 4) % 10 + 1] AS "业务人员",
-           (['终身寿险', '定期寿险', '年金保险', '两全保险', '重大疾病保险', '医疗保险', '团体寿险', '长期护理保险'])[(n + mo) % 8 + 1] AS "险种",
-           printf('2026-%02d', mo) AS "会计月度", income AS "业务收入",
-           'T26' || printf('%02d%02d', mo, n % 28 + 1) || printf('%010d', 1000000000 + n) AS "合同编号",
-           left('13' || n % 9 + 1 || printf('%08d', 80000000 + n), 11) AS "联系电话",
-           strftime(make_date(2026, mo::INTEGER, least(25, 5 + n % 20)::INTEGER) + ((1 + n % 5)::INTEGER) + 365, '%Y-%m-%d') AS "到期日期",
-           region || '样例字段' || (n + 1) AS other, income::DECIMAL(18, 2)::DOUBLE AS total,
-           trunc(income)::BIGINT AS whole, true AS done, '5-LOW' AS kept FROM v""")
-def masked_ledger(spark, sf):
-    o = Tables(spark, sf).orders
-    t = F.col("o_orderpriority")
-    raw = o.select(F.col("o_orderkey").alias("row_number"), *[t.alias(h) for h in ("客户名称", "业务人员", "险种", "会计月度")],
-                   F.col("o_totalprice").alias("业务收入"), t.alias("合同编号"), t.alias("联系电话"),
-                   F.to_date("o_orderdate").alias("到期日期"), t.alias("other"), F.col("o_totalprice").alias("total"),
-                   F.col("o_custkey").alias("whole"), (F.col("o_custkey") > 3).alias("done"), F.lit("5-LOW").alias("kept"))
-    out = mask_ledger(raw, "row_number", "life_2026", "旅责险", keep=["kept"])
-    return out.withColumn("到期日期", day_text("到期日期"))
-
-
-@query("season_factors", """
-    SELECT o_orderkey, CASE month(o_orderdate) WHEN 1 THEN 0.72 WHEN 2 THEN 0.58 WHEN 3 THEN 0.81 WHEN 4 THEN 0.92 WHEN 5 THEN 1.03
-           WHEN 6 THEN 1.18 WHEN 7 THEN 1.42 WHEN 8 THEN 1.36 WHEN 9 THEN 1.28 WHEN 10 THEN 0.96 WHEN 11 THEN 1.21
-           ELSE 1.33 END::DOUBLE AS season_factor FROM orders""")
-def seasons(spark, sf):
-    o = Tables(spark, sf).orders.select("o_orderkey", F.month("o_orderdate").alias("m"))
-    return season_factors(o, "m").drop("m")
+_MASK_RULES = {
+    "orders": [{"column": "o_custkey", "kind": "token", "purpose": "customer", "prefix": "c-"},
+               {"column": "o_orderdate", "kind": "shift_date", "key": "o_custkey", "purpose": "days", "span": 20},
+               {"column": "o_totalprice", "kind": "scale_number", "key": "o_custkey", "purpose": "money", "spread": 0.1},
+               {"column": "o_orderpriority", "kind": "word", "purpose": "level"}],
+    "customer": [{"column": "c_custkey", "kind": "token", "purpose": "customer", "prefix": "c-"},
+                 {"column": "c_name", "kind": "token"}]}
+_DRAW = "('0x' || substr(sha256('pepper|{}|' || {}), 1, 15))::BIGINT % {}"
+
+
+@query("masked_orders", f"""
+    WITH v AS (SELECT p_brand AS word, row_number() OVER (ORDER BY p_brand) - 1 AS n FROM (SELECT DISTINCT p_brand FROM part)),
+         o AS (SELECT 'c-' || substr(sha256('pepper|customer|' || o_custkey), 1, 16) AS customer,
+                      o_orderdate::DATE + ({_DRAW.format('days', 'o_custkey', 41)} - 20)::INTEGER AS day,
+                      round(o_totalprice * (1 + ({_DRAW.format('money', 'o_custkey', 2001)} - 1000) / 1000 * 0.1), 2) AS price,
+                      {_DRAW.format('level', 'o_orderpriority', '(SELECT count(*) FROM v)')} AS k FROM orders),
+         c AS (SELECT 'c-' || substr(sha256('pepper|customer|' || c_custkey), 1, 16) AS customer,
+                      substr(sha256('pepper|c_name|' || c_name), 1, 16) AS name, c_mktsegment FROM customer)
+    SELECT o.customer, name, c_mktsegment, strftime(min(day), '%Y-%m-%d') AS first_day, round(sum(price), 2) AS total,
+           count(DISTINCT word) AS levels, count(*) AS orders
+    FROM o JOIN v ON v.n = o.k JOIN c ON c.customer = o.customer GROUP BY ALL""")
+def masked_orders(spark, sf):
+    """Both tables masked on their own; the join on the masked key still holds."""
+    t = Tables(spark, sf)
+    words = t.part.select("p_brand").distinct()
+    o = mask_values(t.orders.select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority"), _MASK_RULES["orders"], "pepper", words)
+    c = mask_values(t.customer.select("c_custkey", "c_name", "c_mktsegment"), _MASK_RULES["customer"], "pepper")
+    return (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+            .groupBy(F.col("o_custkey").alias("customer"), F.col("c_name").alias("name"), "c_mktsegment")
+            .agg(day_text(F.min("o_orderdate")).alias("first_day"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+                 F.count_distinct("o_orderpriority").alias("levels"), F.count("*").alias("orders")))

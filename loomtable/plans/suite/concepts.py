@@ -19,8 +19,8 @@ _CONCEPTS_SQL = r"""
            FROM tok, unnest(range(1, len(w))) u(s)),
     rare AS (SELECT gram, row_number() OVER (ORDER BY gram) AS g FROM (SELECT DISTINCT gram FROM bi)),
     one AS (SELECT word, row_number() OVER (ORDER BY word) AS g FROM (SELECT DISTINCT unnest(w) AS word FROM tok)),
-    al AS (SELECT gram AS alias_key, source AS concept_id FROM rare JOIN src ON i = g % n WHERE g % 3 = 0
-           UNION ALL SELECT word, source FROM one JOIN src ON i = g % n WHERE g % 2 = 0),
+    al AS (SELECT gram AS alias_key, source AS concept_id FROM rare JOIN src ON i = g % n
+           UNION ALL SELECT word, source FROM one JOIN src ON i = g % n),
     rel AS (SELECT a.source AS from_concept_id, b.source AS to_concept_id, 'supports' AS relation_type, a.i AS position
             FROM src a JOIN src b ON b.i = (a.i + 1) % a.n
             UNION ALL SELECT a.source, b.source, 'depends_on', a.i FROM src a JOIN src b ON b.i = (a.i * 3 + 2) % a.n)"""
@@ -40,7 +40,7 @@ def _ontology(spark, sf):
         F.sequence(F.lit(1), F.size("w") - 1), lambda s: F.array_join(F.slice("w", s, 2), " ")))).alias("alias")).distinct()
     words = w.select(F.explode("w").alias("alias")).distinct()
     number = lambda df: number_rows(df, [], ["alias"], "g")
-    picked = number(grams).filter("g % 3 = 0").unionByName(number(words).filter("g % 2 = 0"))
+    picked = number(grams).unionByName(number(words))
     aliases = picked.join(src, F.col("i") == F.col("g") % n).select(F.col("source").alias("concept_id"), "alias")
     to = src.select(F.col("source").alias("to_concept_id"), F.col("i").alias("j"))
     edge = lambda target, kind: src.join(to, F.col("j") == target % n).select(
@@ -79,7 +79,7 @@ def routed(spark, sf):
 
 
 _SCOPE_SQL = _ROUTES_SQL + """,
-    s0 AS (SELECT question_id, concept_id, place FROM routes WHERE place <= 8 AND place <= 3),
+    s0 AS (SELECT question_id, concept_id, place FROM routes WHERE place <= 100),
     c1 AS (SELECT s.question_id, r.to_concept_id AS concept_id, r.from_concept_id, r.relation_type,
                   (s.place, CASE r.relation_type WHEN 'depends_on' THEN 1 ELSE 2 END, r.position) AS o
            FROM s0 s JOIN rel r ON r.from_concept_id = s.concept_id
@@ -88,7 +88,7 @@ _SCOPE_SQL = _ROUTES_SQL + """,
     s1 AS (SELECT question_id, concept_id, from_concept_id, relation_type,
                   row_number() OVER (PARTITION BY question_id ORDER BY o)
                   + (SELECT count(*) FROM s0 x WHERE x.question_id = d1.question_id) AS place FROM d1 WHERE dup = 1),
-    t1 AS (SELECT * FROM s1 WHERE place <= 8),
+    t1 AS (SELECT * FROM s1 WHERE place <= 100),
     v1 AS (SELECT question_id, concept_id FROM s0 UNION ALL SELECT question_id, concept_id FROM t1),
     c2 AS (SELECT s.question_id, r.to_concept_id AS concept_id, r.from_concept_id, r.relation_type,
                   (s.place, CASE r.relation_type WHEN 'depends_on' THEN 1 ELSE 2 END, r.position) AS o
@@ -100,14 +100,13 @@ _SCOPE_SQL = _ROUTES_SQL + """,
                   + (SELECT count(*) FROM v1 x WHERE x.question_id = d2.question_id) AS place FROM d2 WHERE dup = 1),
     scope AS (SELECT question_id, concept_id, place, 0 AS depth, NULL AS from_concept_id, NULL AS relation_type FROM s0
               UNION ALL SELECT question_id, concept_id, place, 1, from_concept_id, relation_type FROM t1
-              UNION ALL SELECT question_id, concept_id, place, 2, from_concept_id, relation_type FROM s2 WHERE place <= 8)"""
+              UNION ALL SELECT question_id, concept_id, place, 2, from_concept_id, relation_type FROM s2 WHERE place <= 100)"""
 
 
-def _scope(spark, sf):
+def _scope(spark, sf, most=100):
     questions, aliases, relations, nodes = _ontology(spark, sf)
     routes = route_questions(questions, aliases)
-    routes = routes.withColumn("concept_ids", F.slice("concept_ids", 1, 3))
-    return questions, nodes, roam_concepts(routes, relations, ["depends_on", "supports"], 2, 8)
+    return questions, nodes, roam_concepts(routes, relations, ["depends_on", "supports"], 2, most)
 
 
 @query("roamed_concepts", _SCOPE_SQL + """
@@ -116,16 +115,24 @@ def roamed(spark, sf):
     return _scope(spark, sf)[2]
 
 
+@query("roamed_concepts_bounded", _SCOPE_SQL.replace("place <= 100", "place <= 4") + """
+    SELECT question_id, concept_id, place, depth, from_concept_id, relation_type FROM scope""")
+def roamed_bounded(spark, sf):
+    """The walk stops at the bound that the caller sets."""
+    return _scope(spark, sf, 4)[2]
+
+
 @query("retrieved_nodes", _SCOPE_SQL + r""",
     q AS (SELECT item_id AS question_id, list_distinct(regexp_split_to_array(
              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')) AS qw FROM benchmark),
     nw AS (SELECT doc_id AS node_id, source, list_distinct(regexp_split_to_array(translate('about ' || lang || ' ' || text,
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')) AS nw FROM documents)
     SELECT * FROM (SELECT s.question_id, node_id, len(list_filter(list_intersect(qw, nw), lambda w: w <> '')) AS score
-                   FROM scope s JOIN nw ON nw.source = s.concept_id JOIN q ON q.question_id = s.question_id) WHERE score > 0""")
+                   FROM scope s JOIN nw ON nw.source = s.concept_id JOIN q ON q.question_id = s.question_id) WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) <= 25""")
 def retrieved(spark, sf):
     questions, nodes, scope = _scope(spark, sf)
-    return retrieve_nodes(questions, scope, nodes)
+    return retrieve_nodes(questions, scope, nodes, top_k=25)
 
 
 @query("navigated_citations", _ROUTES_SQL + r""",

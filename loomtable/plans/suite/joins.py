@@ -12,23 +12,23 @@ from loomtable.plans.multi_table import execute_multi_table_plan, suggest_multi_
 from loomtable.plans.suite.base import Tables, day_text, query, rounded
 
 
-def _half_customers(t):
-    """Customers under a floating key, with a clashing column name."""
-    return t.customer.filter("c_custkey % 2 = 0").select(
-        F.col("c_custkey").cast("double").alias("cust"), "c_name", F.col("c_acctbal").alias("o_totalprice"))
+def _shifted_customers(t):
+    """Customers under a floating key, with a clashing column name; odd keys are negated and match nothing."""
+    return t.customer.select(
+        F.expr("if(c_custkey % 2 = 0, c_custkey, -c_custkey)").cast("double").alias("cust"), "c_name", F.col("c_acctbal").alias("o_totalprice"))
 
 
 _JOIN = """
     SELECT o_orderkey, o_custkey, o.o_totalprice, cust, c_name, c.o_totalprice AS o_totalprice_right
     FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders) o {how} JOIN (
-      SELECT c_custkey::DOUBLE AS cust, c_name, c_acctbal AS o_totalprice FROM customer
-      WHERE c_custkey % 2 = 0) c ON o_custkey = cust"""
+      SELECT (CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END)::DOUBLE AS cust, c_name,
+             c_acctbal AS o_totalprice FROM customer) c ON o_custkey = cust"""
 
 
 def _join(spark, sf, mode):
     t = Tables(spark, sf)
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    return join_tables(orders, _half_customers(t), "o_custkey", "cust", mode)
+    return join_tables(orders, _shifted_customers(t), "o_custkey", "cust", mode)
 
 
 @query("join_matched_only", _JOIN.format(how="INNER"))
@@ -59,7 +59,7 @@ def join_many_to_many(spark, sf):
 
 @query("join_check", """
     WITH l AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),
-         r AS (SELECT c_custkey AS k, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1),
+         r AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS k, count(*) AS n FROM customer GROUP BY 1),
          s AS (SELECT coalesce(sum(l.n * r.n), 0)::BIGINT AS m,
                       coalesce(sum(CASE WHEN r.n IS NULL THEN l.n END), 0)::BIGINT AS lu,
                       coalesce(sum(CASE WHEN l.n IS NULL THEN r.n END), 0)::BIGINT AS ru,
@@ -75,7 +75,7 @@ def join_many_to_many(spark, sf):
     FROM s""")
 def join_check(spark, sf):
     t = Tables(spark, sf)
-    out = join_preflight(t.orders, _half_customers(t), "o_custkey", "cust")
+    out = join_preflight(t.orders, _shifted_customers(t), "o_custkey", "cust")
     return rounded(out, ["left_match_rate", "right_match_rate"], 6)
 
 
@@ -89,11 +89,13 @@ def join_preview_rows(spark, sf):
 
 @query("looked_up_values", """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(s_name, '') AS supplier, s_acctbal AS balance
-    FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON s_suppkey = l_suppkey""")
+    FROM lineitem LEFT JOIN (SELECT CASE WHEN s_suppkey % 3 = 0 THEN -s_suppkey ELSE s_suppkey END AS s_key, s_name, s_acctbal
+                             FROM supplier) ON s_key = l_suppkey""")
 def looked_up_values(spark, sf):
     t = Tables(spark, sf)
     items = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return lookup_values(items, t.supplier.filter("s_suppkey % 3 <> 0"), ["l_suppkey"], ["s_suppkey"],
+    return lookup_values(items, t.supplier.withColumn("s_suppkey", F.expr("if(s_suppkey % 3 = 0, -s_suppkey, s_suppkey)")),
+                         ["l_suppkey"], ["s_suppkey"],
                          [{"lookup_column": "s_name", "output_column": "supplier"},
                           {"lookup_column": "s_acctbal", "output_column": "balance"}])
 
@@ -196,12 +198,12 @@ def guarded_plan_run(spark, sf):
 
 
 _SOURCES = r"""
-    WITH a AS (SELECT source, n_chars % 50 AS size, doc_id AS left_id,
-                      row_number() OVER (PARTITION BY source, n_chars % 50 ORDER BY doc_id) AS k
-               FROM documents WHERE doc_id % 3 <> 0),
-         b AS (SELECT source, n_chars % 50 AS size, doc_id AS right_id,
-                      row_number() OVER (PARTITION BY source, n_chars % 50 ORDER BY doc_id) AS k
-               FROM documents WHERE doc_id % 4 <> 0)
+    WITH x AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'left ' ELSE '' END || source AS source, n_chars % 50 AS size, doc_id
+               FROM documents),
+         y AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'right ' ELSE '' END || source AS source, n_chars % 50 AS size, doc_id
+               FROM documents),
+         a AS (SELECT source, size, doc_id AS left_id, row_number() OVER (PARTITION BY source, size ORDER BY doc_id) AS k FROM x),
+         b AS (SELECT source, size, doc_id AS right_id, row_number() OVER (PARTITION BY source, size ORDER BY doc_id) AS k FROM y)
     SELECT coalesce(a.source, b.source) AS source, coalesce(a.size, b.size)::VARCHAR AS size,
            coalesce(a.k, b.k) AS occurrence, left_id, right_id,
            CASE WHEN left_id IS NULL THEN 'right_only' WHEN right_id IS NULL THEN 'left_only'
@@ -209,19 +211,23 @@ _SOURCES = r"""
     FROM a FULL JOIN b ON a.source = b.source AND a.size = b.size AND a.k = b.k"""
 
 
+def _two_sides(spark, sf):
+    """All documents twice; some keys are renamed on each side and match nothing."""
+    d = Tables(spark, sf).documents.select("source", (F.col("n_chars") % 50).alias("size"), "doc_id")
+    other = lambda n, name: d.withColumn("source", F.when(
+        F.col("doc_id") % n == 0, F.concat(F.lit(name), "source")).otherwise(F.col("source")))
+    return other(3, "left "), other(4, "right ")
+
+
 @query("reconciled_sources", _SOURCES)
 def reconciled_sources(spark, sf):
-    d = Tables(spark, sf).documents.select("source", (F.col("n_chars") % 50).alias("size"), "doc_id")
-    return reconcile_sources(d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 4 <> 0"), ["source", "size"],
-                             "doc_id", "doc_id")
+    return reconcile_sources(*_two_sides(spark, sf), ["source", "size"], "doc_id", "doc_id")
 
 
 @query("reconciled_sources_split", _SOURCES)
 def reconciled_sources_split(spark, sf):
-    """The same, forced onto the path for groups too large for one task."""
-    d = Tables(spark, sf).documents.select("source", (F.col("n_chars") % 50).alias("size"), "doc_id")
-    return reconcile_sources(d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 4 <> 0"), ["source", "size"],
-                             "doc_id", "doc_id", hot_group_rows=200)
+    """The same in blocks, for groups too long for one task."""
+    return reconcile_sources(*_two_sides(spark, sf), ["source", "size"], "doc_id", "doc_id", block_rows=200)
 
 
 @query("comparable_titles", r"""
@@ -233,7 +239,7 @@ def comparable_titles(spark, sf):
 
 @query("calendar_of_orders", """
     WITH v AS (SELECT o_orderpriority AS priority, o_orderdate::DATE AS day, round(sum(o_totalprice), 2) AS total
-               FROM orders WHERE o_custkey % 40 = 0 GROUP BY ALL),
+               FROM orders GROUP BY ALL),
          d AS (SELECT priority, unnest(generate_series(DATE '1998-12-31' - 365, DATE '1998-12-31',
                                                        INTERVAL 1 DAY))::DATE AS day
                FROM (SELECT DISTINCT priority FROM v))
@@ -241,7 +247,7 @@ def comparable_titles(spark, sf):
            CASE WHEN total IS NULL THEN 'N/A: Not a trading day (weekend or holiday)' END AS note
     FROM d LEFT JOIN v USING (priority, day)""")
 def calendar_of_orders(spark, sf):
-    sums = (Tables(spark, sf).orders.filter("o_custkey % 40 = 0")
+    sums = (Tables(spark, sf).orders
             .groupBy(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("day"))
             .agg(F.round(F.sum("o_totalprice"), 2).alias("total")))
     out = calendar_values(sums, "priority", "day", "total", "1998-12-31", 365)

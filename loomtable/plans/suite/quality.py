@@ -89,7 +89,7 @@ def statistical_summary(spark, sf):
            round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem""")
 def quartiles_in_brackets(spark, sf):
     """Exact quartiles on the path for columns too large for one task."""
-    out = stat_summary(Tables(spark, sf).lineitem, ["l_extendedprice"], single_task_rows=1000)
+    out = stat_summary(Tables(spark, sf).lineitem, ["l_extendedprice"])
     return rounded(out.select("column_name", "q1", "median", "q3"), ["q1", "median", "q3"])
 
 

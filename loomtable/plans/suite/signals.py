@@ -129,7 +129,7 @@ def signals(spark, sf):
     + f" SELECT symbol, {', '.join(SIGNALS)} FROM sig")
 def supplier_signals(spark, sf):
     """The same rules over many more symbols: every supplier."""
-    li = Tables(spark, sf).lineitem.join(Tables(spark, sf).part, F.col("l_partkey") == F.col("p_partkey"))
+    li = Tables(spark, sf).lineitem
     price = F.sqrt("l_extendedprice")
     key = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
     bars = li.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("trade_date")).agg(
@@ -163,17 +163,18 @@ def alignment(spark, sf):
     return _context(spark, sf).select("symbol", "bias", "market_symbol", "sector_symbol", "alignment")
 
 
-# Statement figures per brand from its lines; brands 1-20 report, under changing field names.
+# Statement figures per brand from its lines, under changing field names; those of brands above 20 go to another symbol.
 _STATEMENTS_SQL = """
-    y AS (SELECT p_brand AS symbol, replace(p_brand, 'Brand#', '')::INTEGER AS k,
+    y AS (SELECT CASE WHEN replace(p_brand, 'Brand#', '')::INTEGER > 20 THEN 'other ' ELSE '' END || p_brand AS symbol,
+                 replace(p_brand, 'Brand#', '')::INTEGER AS k,
                  sum(l_extendedprice) FILTER (WHERE year(l_shipdate) = 1999) AS a,
                  sum(l_extendedprice) FILTER (WHERE year(l_shipdate) = 2000) AS b,
                  sum(l_quantity * (l_discount - 0.05)) FILTER (WHERE year(l_shipdate) = 1999) AS pa,
                  sum(l_quantity * (l_discount - 0.05)) FILTER (WHERE year(l_shipdate) = 2000) AS pb
-          FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+          FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
     st AS (SELECT symbol, k, round(b, 2) AS revenue, round((b - a) / a * 100, 3) AS revenue_yoy_pct,
                   round(pb, 2) AS net_profit, CASE WHEN k % 6 <> 0 THEN round((pb - pa) / abs(pa) * 100, 3) END
-                  AS net_profit_yoy_pct, 6.0::DOUBLE + k % 5 AS roe_pct FROM y WHERE k <= 20),
+                  AS net_profit_yoy_pct, 6.0::DOUBLE + k % 5 AS roe_pct FROM y),
     ss AS (SELECT *, CASE WHEN net_profit_yoy_pct IS NULL THEN 'unknown'
                           WHEN revenue_yoy_pct >= 0 AND net_profit_yoy_pct >= 0 THEN 'positive'
                           WHEN revenue_yoy_pct < 0 AND net_profit_yoy_pct < 0 THEN 'negative' ELSE 'mixed' END AS profit_signal,
@@ -192,7 +193,7 @@ def _statements(spark, sf):
         in_year(F.col("l_extendedprice"), 1999).alias("a"), in_year(F.col("l_extendedprice"), 2000).alias("b"),
         in_year(profit, 1999).alias("pa"), in_year(profit, 2000).alias("pb"))
     k = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
-    y = y.withColumn("k", k).filter("k <= 20")
+    y = y.withColumn("k", k).withColumn("symbol", F.when(F.col("k") > 20, F.concat(F.lit("other "), "symbol")).otherwise(F.col("symbol")))
     text = lambda c, d: F.regexp_replace(F.format_number(c, d), "", "")
     row = F.create_map(
         F.lit("REPORT_DATE"), F.lit("2000-12-31 00:00:00"), F.lit("NOTICE_DATE"), F.lit("2001-03-01T08:00"),
@@ -215,13 +216,13 @@ def statements(spark, sf):
     return _statements(spark, sf).withColumn("statement_risks", F.array_join("statement_risks", ","))
 
 
-# Announcement titles per brand: one per part of size below 30, words by part size.
+# Announcement titles per brand: one per part, words by part size; those of some brands go to another symbol.
 _TITLE_SQL = """CASE p_size % 16 WHEN 0 THEN '关于股东减持计划' WHEN 1 THEN '2024年年度报告' WHEN 2 THEN '利润分配方案'
       WHEN 3 THEN '回购股份' WHEN 4 THEN '关于问询函的回复' WHEN 5 THEN '业绩预亏公告' ELSE '董事会决议' END"""
 _NOTICES_SQL = f"""
     a AS (SELECT p_brand AS symbol, replace(p_brand, 'Brand#', '')::INTEGER AS k, p_partkey, {_TITLE_SQL} AS title, p_type,
-                 row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_size % 7 <> 0),
-    an AS (SELECT * FROM a WHERE pos < 8 AND k % 9 <> 0),
+                 row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part),
+    an AS (SELECT * REPLACE (CASE WHEN k % 9 = 0 THEN 'other ' ELSE '' END || symbol AS symbol) FROM a WHERE pos < 8),
     dr AS (SELECT symbol, count(*) AS announcement_count,
                   concat_ws(',', CASE WHEN bool_or(contains(title, '减持')) THEN '减持' END,
                             CASE WHEN bool_or(contains(title, '问询')) THEN '问询' END,
@@ -233,7 +234,7 @@ _NOTICES_SQL = f"""
 
 
 def _notices(spark, sf):
-    part = Tables(spark, sf).part.filter("p_size % 7 <> 0")
+    part = Tables(spark, sf).part
     s = F.col("p_size") % 16
     words = ("关于股东减持计划", "2024年年度报告", "利润分配方案", "回购股份", "关于问询函的回复", "业绩预亏公告")
     title = F.lit("董事会决议")
@@ -248,7 +249,8 @@ def _notices(spark, sf):
                      F.lit("x").alias("art_code"), F.array(F.struct(F.lit("x").alias("column_name"))).alias("columns"))
     doc = F.to_json(F.struct(F.struct(F.concat(F.array(blank), F.col("list")).alias("list")).alias("data")))
     k = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
-    return announcements(per.filter(k % 9 != 0).select("symbol", doc.alias("payload")))
+    symbol = F.when(k % 9 == 0, F.concat(F.lit("other "), "symbol")).otherwise(F.col("symbol"))
+    return announcements(per.select(symbol.alias("symbol"), doc.alias("payload")))
 
 
 @query("announcements", "WITH " + _NOTICES_SQL + """

@@ -96,7 +96,7 @@ def category(title: Column) -> Column:
 def _https(c: Column, host: str) -> Column:
     t = strip(c)
     return (F.when(t.isNull() | (t == ""), None)
-            .when(t.startswith("http://"), F.concat(F.lit("https://"), F.substring(t, 8, 1 << 20)))
+            .when(t.startswith("http://"), F.regexp_replace(t, "^http://", "https://"))
             .when(t.startswith("https://"), t)
             .otherwise(F.concat(F.lit(host + "/"), F.ltrim(F.regexp_replace(t, "^/+", "")))))
 

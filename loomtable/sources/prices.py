@@ -182,12 +182,12 @@ def sync_price_payloads(landed: DataFrame, start: str, end: str, providers: list
 
 @operator("clean_prices")
 def clean_prices(raw: DataFrame, symbol: str = "symbol", day: str = "Date",
-                 hot_group_rows: int | None = None) -> DataFrame:
+                 block_rows: int | None = None) -> DataFrame:
     """Drops rows without a date or close; fills prices forward, then backward."""
     need_columns(raw, [symbol, day, "Close"])
     prices = [c for c in ("Open", "High", "Low", "Close", "Volume") if c in raw.columns]
     rows = raw.withColumn(day, F.col(day).cast("string").try_cast("timestamp").cast("date"))
     rows = rows.withColumns({c: parse_number(strip(F.col(c).cast("string"))) for c in prices})
     rows = rows.filter(F.col(day).isNotNull() & F.col("Close").isNotNull())
-    ahead = forward_fill(rows, prices, [symbol], [day], hot_group_rows)
-    return forward_fill(ahead, prices, [symbol], [{"column": day, "descending": True}], hot_group_rows)
+    ahead = forward_fill(rows, prices, [symbol], [day], block_rows)
+    return forward_fill(ahead, prices, [symbol], [{"column": day, "descending": True}], block_rows)

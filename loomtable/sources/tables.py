@@ -139,9 +139,9 @@ def load_table_region(cells: DataFrame, region: str, header_row_count: int = 1,
 
 @operator("rows_by_position")
 def rows_by_position(df: DataFrame, row_order: list, first: int, last: int, columns: list[str] | None = None,
-                     hot_group_rows: int | None = None) -> DataFrame:
+                     block_rows: int | None = None) -> DataFrame:
     """Rows ``first`` to ``last`` (1-based) of a table under a unique row order."""
-    numbered = number_rows(df, [], row_order, "row_number", hot_group_rows)
+    numbered = number_rows(df, [], row_order, "row_number", block_rows)
     return numbered.filter(F.col("row_number").between(first, last)).select(
         "row_number", *(columns or df.columns))
 

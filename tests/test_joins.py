@@ -125,7 +125,7 @@ def test_plan_execution_statuses(shop):
 def test_reconcile_pairs_kth_with_kth(frame, hot):
     left = frame("k string, id string", *[("a", f"l{i}") for i in range(5)], ("b", "l9"))
     right = frame("k string, id string", *[("a", f"r{i}") for i in range(7)], ("c", "r9"))
-    out = reconcile_sources(left, right, ["k"], "id", "id", hot_group_rows=hot)
+    out = reconcile_sources(left, right, ["k"], "id", "id", block_rows=hot)
     got = {(r.left_id, r.right_id, r.status) for r in out.collect()}
     want = {(f"l{i}", f"r{i}", "matched") for i in range(5)} | {(None, "r5", "right_only"), (None, "r6", "right_only"),
                                                               ("l9", None, "left_only"), (None, "r9", "right_only")}

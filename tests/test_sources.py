@@ -123,7 +123,7 @@ def test_provider_payloads(frame):
 def test_clean_prices(frame, hot):
     raw = frame("symbol string, Date string, Open string, Close string", ("A", "2025-01-01", None, "1"),
                 ("A", "2025-01-02", "5", "2"), ("A", "2025-01-03", "x", "3"), ("A", "bad", "9", "4"), ("A", "2025-01-04", "9", ""))
-    out = clean_prices(raw, hot_group_rows=hot)
+    out = clean_prices(raw, block_rows=hot)
     assert [(r.Open, r.Close) for r in out.orderBy("Date").collect()] == [(5.0, 1.0), (5.0, 2.0), (5.0, 3.0)]
 
 
@@ -196,7 +196,7 @@ def test_stream_upserts(spark, frame, tmp_path):
 
 def test_registry():
     names = list_operators()
-    assert {"filter_rows", "join_tables", "window_calculation", "navigate", "mask_ledger"} <= set(names)
+    assert {"filter_rows", "join_tables", "window_calculation", "navigate", "mask_values"} <= set(names)
     assert get_operator("sort_rows").__name__ == "sort_rows"
 
     @operator("test_only_operator")
