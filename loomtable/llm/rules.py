@@ -65,7 +65,7 @@ def measured(docs: DataFrame, text_col: str, lang_col: str, source_col: str, car
 
 def rates() -> dict[str, Column]:
     """Each measure per thousand, a whole number."""
-    return {m: F.expr(f"coalesce({top} * 1000 div {bottom}, 0L)") for m, (top, bottom, _, _) in MEASURES.items()}
+    return {m: F.expr(f"coalesce({top} * 1000 div nullif({bottom}, 0), 0L)") for m, (top, bottom, _, _) in MEASURES.items()}
 
 
 def sketched(rows: DataFrame) -> DataFrame:
