@@ -145,7 +145,7 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
        case when payload_bytes >= 100 and first < page_id then first end as refers_to from f""")
 def op5(spark, sf_dir):
     folder = scratch(spark)
-    page = "cast(regexp_extract(cast(http as string), 'X-Page-Id: ([^\\r]*)', 1) as long)"
+    page = "try_cast(regexp_extract(cast(http as string), 'X-Page-Id: ([^\\r]*)', 1) as long)"
     converted_archives(arc_archives(table(spark, sf_dir, "pages")), folder, page)
     back = written(warc_records(read_archives(spark, folder), payloads=False).select(
         F.expr(page).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "record_id", "refers_to"))
