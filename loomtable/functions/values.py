@@ -69,12 +69,14 @@ def parse_loose_number(c: Column) -> Column:
 
 
 def join_key(df: DataFrame, name: str, match_blank: bool = False) -> Column:
-    """Trimmed key text; whole floating keys lose ``.0`` so 1 meets 1.0."""
+    """Trimmed key text; floating and decimal keys lose zeros after the point, so 1 meets 1.0 and 1.00."""
     c = F.col(f"`{name}`")
     dt = dtype_of(df, name)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
         t = F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
+    elif isinstance(dt, T.DecimalType) and dt.scale > 0:
+        t = F.regexp_replace(c.cast("string"), r"\.?0+$", "")
     elif isinstance(dt, T.StringType):
         t = strip(c)
     else:

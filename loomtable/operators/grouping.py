@@ -10,9 +10,6 @@ from loomtable.registry import operator
 
 AGGREGATES = {"count": lambda c: F.count(F.lit(1)), "sum": F.sum, "mean": F.avg,
               "min": F.min, "max": F.max}
-MAX_PIVOT_HEADERS = 10_000
-
-
 @operator("group_and_aggregate")
 def group_and_aggregate(df: DataFrame, group_by: list[str], aggregations: list[dict]) -> DataFrame:
     """One hash aggregate for all columns; sorted by the keys, null is a group.
@@ -38,9 +35,28 @@ def pivot_table(df: DataFrame, rows: list[str], columns: list[str], values: list
                 aggregation: str, headers: list[str] | None = None) -> DataFrame:
     """Sum, mean or count of one column; absent cells are null.
 
-    Column keys are joined with `` | `` and sorted.  Pass ``headers`` when they
-    are known: that saves the job that finds them.
+    Column keys are joined with `` | `` and sorted.  Pass ``headers`` when they are known: that saves the job that finds
+    them.  A table has as many columns as there are keys, so beyond some thousand use ``pivot_cells``.
     """
+    keyed, cell = _pivot_cells(df, rows, columns, values, aggregation)
+    keys = [f"__r{i}" for i in range(len(rows))]
+    if headers is None:
+        headers = sorted(r[0] for r in keyed.select("__p").distinct().collect())
+    out = keyed.groupBy(*keys).pivot("__p", headers).agg(cell)
+    return (out.select(*[F.col(k).alias(r) for k, r in zip(keys, rows)],
+                       *[F.col(f"`{h}`") for h in headers]).orderBy(*rows))
+
+
+@operator("pivot_cells")
+def pivot_cells(df: DataFrame, rows: list[str], columns: list[str], values: list[str], aggregation: str) -> DataFrame:
+    """The same cells in long form, for any number of headers: the row columns, header and value."""
+    keyed, cell = _pivot_cells(df, rows, columns, values, aggregation)
+    keys = [f"__r{i}" for i in range(len(rows))]
+    return keyed.groupBy(*keys, "__p").agg(cell.alias("value")).select(
+        *[F.col(k).alias(r) for k, r in zip(keys, rows)], F.col("__p").alias("header"), "value")
+
+
+def _pivot_cells(df: DataFrame, rows: list[str], columns: list[str], values: list[str], aggregation: str):
     for what, given in (("row column", rows), ("pivot column", columns), ("value column", values)):
         need_some(given, what)
     if len(values) > 1:
@@ -56,12 +72,4 @@ def pivot_table(df: DataFrame, rows: list[str], columns: list[str], values: list
                       F.col(f"`{values[0]}`").alias("__v"))
     cell = {"sum": F.sum(F.col("__v").cast("double")), "mean": F.avg(F.col("__v").cast("double")),
             "count": F.count("__v")}[aggregation]
-    if headers is None:
-        found = keyed.select("__p").distinct().limit(MAX_PIVOT_HEADERS + 1).collect()
-        if len(found) > MAX_PIVOT_HEADERS:
-            raise ValueError(f"more than {MAX_PIVOT_HEADERS} pivot columns")
-        headers = sorted(r[0] for r in found)
-    keys = [f"__r{i}" for i in range(len(rows))]
-    out = keyed.groupBy(*keys).pivot("__p", headers).agg(cell)
-    return (out.select(*[F.col(k).alias(r) for k, r in zip(keys, rows)],
-                       *[F.col(f"`{h}`") for h in headers]).orderBy(*rows))
+    return keyed, cell

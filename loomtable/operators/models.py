@@ -195,7 +195,7 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
     x = [F.col(n) for n in names]
     data = df.select(F.col(f"`{row_id}`").alias("id"), *[F.col(f"`{f}`").cast("double").alias(n)
                                                          for f, n in zip(features, names)])
-    data = data.dropna(subset=names).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.dropna(subset=names).repartition("id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         first = data.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*names), "id").alias("c")).first()
         if cluster_count > first["n"]:
@@ -209,7 +209,7 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
             centers.append([far[n] for n in names])
         for _ in range(max(1, max_iterations)):
             rows = (_with_nearest(data, x, centers).groupBy("__k")
-                    .agg(*[F.avg(n).alias(n) for n in names]).collect())
+                    .agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("d"), *[F.avg(n).alias(n) for n in names]).collect())
             moved = [list(c) for c in centers]
             for r in rows:
                 moved[r["__k"]] = [r[n] for n in names]
@@ -217,8 +217,9 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
             centers = moved
             if still:
                 break
-        final = (_with_nearest(data, x, centers).groupBy("__k")
-                 .agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("d")).collect())
+        # the last round found the same centres again, so its sizes and distances hold
+        final = rows if still else (_with_nearest(data, x, centers).groupBy("__k")
+                                    .agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("d")).collect())
         sizes = [0] * cluster_count
         for r in final:
             sizes[r["__k"]] = r["n"]

@@ -217,14 +217,17 @@ def bias_direction(bias: Column) -> Column:
 def contextual_alignment(signals: DataFrame, proxies: DataFrame) -> DataFrame:
     """Stock, market proxy and sector proxy together: tailwind, headwind or mixed.
 
-    ``proxies`` maps symbol to market_symbol and sector_symbol.
+    ``proxies`` maps symbol to market_symbol and sector_symbol.  A symbol without a proxy, or whose proxy has no signal,
+    stays with the alignment ``unavailable``.
     """
     need_columns(signals, ["symbol", "bias"])
     need_columns(proxies, ["symbol", "market_symbol", "sector_symbol"])
     signals = cut_lineage(signals)  # read three times below; one row per symbol
     other = lambda p: signals.select(C("symbol").alias(f"{p}_symbol"), C("bias").alias(f"{p}_bias"))
-    rows = (signals.join(proxies, "symbol").join(other("market"), "market_symbol").join(other("sector"), "sector_symbol"))
+    rows = (signals.join(proxies, "symbol", "left").join(other("market"), "market_symbol", "left")
+            .join(other("sector"), "sector_symbol", "left"))
     own, market, sector = (bias_direction(C(b)) for b in ("bias", "market_bias", "sector_bias"))
-    alignment = _ladder((own == "neutral", "mixed"), ((own == market) & (own == sector), "tailwind"),
+    known = C("market_bias").isNotNull() & C("sector_bias").isNotNull()
+    alignment = _ladder((~known, "unavailable"), (own == "neutral", "mixed"), ((own == market) & (own == sector), "tailwind"),
                         ((own != market) & (own != sector), "headwind"), otherwise="mixed")
     return rows.withColumn("alignment", alignment)

@@ -215,7 +215,7 @@ def _bundle_counts(spark, tables):
 _MASK_RULES = {
     "orders": [{"column": "o_custkey", "kind": "token", "purpose": "customer", "prefix": "c-"},
                {"column": "o_orderdate", "kind": "shift_date", "key": "o_custkey", "purpose": "days", "span": 20},
-               {"column": "o_totalprice", "kind": "scale_number", "key": "o_custkey", "purpose": "money", "spread": 0.1},
+               {"column": "o_totalprice", "kind": "scale_number", "key": "o_custkey", "purpose": "money", "spread": 0.1, "digits": 6},
                {"column": "o_orderpriority", "kind": "word", "purpose": "level"}],
     "customer": [{"column": "c_custkey", "kind": "token", "purpose": "customer", "prefix": "c-"},
                  {"column": "c_name", "kind": "token"}]}
@@ -226,7 +226,7 @@ _DRAW = "('0x' || substr(sha256('pepper|{}|' || {}), 1, 15))::BIGINT % {}"
     WITH v AS (SELECT p_brand AS word, row_number() OVER (ORDER BY p_brand) - 1 AS n FROM (SELECT DISTINCT p_brand FROM part)),
          o AS (SELECT 'c-' || substr(sha256('pepper|customer|' || o_custkey), 1, 16) AS customer,
                       o_orderdate::DATE + ({_DRAW.format('days', 'o_custkey', 41)} - 20)::INTEGER AS day,
-                      round(o_totalprice * (1 + ({_DRAW.format('money', 'o_custkey', 2001)} - 1000) / 1000 * 0.1), 2) AS price,
+                      round(o_totalprice * (1 + ({_DRAW.format('money', 'o_custkey', 2001)} - 1000) / 1000 * 0.1), 6) AS price,
                       {_DRAW.format('level', 'o_orderpriority', '(SELECT count(*) FROM v)')} AS k FROM orders),
          c AS (SELECT 'c-' || substr(sha256('pepper|customer|' || c_custkey), 1, 16) AS customer,
                       substr(sha256('pepper|c_name|' || c_name), 1, 16) AS name, c_mktsegment FROM customer)

@@ -150,13 +150,43 @@ def encoded_target(spark, sf):
     return encode_binary_target(li, "l_linestatus", "F")
 
 
-@query("logistic_model")
+@query("logistic_model", """
+    WITH g AS (SELECT n_chars > 1000 AS long, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS q
+               FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    s AS (SELECT sum(p) AS p, sum(q) AS q, sum(greatest(p, q)) AS hit, max(CASE WHEN NOT long THEN ln(p / q) END) AS a,
+                 max(CASE WHEN long THEN ln(p / q) END) AS b FROM g)
+    SELECT 'coefficient' AS kind, 'long' AS name, round(b - a, 4) AS value FROM s
+    UNION ALL SELECT 'metric', 'intercept', round(a, 4) FROM s
+    UNION ALL SELECT 'metric', 'training_accuracy', round(hit / (p + q), 4) FROM s
+    UNION ALL SELECT 'metric', 'row_count_used', (p + q)::DOUBLE FROM s UNION ALL SELECT 'metric', 'dropped_rows', 0.0
+    UNION ALL SELECT 'metric', 'positive_count', p::DOUBLE FROM s UNION ALL SELECT 'metric', 'negative_count', q::DOUBLE FROM s
+    UNION ALL SELECT 'metric', 'positive_rate', round(p / (p + q), 4) FROM s""")
 def logistic_model(spark, sf):
+    """One 0/1 feature: the fit is the log odds ratio."""
     t = Tables(spark, sf)
-    return rounded(logistic_regression(t.documents.join(t.labels, "doc_id"), ["n_chars"], "quality"), ["value"])
-
-
-@query("event_clusters")
+    rows = t.documents.join(t.labels, "doc_id").withColumn("long", (F.col("n_chars") > 1000).cast("int"))
+    return rounded(logistic_regression(rows, ["long"], "quality"), ["value"])
+
+
+_FAR = ("SELECT list_append(any_value(c), arg_max({{'x': x, 'y': y}}, (list_min(list_transform(c, lambda p: (x - p.x) ** 2 + (y - p.y) ** 2)), -id))) "
+        "AS c FROM e, {}")
+
+
+@query("event_clusters", f"""
+    WITH RECURSIVE e AS (SELECT event_id AS id, value::DOUBLE AS x, hour(ts)::DOUBLE AS y FROM events WHERE value IS NOT NULL),
+    c0 AS (SELECT [{{'x': x, 'y': y}}] AS c FROM e ORDER BY id LIMIT 1),
+    c1 AS ({_FAR.format('c0')}), c2 AS ({_FAR.format('c1')}), c3 AS ({_FAR.format('c2')}),
+    r AS (SELECT 0 AS i, c FROM c3 UNION ALL
+          SELECT i + 1, list({{'x': mx, 'y': my}} ORDER BY k) FROM (
+            SELECT i, k, avg(x) AS mx, avg(y) AS my FROM (
+              SELECT i, x, y, list_position(d, list_min(d)) AS k FROM (
+                SELECT i, x, y, list_transform(c, lambda p: (x - p.x) ** 2 + (y - p.y) ** 2) AS d FROM r, e WHERE i < 100)) GROUP BY ALL)
+          GROUP BY i),
+    f AS (SELECT x, y, c, list_transform(c, lambda p: (x - p.x) ** 2 + (y - p.y) ** 2) AS d FROM e, r WHERE i = 100),
+    n AS (SELECT list_position(d, list_min(d)) AS k, any_value(c) AS c, count(*) AS n, sum(list_min(d)) AS d FROM f GROUP BY 1)
+    SELECT (k - 1)::INTEGER AS cluster_id, n AS row_count, round(n / sum(n) OVER (), 3) AS share, round(sum(d) OVER (), 3) AS inertia,
+           max(n) OVER () / sum(n) OVER () AS largest_cluster_share, round(c[k].x, 3) AS center_value, round(c[k].y, 3) AS center_hour
+    FROM n""")
 def event_clusters(spark, sf):
     e = Tables(spark, sf).events.select("event_id", "value", F.hour("ts").alias("hour"))
     return rounded(cluster_kmeans(e, ["value", "hour"], 4, "event_id"),

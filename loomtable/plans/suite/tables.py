@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomtable.operators.columns import cast_column_types
 from loomtable.operators.grouping import group_and_aggregate
-from loomtable.plans.suite.base import Tables, day_text, query, scratch_folder
-from loomtable.sources.exports import compare_hashes, export_bundle, export_csv, load_bundle
+from loomtable.plans.suite.base import Tables, day_text, query, saved, scratch_folder
+from loomtable.sources.exports import compare_hashes, export_bundle, export_csv, import_csv, load_bundle
 from loomtable.sources.tables import (changed_files, filter_by_first_date, indicator_from_csv, load_as_text,
                                       load_result, load_table_region, normalize_table, result_lineage,
                                       rows_by_position, save_result, source_fingerprint)
@@ -70,14 +70,22 @@ def saved_result_with_lineage(spark, sf):
         "sources": line.select(F.array_join("source_refs", ",")).scalar()})
 
 
-@query("source_files")
+@query("source_files", """
+    SELECT c_nationkey, status, 1::BIGINT AS files FROM (SELECT DISTINCT c_nationkey FROM customer),
+           (VALUES ('missing'), ('new')) v(status)
+    UNION ALL SELECT NULL, 'unchanged', 0""")
 def source_files(spark, sf):
-    """Fingerprints of the table files, and none changed since."""
-    now = source_fingerprint(spark, sf)
-    changed = changed_files(now, source_fingerprint(spark, sf)).groupBy("file_path").count()
-    return now.join(changed, "file_path", "left").select(
-        F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "file_size",
-        F.coalesce("count", F.lit(0)).alias("changes"))
+    """Customers written by nation, then written again: every file is another one; before that none had changed."""
+    path = scratch_folder(spark) + "/customer"
+    rows = Tables(spark, sf).customer.repartition("c_nationkey")
+    rows.write.partitionBy("c_nationkey").parquet(path)
+    first = saved(source_fingerprint(spark, path))
+    same = changed_files(first, source_fingerprint(spark, path)).agg(F.count(F.lit(1)).alias("files"))
+    same = saved(same).select(F.lit(None).cast("int").alias("c_nationkey"), F.lit("unchanged").alias("status"), "files")
+    rows.write.mode("overwrite").partitionBy("c_nationkey").parquet(path)
+    nation = F.regexp_extract("file_path", r"c_nationkey=(\d+)", 1).cast("int")
+    return changed_files(first, source_fingerprint(spark, path)).groupBy(nation.alias("c_nationkey"), "status").agg(
+        F.count(F.lit(1)).alias("files")).unionByName(same)
 
 
 @query("csv_round_trip", """
@@ -86,8 +94,20 @@ def source_files(spark, sf):
 def csv_round_trip(spark, sf):
     p = Tables(spark, sf).part.select(
         "p_partkey", F.concat("p_name", F.lit(' "'), "p_brand", F.lit('", x')).alias("label"), "p_retailprice")
-    path = export_csv(p, scratch_folder(spark))
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    return import_csv(spark, export_csv(p, scratch_folder(spark)))
+
+
+@query("csv_texts", """
+    SELECT doc_id, n_chars, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'null'
+           ELSE ' "' || text || chr(10) || ', ' END AS text FROM documents""")
+def csv_texts(spark, sf):
+    """Whole texts with line breaks, quotes, outer blanks, empty cells, nulls and the word null, through a typed bundle."""
+    d, n = Tables(spark, sf).documents, F.col("doc_id")
+    rows = d.select("doc_id", "n_chars", F.when(n % 5 == 0, None).when(n % 7 == 0, "").when(n % 11 == 0, "null").otherwise(
+        F.concat(F.lit(' "'), "text", F.lit("\n, "))).alias("text"))
+    root = scratch_folder(spark)
+    export_bundle({"documents": rows}, root, "csv")
+    return load_bundle(spark, root)["documents"]
 
 
 @query("table_bundle", """

@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtable.registry import operator
 
-MANIFEST_SCHEMA = "position int, name string, path string, format string, columns array<string>"
+MANIFEST_SCHEMA = "position int, name string, path string, format string, columns array<string>, types array<string>"
+BUNDLE_NULL = "\\N"
 
 
 @operator("export_csv")
 def export_csv(df: DataFrame, path: str, null_text: str = "null") -> str:
-    """Header row, quoted where needed (quotes doubled), null written as text."""
-    (df.write.option("header", True).option("nullValue", null_text).option("escape", '"')
-     .option("emptyValue", "").csv(path))
+    """Header row, every cell quoted (quotes doubled, line breaks and outer blanks kept), null written as ``null_text``.
+    Choose a text that no cell holds if the table is to be read back."""
+    (df.write.option("header", True).option("nullValue", null_text).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
+@operator("import_csv")
+def import_csv(spark: SparkSession, path: str, null_text: str = "null", schema: str | None = None) -> DataFrame:
+    """Reads what ``export_csv`` wrote; without a schema every column is text."""
+    reader = (spark.read.option("header", True).option("nullValue", null_text).option("escape", '"')
+              .option("multiLine", True).option("emptyValue", ""))
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
 @operator("export_bundle")
 def export_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> DataFrame:
     """One folder per named table and a manifest table; the manifest comes back."""
@@ -28,10 +38,10 @@ def export_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet")
     for i, (name, df) in enumerate(tables.items()):
         path = f"{root}/{name}"
         if fmt == "csv":
-            export_csv(df, path)
+            export_csv(df, path, BUNDLE_NULL)
         else:
             df.write.parquet(path)
-        rows.append((i, name, path, fmt, df.columns))
+        rows.append((i, name, path, fmt, df.columns, [t for _, t in df.dtypes]))
     spark = next(iter(tables.values())).sparkSession
     manifest = spark.createDataFrame(rows, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.parquet(f"{root}/manifest")
@@ -41,9 +51,9 @@ def export_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet")
 @operator("load_bundle")
 def load_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest").orderBy("position").collect()
+    ddl = lambda r: ", ".join(f"`{c}` {t}" for c, t in zip(r["columns"], r["types"]))
     return {r["name"]: (spark.read.parquet(r["path"]) if r["format"] == "parquet"
-                        else spark.read.option("header", True).option("nullValue", "null")
-                        .option("escape", '"').csv(r["path"])) for r in rows}
+                        else import_csv(spark, r["path"], BUNDLE_NULL, ddl(r))) for r in rows}
 
 
 @operator("verify_artifacts")

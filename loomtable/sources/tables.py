@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomtable.functions.checks import need_columns
-from loomtable.functions.values import parse_number, strip
+from loomtable.functions.values import strip
 from loomtable.operators.windows import number_rows
 from loomtable.registry import operator
 
@@ -23,12 +23,16 @@ def load_as_text(spark: SparkSession, path: str, fmt: str = "parquet", **options
 def read_cells(spark: SparkSession, path: str, row_column: str = "row_number") -> DataFrame:
     """Headerless delimited text as cells ``_c0, _c1, ...`` with 1-based row numbers.
 
-    Text has no row number of its own, so positions come from ``zipWithIndex``.
+    A row's number is its place in its piece of the file plus the rows of the pieces before, of which there is one count each.
     """
     df = spark.read.csv(path, header=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    numbered = df.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
-    schema = ", ".join([f"{c} string" for c in df.columns] + [f"{row_column} bigint"])
-    return spark.createDataFrame(numbered, schema)
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__piece"),
+                       F.monotonically_increasing_id().alias("__at"))
+    pieces = placed.groupBy("__file", "__piece").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    order = Window.orderBy("__file", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("__file", "__piece", "__first", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    return placed.join(starts, ["__file", "__piece"]).select(
+        *df.columns, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias(row_column))
 
 
 # ---- header names ----
@@ -148,22 +152,28 @@ def rows_by_position(df: DataFrame, row_order: list, first: int, last: int, colu
 
 # ---- saved results with lineage ----
 
-LINEAGE_SCHEMA = "result_ref string, produced_by string, source_refs array<string>, columns array<string>"
+LINEAGE_SCHEMA = "result_ref string, produced_by string, source_refs array<string>, columns array<string>, source_paths array<string>"
 
 
 @operator("save_result")
 def save_result(df: DataFrame, root: str, result_ref: str, produced_by: str,
-                source_refs: list[str] | None = None) -> DataFrame:
-    """Writes ``root/result_ref`` as Parquet and appends a lineage row."""
-    df.write.mode("errorifexists").parquet(f"{root}/{result_ref}")
-    row = [(result_ref, produced_by, list(source_refs or []), df.columns)]
+                source_refs: list[str] | None = None, source_paths: list[str] | None = None) -> DataFrame:
+    """Writes ``root/result_ref`` as Parquet and appends a lineage row; with ``source_paths`` the fingerprints of
+    those files are kept, and ``load_result`` refuses the result once they change."""
     spark = df.sparkSession
+    for i, path in enumerate(source_paths or []):
+        source_fingerprint(spark, path).coalesce(1).write.parquet(f"{root}/sources/{result_ref}/{i}")
+    df.write.mode("errorifexists").parquet(f"{root}/{result_ref}")
+    row = [(result_ref, produced_by, list(source_refs or []), df.columns, list(source_paths or []))]
     spark.createDataFrame(row, LINEAGE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/lineage")
     return load_result(spark, root, result_ref)
 
 
 @operator("load_result")
 def load_result(spark: SparkSession, root: str, result_ref: str) -> DataFrame:
+    lineage = result_lineage(spark, root).filter(F.col("result_ref") == result_ref).first()
+    for i, path in enumerate((lineage and lineage["source_paths"]) or []):
+        require_unchanged(spark.read.parquet(f"{root}/sources/{result_ref}/{i}"), source_fingerprint(spark, path))
     return spark.read.parquet(f"{root}/{result_ref}")
 
 
@@ -230,6 +240,3 @@ def indicator_from_csv(df: DataFrame, indicator: str, current_date: str, look_ba
     rows = df.select(day.alias("time"), strip(F.col(f"`{column}`").cast("string")).alias("value"))
     return rows.filter(F.col("time").between(F.date_sub(last, look_back_days), last)).orderBy("time")
 
-
-def numbers_in(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: parse_number(strip(F.col(f"`{c}`").cast("string"))) for c in columns})
