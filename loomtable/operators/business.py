@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomtable.functions.checks import need_columns, need_numeric
 from loomtable.functions.values import year_month
 from loomtable.registry import operator
+from loomtable.session import cut_lineage
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
@@ -90,6 +91,10 @@ def low_margin_cities(cube: DataFrame, min_orders: int = 300, limit: int = 10) -
 @operator("risk_cities")
 def risk_cities(cube: DataFrame, limit: int = 10) -> DataFrame:
     """Cities that lose money in the worst combination, largest loss first."""
+    return _risk_cities(cut_lineage(cube), limit)
+
+
+def _risk_cities(cube: DataFrame, limit: int = 10) -> DataFrame:
     worst = best_and_worst_combination(cube).filter("which = 'worst'").select("shop", "category")
     rows = cube.filter((F.col("level") == "shop_category_city") & (F.col("profit") < 0))
     return (rows.join(worst, ["shop", "category"], "left_semi").orderBy("profit", "city").limit(limit)
@@ -99,6 +104,7 @@ def risk_cities(cube: DataFrame, limit: int = 10) -> DataFrame:
 @operator("growth_summary")
 def growth_summary(cube: DataFrame) -> DataFrame:
     """First against last year, shares of the worst combination, and uplifts."""
+    cube = cut_lineage(cube)  # read several times below
     years = cube.filter("level = 'year'")
     v = F.struct("revenue", "profit", "profit_rate")
     ends = years.agg(F.count(F.lit(1)).alias("years"), F.min_by(v, "year").alias("a"), F.max_by(v, "year").alias("b"),
@@ -128,7 +134,8 @@ def growth_summary(cube: DataFrame) -> DataFrame:
 @operator("loss_control_priorities")
 def loss_control_priorities(cube: DataFrame) -> DataFrame:
     """P1 stop losses, P2 limit volume, P3 repair structure, P4 keep watching."""
-    risks = risk_cities(cube)
+    cube = cut_lineage(cube)  # read several times below
+    risks = _risk_cities(cube)
     w = Window.orderBy("profit", "city")
     ranked = risks.withColumn("__n", F.row_number().over(w))
     first = ranked.filter("__n = 1").select(F.lit("P1").alias("priority"), F.col("city").alias("object_name"),
@@ -212,9 +219,9 @@ def contribution_attribution(df: DataFrame, period_column: str, dimension_column
     side = lambda p: F.coalesce(F.sum(F.when(period == p, v)), F.lit(0.0))
     per = rows.groupBy(F.col(f"`{dimension_column}`").cast("string").alias("dimension")).agg(
         side(baseline_period).alias("baseline_value"), side(current_period).alias("current_value"))
-    total = rows.agg((side(current_period) - side(baseline_period)).alias("total"))
-    per = (per.withColumn("contribution", F.col("current_value") - F.col("baseline_value"))
-           .withColumn("total_change", total.scalar()))
+    per = cut_lineage(per.withColumn("contribution", F.col("current_value") - F.col("baseline_value")))  # the table is read once
+    total = per.agg(F.coalesce(F.sum("current_value") - F.sum("baseline_value"), F.lit(0.0)).alias("total"))
+    per = per.withColumn("total_change", total.scalar())
     per = per.withColumn("contribution_share", F.when(F.abs("total_change") <= 1e-12, 0.0)
                          .otherwise(F.col("contribution") / F.nullif(F.col("total_change"), F.lit(0.0))))
     way = (F.when(F.col("contribution") > 1e-12, "positive").when(F.col("contribution") < -1e-12, "negative")

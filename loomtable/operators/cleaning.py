@@ -49,9 +49,11 @@ def parse_datetime_columns(df: DataFrame, rules: list[dict]) -> DataFrame:
             raise ValueError(f"unknown target type {r['target_type']!r}")
     n = range(len(rules))
     out = df.withColumns({f"__t{i}": strip(text_of(df, rules[i]["column"])) for i in n})
+    # the usual form needs no pattern groups, and only what is not a date is tried as a number
+    usual = lambda t: F.when((F.length(t) == 10) & t.rlike(r"^\d{4}-\d\d-\d\d$"), t.try_cast("date"))
+    out = out.withColumns({f"__d{i}": F.coalesce(usual(F.col(f"__t{i}")), date_from_text(F.col(f"__t{i}"))) for i in n})
     out = out.withColumns({
-        **{f"__d{i}": date_from_text(F.col(f"__t{i}")) for i in n},
-        **{f"__n{i}": parse_number(F.col(f"__t{i}")) for i in n},
+        **{f"__n{i}": F.when(F.col(f"__d{i}").isNull(), parse_number(F.col(f"__t{i}"))) for i in n},
         **{f"__w{i}": F.regexp_extract(f"__t{i}", r"(?s)^[^\sT]+[\sT](.*)$", 1)
            for i in n if rules[i]["target_type"] == "datetime"}})
     out = out.withColumns({f"__s{i}": F.round((F.col(f"__n{i}") - F.floor(f"__n{i}")) * 86400).cast("int") for i in n})

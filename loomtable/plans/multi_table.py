@@ -15,6 +15,7 @@ from loomtable.operators.joins import join_preflight, join_tables
 from loomtable.operators.links import suggest_table_links
 from loomtable.operators.ordering import append_tables
 from loomtable.registry import operator
+from loomtable.session import cut_lineage
 
 STEP_SCHEMA = ("step_id string, action string, input_refs string, result_ref string, "
                "execution_status string, preflight_step_id string, bindings string, confidence string, "
@@ -117,8 +118,9 @@ def plan_tables(tables: dict[str, DataFrame], max_link_candidates: int = 3) -> T
         check = add("join_preflight", refs, "preflight", **shared)
         step = add("join_tables", refs, "result", preflight_step_id=check, **shared)
         made.add(f"{step}_result")
-        nodes.append((f"{step}_result",
-                      join_tables(left[1], right[1], link["left_column"], link["right_column"])))
+        # later steps read the written rows instead of joining again
+        nodes.append((f"{step}_result", cut_lineage(
+            join_tables(left[1], right[1], link["left_column"], link["right_column"]))))
     plan.unresolved_refs = [ref for ref, _ in nodes]
     return plan
 
