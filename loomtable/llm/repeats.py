@@ -56,7 +56,8 @@ def anchors(text: np.ndarray, sums: np.ndarray, start: int, end: int) -> tuple[n
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """a (anchor), r (its run of strings), no, lo, hi (first and last string), at (anchor's place)."""
+    """a (anchor), r (its run of strings), no, lo, hi (first and last string), at (anchor's place), known (an equal row of the same
+    chunk is earlier, so this one is a later copy whatever else there is)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nos = batch.column(0).to_numpy()
@@ -71,19 +72,30 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                         parts.append((a, r, np.full(len(a), nos[k + i]), lo, hi, at))
                 if parts:
                     a, r, no, lo, hi, at = (np.concatenate(c) for c in zip(*parts))
+                    order = np.lexsort((at, no, r, a))
+                    known = np.zeros(len(a), bool)
+                    known[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (r[order[1:]] == r[order[:-1]])
                     yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(r.view(np.int64)), pa.array(no, pa.int64()),
-                                           pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(at.astype(np.int32))],
-                                          names=["a", "r", "no", "lo", "hi", "at"])
+                                           pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(known)],
+                                          names=["a", "r", "no", "lo", "hi", "at", "known"])
 
-    return docs.mapInArrow(run, "a long, r long, no long, lo int, hi int, at int")
+    return docs.mapInArrow(run, "a long, r long, no long, lo int, hi int, at int, known boolean")
 
 
 def _settled(rows: DataFrame, key: str, same: str, *order: str) -> DataFrame:
     """Rows whose key occurs more than once: with ``later`` (an equal row is first) and ``differs`` (the key has unlike rows).
-    One exchange by key serves both windows."""
+    One exchange by key serves both windows; rows already known to be later copies are dealt out evenly instead, so copies
+    do not gather under one key."""
+    if "known" in rows.columns:
+        settled = F.col("known")
+        rows = rows.withColumn("k", F.when(settled, F.xxhash64(*order)).otherwise(F.col(key))).withColumn(
+            same, F.when(~settled, F.col(same)))
+        key = "k"
+    else:
+        settled = F.lit(False)
     whole = Window.partitionBy(key)
     return (rows.repartition(key)
-            .withColumn("later", F.row_number().over(Window.partitionBy(key, same).orderBy(*order)) > 1)
+            .withColumn("later", settled | (F.row_number().over(Window.partitionBy(key, same).orderBy(*order)) > 1))
             .withColumn("differs", F.min(same).over(whole) < F.max(same).over(whole))
             .filter("later or differs"))
 
