@@ -167,7 +167,7 @@ def _linked(given: DataFrame, signs: DataFrame, classes: DataFrame, percent: int
         if not totals.members:
             break
         left = state.join(sizes.select("key"), "key")
-        last = turn > 0 and (totals.pairs <= 4 * totals.members or totals.pairs > 0.7 * before)
+        last = turn > 0 and (totals.pairs <= 64 * totals.members or totals.pairs > 0.7 * before)
         before = totals.pairs
         if last:
             pairs = _sharing_rare(left.select("rep", "size", "comp").distinct(), sets, percent)
