@@ -160,13 +160,14 @@ def export_layout(spark, sf):
 @query("display_formats", """
     SELECT c_custkey,
            CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || '¥' || format('{:,.2f}', abs(c_acctbal)) AS balance,
-           format('{:.0f}', c_nationkey::DOUBLE) AS whole, format('{:.2f}', c_acctbal) AS two
+           format('{:.0f}', c_nationkey::DOUBLE) AS whole, format('{:.2f}', c_acctbal) AS two,
+           format('{:.2f}', c_nationkey * 12.5) || '%' AS share
     FROM customer""")
 def display_formats(spark, sf):
     c = Tables(spark, sf).customer.select("c_custkey", F.col("c_acctbal").alias("balance"),
                                           F.col("c_nationkey").alias("whole"),
-                                          F.col("c_acctbal").alias("two"))
-    return display_numbers(c, {"balance": "currency", "whole": "integer", "two": "two_decimals"})
+                                          F.col("c_acctbal").alias("two"), (F.col("c_nationkey") / 8).alias("share"))
+    return display_numbers(c, {"balance": "currency", "whole": "integer", "two": "two_decimals", "share": "percent"})
 
 
 @query("rendered_numbers", """

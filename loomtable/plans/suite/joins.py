@@ -197,6 +197,28 @@ def guarded_plan_run(spark, sf):
                                     max_left_unmatched_rows=1_000_000_000)
 
 
+_OUTCOME = "SELECT 'step_1' AS step_id, 'append_tables' AS action, '{}' AS status, {} AS result_ref, {}::VARCHAR AS breaches"
+
+
+@query("plan_without_confirmation", _OUTCOME.format("ok", "'step_1_result'", "NULL") + """
+    UNION ALL SELECT 'step_2', 'join_preflight', 'ok', 'step_2_preflight', NULL
+    UNION ALL SELECT 'step_3', 'join_tables', 'skipped', NULL, NULL""")
+def plan_without_confirmation(spark, sf):
+    """Stops before the first join."""
+    return execute_multi_table_plan(_shop_tables(Tables(spark, sf)))
+
+
+@query("plan_one_step", _OUTCOME.format("ok", "'step_1_result'", "NULL") + """
+    UNION ALL SELECT 'step_2', 'join_preflight', 'skipped', NULL, NULL""")
+def plan_one_step(spark, sf):
+    return execute_multi_table_plan(_shop_tables(Tables(spark, sf)), max_steps=1)
+
+
+@query("plan_until_step", _OUTCOME.format("ok", "'step_1_result'", "NULL"))
+def plan_until_step(spark, sf):
+    return execute_multi_table_plan(_shop_tables(Tables(spark, sf)), stop_after_step_id="step_1")
+
+
 _SOURCES = r"""
     WITH x AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'left ' ELSE '' END || source AS source, n_chars % 50 AS size, doc_id
                FROM documents),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtable.operators.bars import INDICATORS, SNAPSHOT, indicator_series, indicator_snapshot, short_histories
-from loomtable.plans.suite.base import Tables, day_text, query, rounded
-from loomtable.sources.prices import (clean_prices, import_summary, parse_price_rows, recent_bars,
+from loomtable.plans.suite.base import Tables, day_text, query, rounded, scratch_folder
+from loomtable.sources.exports import export_csv
+from loomtable.sources.prices import (clean_prices, import_price_csv, import_summary, parse_price_rows, recent_bars,
                                       sync_price_payloads, upsert_bars)
 
 BARS_SQL = """
@@ -62,6 +63,24 @@ def price_text_rows(spark, sf):
     return _shown(parse_price_rows(raw, ["symbol"]), "bad_fields")
 
 
+@query("imported_price_lines", f"""WITH {BARS_SQL},
+    b AS (SELECT CASE WHEN volume % 10 = 0 THEN 'trade_date' WHEN volume % 10 = 1 THEN 'low,volume' ELSE '' END AS bad_fields,
+                 close, trade_date FROM bars)
+    SELECT bad_fields, count(*) AS rows, count(*) AS lines, count(*) FILTER (bad_fields = '') AS good,
+           round(sum(close), 2) AS closes FROM b GROUP BY 1""")
+def imported_price_lines(spark, sf):
+    """Bars written as CSV with bad cells planted, imported leniently: every row keeps a line of its own."""
+    v = F.col("volume") % 10
+    bars = daily_bars(spark, sf).select(
+        F.when(v == 0, "soon").otherwise(F.date_format("trade_date", "yyyy-MM-dd")).alias("trade_date"), "open", "high",
+        F.when(v == 1, "?").otherwise(F.col("low").cast("string")).alias("low"), "close", F.col("close").alias("adj_close"),
+        F.when(v == 1, "many").otherwise(F.col("volume").cast("string")).alias("volume"))
+    rows = import_price_csv(spark, export_csv(bars, scratch_folder(spark)), "all", strict=False)
+    return rows.groupBy("bad_fields").agg(
+        F.count("*").alias("rows"), F.count_distinct("line_number").alias("lines"),
+        F.count(F.when(F.col("bad_fields") == "", 1)).alias("good"), F.round(F.sum("close"), 2).alias("closes"))
+
+
 @query("upserted_bars", f"""WITH {BARS_SQL}
     SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date,
            CASE WHEN volume % 3 = 0 THEN close + 1 ELSE close END AS close,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtable.operators.columns import cast_column_types
 from loomtable.operators.grouping import group_and_aggregate
 from loomtable.plans.suite.base import Tables, day_text, query, saved, scratch_folder
-from loomtable.sources.exports import compare_hashes, export_bundle, export_csv, import_csv, load_bundle
+from loomtable.sources.exports import compare_hashes, export_bundle, export_csv, import_csv, load_bundle, verify_artifacts
 from loomtable.sources.tables import (changed_files, filter_by_first_date, indicator_from_csv, load_as_text,
                                       load_result, load_table_region, normalize_table, result_lineage,
                                       rows_by_position, save_result, source_fingerprint)
@@ -139,6 +139,27 @@ def artifact_hashes(spark, sf):
     return compare_hashes(manifest, found)
 
 
+@query("artifact_files", """
+    WITH f AS (SELECT n_regionkey AS region, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha FROM nation GROUP BY 1)
+    SELECT region, CASE WHEN region = 3 THEN sha256('other') ELSE sha END AS expected_sha256, sha AS actual_sha256,
+           CASE WHEN region = 3 THEN 'mismatch' ELSE 'matched' END AS status FROM f
+    UNION ALL SELECT NULL, sha256('gone'), NULL, 'missing'""")
+def artifact_files(spark, sf):
+    """Names of nations in one text file per region; the files are read and hashed."""
+    n, path = Tables(spark, sf).nation, scratch_folder(spark)
+    (n.select(F.col("n_name").alias("value"), "n_regionkey").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "value")
+     .write.partitionBy("n_regionkey").text(path))
+    file = F.regexp_extract("file_path", r"(n_regionkey=.*)$", 1)
+    files = source_fingerprint(spark, path).select(
+        file.alias("file_name"), F.regexp_extract("file_path", r"n_regionkey=(\d+)", 1).cast("int").alias("region"))
+    texts = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), "\n").alias("t"))
+    sha = F.when(F.col("region") == 3, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.concat("t", F.lit("\n")), 256))
+    listed = files.join(texts, "region").select("file_name", sha.alias("sha256"))
+    gone = spark.range(1).select(F.lit("gone").alias("file_name"), F.sha2(F.lit("gone"), 256).alias("sha256"))
+    out = verify_artifacts(spark, path, listed.unionByName(gone), folders=True)
+    return out.join(files, "file_name", "left").select("region", "expected_sha256", "actual_sha256", "status")
+
+
 @query("rows_in_date_range", """
     SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey FROM orders
     WHERE o_orderdate BETWEEN DATE '1997-03-01' AND DATE '1998-02-15'""")

@@ -57,10 +57,13 @@ def load_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 @operator("verify_artifacts")
-def verify_artifacts(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """SHA-256 of files against a manifest (file_name, sha256): matched, mismatch or missing."""
+def verify_artifacts(spark: SparkSession, path: str, manifest: DataFrame, folders: bool = False) -> DataFrame:
+    """SHA-256 of files against a manifest (file_name, sha256): matched, mismatch or missing.  With ``folders`` a file's
+    name is its place below ``path``, otherwise its last part."""
+    name = (F.substring_index("path", path.split("://")[-1].removeprefix("file:").rstrip("/") + "/", -1) if folders
+            else F.element_at(F.split("path", "/"), -1))
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
+             .select(name.alias("file_name"),
                      F.sha2("content", 256).alias("actual_sha256")))
     return compare_hashes(manifest, found)
 

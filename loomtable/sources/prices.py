@@ -16,6 +16,7 @@ from loomtable.functions.values import parse_number, strip
 from loomtable.operators.ordering import keep_one_per_key
 from loomtable.operators.windows import forward_fill
 from loomtable.registry import operator
+from loomtable.sources.tables import read_cells
 
 BAR = ("trade_date", "open", "high", "low", "close", "adj_close", "volume")
 # Accepted header names of each field.
@@ -67,16 +68,30 @@ def parse_price_rows(raw: DataFrame, keep: list[str] | None = None) -> DataFrame
 @operator("import_price_csv")
 def import_price_csv(spark: SparkSession, path: str, symbol: str, source: str = "csv_import",
                      strict: bool = True) -> DataFrame:
-    """Bars of one symbol.  Strict: the first bad cell fails the job; otherwise
-    bad rows keep their ``bad_fields`` and can be set aside."""
-    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    rows = parse_price_rows(raw).select(F.lit(symbol).alias("symbol"), *BAR,
-                                        F.lit(source).alias("source"), "bad_fields")
+    """Bars of one symbol.  Strict: a bad cell fails the job with its line; otherwise rows keep ``line_number`` and
+    ``bad_fields``, and ``set_aside`` parts them.  Lines count over all files of the path, header lines and all."""
+    cells = read_cells(spark, path, "line_number")
+    names = [c for c in cells.columns if c != "line_number"]
+    head = cells.filter("line_number = 1").first()
+    if head is None:
+        raise ValueError(f"no header line in {path}")
+    titles = {c: head[c] or c for c in names}
+    body = cells.filter(~reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(head[c])) for c in names]))
+    raw = body.select("line_number", *[F.col(c).alias(t) for c, t in titles.items()])
+    rows = parse_price_rows(raw, ["line_number"]).select("line_number", F.lit(symbol).alias("symbol"), *BAR,
+                                                         F.lit(source).alias("source"), "bad_fields")
     if not strict:
         return rows
-    problem = F.raise_error(F.concat(F.lit("bad price cells: "), F.col("bad_fields"))).cast("date")
+    problem = F.raise_error(F.concat(F.lit("line "), F.col("line_number").cast("string"), F.lit(": bad price cells: "),
+                                     F.col("bad_fields"))).cast("date")
     return rows.withColumn("trade_date", F.when(F.col("bad_fields") != "", problem)
-                           .otherwise(F.col("trade_date"))).drop("bad_fields")
+                           .otherwise(F.col("trade_date"))).drop("bad_fields", "line_number")
+
+
+@operator("set_aside")
+def set_aside(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good bars, quarantined rows with their line and bad fields) of a lenient import."""
+    return rows.filter("bad_fields = ''").drop("bad_fields", "line_number"), rows.filter("bad_fields <> ''")
 
 
 @operator("upsert_bars")
