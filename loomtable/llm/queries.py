@@ -86,7 +86,8 @@ q_dups as (select doc_id, unnest(range(i, i + 5)) as p from (select *, count(*)
 q_rep as (select doc_id, count(distinct p) as r from q_dups group by doc_id),
 q_counts as (select doc_id, lang, source, len(words) as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
-        coalesce(r, 0) as n_repeat_words, len(lines) as n_lines, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) as n_upper
+        coalesce(r, 0) as n_repeat_words, len(lines) as n_lines, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) as n_upper,
+        len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) as n_echoes
         from q_words left join q_rep using (doc_id)),
 q_rows as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from q_counts),
 q_sketch as (select lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) as low, count(*) as n
@@ -96,7 +97,7 @@ q_used as (select f.lang, f.source, f.measure, case when f.total >= 200 then f.q
         from q_fine f join q_lang l on f.lang is not distinct from l.lang and f.measure = l.measure join q_all a on a.measure = f.measure),
 q_fence as (select lang, source, {', '.join(f"max(case when measure = '{m}' then q1 - greatest(3 * (q3 - q1), {s}) end) as lo_{m}, max(case when measure = '{m}' then q3 + greatest(3 * (q3 - q1), {s}) end) as hi_{m}" for m, (_, _, s, _) in MEASURES.items())}
         from q_used group by lang, source),
-judged as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,
+judged as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_echoes, base_failed,
         not base_failed and coalesce({tests}, true) as kept
         from q_rows r left join q_fence f on r.lang is not distinct from f.lang and r.source is not distinct from f.source)"""
 

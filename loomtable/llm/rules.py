@@ -20,10 +20,10 @@ from loomtable.llm.tables import written
 
 SPACE = r"[\x20\x09-\x0D]"
 #: measure -> (numerator, denominator, slack per thousand, whether low values are rejected too)
-MEASURES = {"symbols": ("n_symbols", "n_words", 100, False), "duplicate_lines": ("n_dup_lines", "n_lines", 300, False),
-            "repeats": ("n_repeat_words", "n_words", 100, False), "capitals": ("n_upper", "word_chars", 100, False),
-            "word_length": ("word_chars", "n_words", 1000, True)}
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+MEASURES = {"symbols": ("n_symbols", "n_words", 100, False), "duplicate_lines": ("n_dup_lines", "n_lines", 500, False),
+            "repeats": ("n_repeat_words", "n_words", 200, False), "capitals": ("n_upper", "word_chars", 100, False),
+            "echoes": ("n_echoes", "n_words", 200, False), "word_length": ("word_chars", "n_words", 2500, True)}
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echoes"]
 
 
 def measured(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: list[str]) -> DataFrame:
@@ -45,6 +45,9 @@ def measured(docs: DataFrame, text_col: str, lang_col: str, source_col: str, car
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.when(F.size("words") > 1, F.size(F.filter(
+            F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.get("words", i) == F.get("words", i - 1)))).otherwise(0)
+        .cast("long").alias("n_echoes"),
         windows.alias("windows"))
     # only texts with a repeated window sort their windows, to see each next to its equals
     ordered = hashed.withColumn("ordered", F.when(
