@@ -211,7 +211,19 @@ def op2(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
 
 
-@query("op7_repeated_bytes")
+@query("op7_repeated_bytes", """
+with b as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select doc_id, p, array_slice(b, p, p + 99) as s from (select doc_id, b, unnest(range(1, octet_length(b) - 98)) as p from b)),
+later as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as r from w) where r > 1),
+mark as (select *, case when p - lag(p) over (partition by doc_id order by p) <= 100 then 0 else 1 end as fresh from later),
+part as (select *, sum(fresh) over (partition by doc_id order by p) as k from mark),
+gone as (select doc_id, k, min(p) as s, max(p) + 100 as e from part group by doc_id, k),
+gaps as (select doc_id, k, s, e, coalesce(lag(e) over (partition by doc_id order by k), 1) as f from gone),
+held as (select doc_id, string_agg(hex(array_slice(b, f, s - 1)), '' order by k) as h, max(e) as e, sum(g.e - s) as n, count(*) as c
+        from gaps g join b using (doc_id) group by doc_id)
+select doc_id, octet_length(b) as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(c, 0) as n_spans,
+       sha256(case when c is null then b else unhex(h || coalesce(hex(array_slice(b, held.e, octet_length(b))), '')) end) as kept_sha256
+from b left join held using (doc_id)""")
 def op7(spark, sf_dir):
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
