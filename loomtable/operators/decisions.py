@@ -81,7 +81,8 @@ def integrated_stance(context: DataFrame, statements: DataFrame, disclosures: Da
 def evidence_quality(rows: DataFrame) -> DataFrame:
     """Which sources are missing, and whether the evidence is complete."""
     gaps = F.array_compact(F.array(F.when(C("statement_status") != "available", "statement"),
-                                   F.when(C("disclosure_status") != "available", "disclosure")))
+                                   F.when(C("disclosure_status") != "available", "disclosure"),
+                                   F.when(C("alignment") == "unavailable", "context")))
     return (rows.withColumn("data_gaps", gaps)
             .withColumn("evidence_status", F.when(F.size("data_gaps") == 0, "complete").otherwise("degraded")))
 

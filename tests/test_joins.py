@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -138,3 +140,9 @@ def test_calendar(frame):
     out = rows(calendar_values(s, "symbol", "d", "v", "2026-01-03", 2).withColumn("d", F.col("d").cast("string")), "d")
     assert [(r[1], r[2]) for r in out] == [("2026-01-01", None), ("2026-01-02", 1.0), ("2026-01-03", None)]
     assert out[0][3].startswith("N/A")
+
+
+def test_decimal_keys_meet_whole_ones(frame):
+    left = frame("k decimal(10,2), a int", (Decimal("1.00"), 1), (Decimal("10.50"), 2), (Decimal("100.00"), 3))
+    right = frame("k2 string, b int", ("1", 7), ("10.5", 8), ("100", 9), ("1.00", 10))
+    assert sorted(r.b for r in join_tables(left, right, "k", "k2", "matched_only").collect()) == [7, 8, 9]

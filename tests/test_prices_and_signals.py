@@ -206,19 +206,21 @@ def test_divergence(spark):
 
 def test_context_and_decisions(frame):
     signals = frame("symbol string, bias string, as_of_date string", ("S", "bullish_continuation", "d"), ("M", "bull_trap_risk", "d"),
-                    ("I", "bullish_continuation", "d"), ("X", "bearish_continuation", "d"), ("N", "range_wait", "d"))
+                    ("I", "bullish_continuation", "d"), ("X", "bearish_continuation", "d"), ("N", "range_wait", "d"), ("Q", "range_wait", "d"))
     proxies = frame("symbol string, market_symbol string, sector_symbol string", ("S", "M", "I"), ("X", "M", "I"), ("N", "M", "I"),
-                    ("I", "X", "M"))
+                    ("I", "X", "M"), ("Q", "M", "nobody"))
     context = contextual_alignment(signals, proxies)
     got = {r.symbol: r.alignment for r in context.collect()}
-    assert got == {"S": "tailwind", "X": "headwind", "N": "mixed", "I": "mixed"}
+    assert got == {"S": "tailwind", "X": "headwind", "N": "mixed", "I": "mixed", "M": "unavailable", "Q": "unavailable"}
     st = statement_signals(frame("symbol string, statement_status string, revenue_yoy_pct double, net_profit_yoy_pct double, roe_pct double",
                                  ("S", "available", 5.0, 0.0, 12.0), ("X", "available", -1.0, -2.0, 5.0), ("N", "available", 1.0, None, 9.0)))
     assert {r.symbol: r.profit_signal for r in st.collect()} == {"S": "positive", "X": "negative", "N": "unknown"}
     di = disclosure_flags(frame("symbol string, title string, position int", ("S", "2025年年度报告", 0), ("X", "关于诉讼事项", 0), ("N", "问询函", 0)))
     rows = evidence_quality(integrated_stance(context, st, di))
     out = {r.symbol: r for r in position_plan(decision_card(risk_gates(rows, 0.05, 0.12, 2.0), 0.05, 0.12)).collect()}
-    assert {s: r.stance for s, r in out.items()} == {"S": "constructive", "X": "cautious", "N": "cautious", "I": "technical_only"}
+    assert {s: r.stance for s, r in out.items()} == {"S": "constructive", "X": "cautious", "N": "cautious", "I": "technical_only",
+                                                    "M": "technical_only", "Q": "technical_only"}
+    assert out["Q"].data_gaps == ["statement", "disclosure", "context"]
     assert out["S"].status == "ready_for_review" and out["S"].confidence_score == pytest.approx(0.43)
     assert (out["S"].suggested_gross_pct, out["S"].starter_gross_pct, out["S"].max_gross_pct) == pytest.approx((0.10, 0.06, 0.13))
     assert (out["X"].status, out["X"].event_risk_count, out["X"].plan_status) == ("needs_more_evidence", 1, "probe_only")

@@ -9,7 +9,7 @@ from loomtable import get_operator, list_operators, operator
 from loomtable.sources.disclosures import build_disclosures, dedupe_key, exchange_bulletins, market_route, normalize_ticker
 from loomtable.sources.exports import export_bundle, export_csv, load_bundle, verify_artifacts
 from loomtable.sources.news import distinct_news, news_in_range, parse_articles
-from loomtable.sources.prices import (clean_prices, import_price_csv, import_summary, provider_symbol,
+from loomtable.sources.prices import (clean_prices, import_price_csv, import_summary, provider_symbol, set_aside,
                                       sync_price_payloads, upsert_bars)
 from loomtable.sources.statements import announcements, latest_statement
 from loomtable.sources.tables import (canonicalize_header_paths, changed_files, filter_by_first_date, indicator_from_csv,
@@ -52,24 +52,29 @@ def test_results_lineage_and_fingerprints(spark, frame, tmp_path):
     folder = tmp_path / "src"
     folder.mkdir()
     (folder / "a.csv").write_text("a\n1\n")
+    save_result(frame("a int", (1,)), root, "r2", "load", source_paths=[str(folder)])
+    assert load_result(spark, root, "r2").count() == 1
     before = spark.createDataFrame(source_fingerprint(spark, str(folder)).collect())
     require_unchanged(before, source_fingerprint(spark, str(folder)))
     (folder / "a.csv").write_text("a\n1\n2\n")
     (folder / "b.csv").write_text("a\n")
     assert sorted(column(changed_files(before, source_fingerprint(spark, str(folder))), "status")) == ["changed", "new"]
+    with pytest.raises(ValueError, match="source (changed|new)"):
+        load_result(spark, root, "r2")
     with pytest.raises(ValueError, match="source"):
         require_unchanged(before, source_fingerprint(spark, str(folder)))
 
 
 def test_exports(spark, frame, tmp_path):
-    df = frame("a int, b string", (1, 'say "hi", ok'), (2, None))
+    df = frame("a int, b string", (1, 'say "hi", ok'), (2, None), (3, " two\nlines "), (4, ""), (5, "null"))
     export_csv(df.coalesce(1), str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text()
-    assert text == 'a,b\n1,"say ""hi"", ok"\n2,null\n'
+    assert text.startswith('"a","b"\n"1","say ""hi"", ok"\n"2",') and '"3"," two\nlines "\n' in text
     assert load_as_text(spark, str(tmp_path / "csv"), "csv", escape='"').dtypes == [("a", "string"), ("b", "string")]
     export_bundle({"one": df, "two": df.select("a")}, str(tmp_path / "bundle"), "csv")
     back = load_bundle(spark, str(tmp_path / "bundle"))
-    assert list(back) == ["one", "two"] and rows(back["one"], "a") == [("1", 'say "hi", ok'), ("2", None)]
+    assert list(back) == ["one", "two"] and rows(back["one"], "a") == [
+        (1, 'say "hi", ok'), (2, None), (3, " two\nlines "), (4, ""), (5, "null")]
     files = tmp_path / "files"
     files.mkdir()
     (files / "x.bin").write_bytes(b"abc")
@@ -87,9 +92,11 @@ def test_price_csv(spark, tmp_path):
     assert got[0] == ("600000.SH", "2025-01-02", 1000.5, 2.0, 0.5, 1.5, 1.5, 12000, "csv_import")
     assert got[1][7] == 11
     f.write_text("date,open,high,low,close,adjclose,volume\n2025-01-02,x,2,1,1,1,1\n")
-    with pytest.raises(PySparkException, match="open"):
+    with pytest.raises(PySparkException, match="line 2: bad price cells: open"):
         import_price_csv(spark, str(f), "A").collect()
-    assert column(import_price_csv(spark, str(f), "A", strict=False), "bad_fields") == ["open"]
+    f.write_text("date,open,high,low,close,adjclose,volume\n2025-01-02,x,2,1,1,1,1\n2025-01-03,1,2,1,1,1,1\n")
+    good, bad = set_aside(import_price_csv(spark, str(f), "A", strict=False))
+    assert good.count() == 1 and rows(bad.select("line_number", "bad_fields")) == [(2, "open")]
     f.write_text("date,open\n2025-01-02,1\n")
     with pytest.raises(ValueError, match="missing price columns: high"):
         import_price_csv(spark, str(f), "A")

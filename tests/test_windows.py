@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from conftest import column, rows
 from loomtable.functions.quantiles import quantile_rows
-from loomtable.operators.grouping import group_and_aggregate, pivot_table
+from loomtable.operators.grouping import group_and_aggregate, pivot_cells, pivot_table
 from loomtable.operators.ordering import append_tables, deduplicate_by_key, distinct_rows, sort_rows, top_n
 from loomtable.operators.windows import forward_fill, number_rows, window_calculation
 
@@ -146,3 +146,10 @@ def test_ordering(frame):
     assert rows(by_text.select("id", "score"), "id") == [("1", "9"), ("2", "1")]
     with pytest.raises(ValueError, match="same columns"):
         append_tables(df, versions)
+
+
+def test_long_pivot_has_the_cells_of_the_wide_one(frame):
+    df = frame("r string, c string, v int", ("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("a", "x", 4), (None, "z", 5))
+    wide = pivot_table(df, ["r"], ["c"], ["v"], "sum").collect()
+    long = {(r.r, r.header): r.value for r in pivot_cells(df, ["r"], ["c"], ["v"], "sum").collect()}
+    assert long == {(w["r"], h): w[h] for w in wide for h in "xyz" if w[h] is not None}
