@@ -230,7 +230,7 @@ _DRAW = "('0x' || substr(sha256('pepper|{}|' || {}), 1, 15))::BIGINT % {}"
                       {_DRAW.format('level', 'o_orderpriority', '(SELECT count(*) FROM v)')} AS k FROM orders),
          c AS (SELECT 'c-' || substr(sha256('pepper|customer|' || c_custkey), 1, 16) AS customer,
                       substr(sha256('pepper|c_name|' || c_name), 1, 16) AS name, c_mktsegment FROM customer)
-    SELECT o.customer, name, c_mktsegment, strftime(min(day), '%Y-%m-%d') AS first_day, round(sum(price), 2) AS total,
+    SELECT o.customer, name, c_mktsegment, strftime(min(day), '%Y-%m-%d') AS first_day, round(sum(price), 0) AS total,
            count(DISTINCT word) AS levels, count(*) AS orders
     FROM o JOIN v ON v.n = o.k JOIN c ON c.customer = o.customer GROUP BY ALL""")
 def masked_orders(spark, sf):
@@ -241,5 +241,5 @@ def masked_orders(spark, sf):
     c = mask_values(t.customer.select("c_custkey", "c_name", "c_mktsegment"), _MASK_RULES["customer"], "pepper")
     return (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(F.col("o_custkey").alias("customer"), F.col("c_name").alias("name"), "c_mktsegment")
-            .agg(day_text(F.min("o_orderdate")).alias("first_day"), F.round(F.sum("o_totalprice"), 2).alias("total"),
+            .agg(day_text(F.min("o_orderdate")).alias("first_day"), F.round(F.sum("o_totalprice"), 0).alias("total"),
                  F.count_distinct("o_orderpriority").alias("levels"), F.count("*").alias("orders")))

@@ -142,11 +142,12 @@ _CONTEXT_SQL = SIGNALS_SQL + """,
     d AS (SELECT *, CASE WHEN bias IN ('bullish_continuation', 'bull_trap_risk') THEN 'bullish'
                          WHEN bias IN ('bearish_continuation', 'bear_trap_risk') THEN 'bearish' ELSE 'neutral' END AS way
           FROM sig),
-    ctx AS (SELECT d.symbol, d.as_of_date, d.bias, m.symbol AS market_symbol, s.symbol AS sector_symbol,
-                   CASE WHEN d.way = 'neutral' THEN 'mixed' WHEN d.way = m.way AND d.way = s.way THEN 'tailwind'
+    px AS (SELECT *, 'Brand#' || (replace(symbol, 'Brand#', '')::INTEGER % 5 + 1) AS market_symbol,
+                  'Brand#' || (replace(symbol, 'Brand#', '')::INTEGER % 3 + 6) AS sector_symbol FROM d),
+    ctx AS (SELECT d.symbol, d.as_of_date, d.bias, market_symbol, sector_symbol,
+                   CASE WHEN m.symbol IS NULL OR s.symbol IS NULL THEN 'unavailable' WHEN d.way = 'neutral' THEN 'mixed' WHEN d.way = m.way AND d.way = s.way THEN 'tailwind'
                         WHEN d.way <> m.way AND d.way <> s.way THEN 'headwind' ELSE 'mixed' END AS alignment
-            FROM d JOIN d m ON m.symbol = 'Brand#' || (replace(d.symbol, 'Brand#', '')::INTEGER % 5 + 1)
-            JOIN d s ON s.symbol = 'Brand#' || (replace(d.symbol, 'Brand#', '')::INTEGER % 3 + 6))"""
+            FROM px d LEFT JOIN d m ON m.symbol = market_symbol LEFT JOIN d s ON s.symbol = sector_symbol)"""
 
 
 def _context(spark, sf):
@@ -278,9 +279,10 @@ def flags(spark, sf):
                          WHEN alignment = 'mixed' AND profit_signal = 'positive' AND dr = '' THEN 'watchful_positive'
                          WHEN alignment = 'headwind' OR profit_signal = 'negative' OR dr <> '' THEN 'cautious'
                          ELSE 'mixed_watch' END AS stance,
-                 CASE WHEN no_statement OR no_disclosure THEN 'degraded' ELSE 'complete' END AS evidence_status,
+                 CASE WHEN no_statement OR no_disclosure OR alignment = 'unavailable' THEN 'degraded' ELSE 'complete' END AS evidence_status,
                  concat_ws(',', CASE WHEN no_statement THEN 'statement' END,
-                           CASE WHEN no_disclosure THEN 'disclosure' END) AS data_gaps FROM j),
+                           CASE WHEN no_disclosure THEN 'disclosure' END,
+                           CASE WHEN alignment = 'unavailable' THEN 'context' END) AS data_gaps FROM j),
     dw AS (SELECT *, CASE WHEN data_gaps <> '' THEN 1 ELSE 0 END + CASE WHEN alignment <> 'tailwind' THEN 1 ELSE 0 END
                  + CASE WHEN event_risk_count > 0 OR evidence_status <> 'complete' THEN 1 ELSE 0 END AS warn_count FROM q),
     u AS (SELECT *, CASE WHEN evidence_status <> 'complete' OR warn_count > 0 THEN 'needs_more_evidence'
