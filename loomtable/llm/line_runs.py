@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from loomtable.llm.tables import columns, written
+from loomtable.llm.tables import columns, marked, written
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,7 +53,7 @@ def _numbered(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def suffix_ranks(lines: DataFrame) -> DataFrame:
     """d, pos, line, seg, rank: equal ranks only for positions whose segments end alike."""
-    ranks, h = written(lines.withColumn("rank", F.col("line"))), 1
+    ranks, h = lines.withColumn("rank", F.col("line")), 1
     order = Window.partitionBy("d").orderBy("pos")
     while True:
         there = F.lead("pos", h).over(order) == F.col("pos") + h
@@ -62,10 +62,10 @@ def suffix_ranks(lines: DataFrame) -> DataFrame:
         numbers = _numbered(pairs, "rank", "r2")
         more = numbers.filter("n > 1 and r2 is not null").limit(1).count()
         named = numbers.select(F.col("rank").alias("o1"), F.col("r2").alias("o2"), "next")
-        ranks = written(paired.join(named, (F.col("rank") == F.col("o1")) & F.col("r2").eqNullSafe(F.col("o2")))
-                        .select("d", "pos", "line", "seg", F.col("next").alias("rank")))
+        ranks = (paired.join(named, (F.col("rank") == F.col("o1")) & F.col("r2").eqNullSafe(F.col("o2")))
+                 .select("d", "pos", "line", "seg", F.col("next").alias("rank")))
         if not more:
-            return ranks
+            return written(ranks)
         h *= 2
 
 
@@ -155,5 +155,9 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
                                   names=["id", "n_lines", "n_removed", "n_runs", "kept_text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = documents.join(starts, "d", "left").select(F.col("d.id").alias("id"), "text", "starts")
+    # only texts that may lose lines are shuffled to meet their starts
+    texts = marked(documents, "d", starts, "d")
+    joined = (texts.filter("_possible").join(starts, "d", "left").select("d", "text", "starts")
+              .unionByName(texts.filter("not _possible").select("d", "text", F.lit(None).cast("array<int>").alias("starts")))
+              .select(F.col("d.id").alias("id"), "text", "starts"))
     return joined.mapInArrow(run, f"id {kind}, n_lines long, n_removed long, n_runs long, kept_text string").withColumnRenamed("id", id_col)

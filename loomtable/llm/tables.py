@@ -29,7 +29,12 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
 
 
 def possibly_among(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
-    """The rows whose key's fingerprint is marked by one of the ids, before a join that decides exactly.
+    """The rows whose key's fingerprint is marked by one of the ids, before a join that decides exactly."""
+    return marked(df, key, ids, id_col, bits).filter("_possible").drop("_possible")
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
+    """The rows with ``_possible``: false only where no id has the key.
 
     The marks are a bitmap of fixed size (at most 2 ** (bits - 6) rows of 64 marks), so its broadcast is bounded whatever
     the number of ids; with many more ids than marks it only lets more rows through."""
@@ -38,6 +43,7 @@ def possibly_among(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: i
 
     marks = (ids.select(place(F.col(id_col)).alias("h"))
              .groupBy(F.shiftright("h", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("_mask")))
-    marked = df.withColumn("_h", place(F.col(key))).withColumn("_word", F.shiftright("_h", 6))
-    return (marked.join(F.broadcast(written(marks)), "_word").filter(F.expr("shiftright(_mask, cast(_h & 63 as int)) & 1 = 1"))
+    placed = df.withColumn("_h", place(F.col(key))).withColumn("_word", F.shiftright("_h", 6))
+    return (placed.join(F.broadcast(written(marks)), "_word", "left")
+            .withColumn("_possible", F.expr("coalesce(shiftright(_mask, cast(_h & 63 as int)) & 1 = 1, false)"))
             .drop("_h", "_word", "_mask"))
