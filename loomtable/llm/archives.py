@@ -211,11 +211,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def parsed_warc(name: str, content: bytes) -> Iterator[dict]:
     """The response, resource and revisit records of one archive, with sizes and digests of what was read."""
-    at = 0
+    at, whole = 0, memoryview(content)
     while at < len(content):
-        member = zlib.decompressobj(31)
-        data = member.decompress(content[at:] if at else content)
-        where, at = at, len(content) - len(member.unused_data)
+        # a member is fed in slices, as what follows it is copied when it ends
+        member, where, parts = zlib.decompressobj(31), at, []
+        while not member.eof and at < len(content):
+            parts.append(member.decompress(whole[at:at + 16384]))
+            at += 16384
+        at = min(at, len(content)) - len(member.unused_data)
+        data = b"".join(parts)
         if not data:
             continue
         cut = data.index(b"\r\n\r\n")
