@@ -14,8 +14,9 @@ from loomtable.llm.decontaminate import benchmark_hits, without_benchmark
 from loomtable.llm.grouping_sort import suffix_array
 from loomtable.llm.line_runs import repeated_lines, suffix_ranks, without_repeated_runs, _documents
 from loomtable.llm.minhash import near_duplicates, one_of_each
-from loomtable.llm.mixing import mixed, mixed_order, one_period, phases, shares
+from loomtable.llm.mixing import mixed, mixed_order, one_period, phases, shares, whole_weights
 from loomtable.llm.quality import scored, train
+from loomtable.llm.queries import QUERIES
 from loomtable.llm.repeats import without_repeats
 from loomtable.llm.rules import passing, quality_rules
 from loomtable.llm.sharding import lookup_table, placed
@@ -356,3 +357,26 @@ def test_mixing_against_a_walk(spark):
     assert mixed(df.limit(0), {}).count() == 0 and phases({}, {}, 10) == []
     with pytest.raises(ValueError):
         mixed(df, {"a": -1})
+
+
+@pytest.mark.parametrize("weights", [{"src0": 4, "src1": 3, "src2": 2, **{f"src{i}": 1 for i in range(3, 20)}}, {"a": 0.1, "b": 0.7, "c": 2.5},
+                                     {"a": 5, "b": Fraction(1, 3)}, {f"s{i}": 1 + i % 3 for i in range(1200)}])
+def test_mix_follows_the_target_weights_over_many_periods(weights):
+    total = sum(Fraction(str(w)) for w in weights.values())
+    blocks = {s: 40 + int(3000 * Fraction(str(w)) / total) for s, w in weights.items()}
+    (_, first, plan), *_ = steps = phases(blocks, weights)
+    until = steps[1][0] if len(steps) > 1 else sum(blocks.values())
+    assert until > 3000 and set(first.values()) == {0}
+    count, near = dict.fromkeys(weights, 0), 0
+    for t in range(until):
+        count[plan[t % len(plan)]] += 1
+        if t % 41 == 0 or t < 60:
+            near = max(near, *(abs(count[s] - Fraction(str(w)) / total * (t + 1)) for s, w in weights.items()))
+    assert near < 1
+
+
+def test_mixing_takes_more_sources_than_a_thousand_and_long_periods(spark):
+    df = spark.createDataFrame([(i, f"s{i % 1100}") for i in range(2200)], "doc_id long, source string")
+    out = mixed(df, {"s0": 3, "s1": 0.123456789}, block_rows=1)
+    assert sorted(r.slot for r in out.collect()) == list(range(2200))
+    assert whole_weights({"a": 0.5, "b": 1, "c": Fraction(3, 2)}) == {"a": 1, "b": 2, "c": 3}
