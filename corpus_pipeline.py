@@ -1,14 +1,14 @@
 """Corpus pipeline: five operators in turn over ``documents``.
 
 Each stage gets the rows that the stage before kept, written as Parquet and read again, and returns rows with
-the same columns; the last adds the shard.
+the same columns; the last adds the shard.  Rows are decided one by one: rows without an id, or with another row's, are examined too.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtable.llm.decontaminate import without_benchmark
+from loomtable.llm.decontaminate import rows_without_benchmark
 from loomtable.llm.minhash import one_of_each
 from loomtable.llm.mixing import mixed_order
 from loomtable.llm.queries import (
@@ -24,13 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
+    """One row of each group stays, the one with the smallest id."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows that hold a benchmark item go."""
+    return rows_without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

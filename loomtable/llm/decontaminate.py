@@ -180,3 +180,24 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The documents that hold no item.  The ids that go are written once; a null id never leaves."""
     bad = written(benchmark_hits(docs, benchmark, id_col, **names).select(F.col(id_col).alias("_leak_id")).distinct())
     return docs.join(bad, F.col(f"`{id_col}`") == F.col("_leak_id"), "left_anti")
+
+
+def rows_without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                           item_text_col: str = "text", similarity: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows that hold no item, each decided by its own text, whatever its id: whole rows pass one map per block of items."""
+    items, at_text = columns(benchmark, id=item_col, text=item_text_col), docs.columns.index(text_col)
+    context, out = docs.sparkSession.sparkContext, docs
+    for block in item_blocks(items, block_bytes):
+        shared = context.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for at, texts in batches_of_bytes(batch.column(at_text)):
+                    clean[[at + h[0] for h in index.hits(texts) if h[4] >= similarity]] = False
+                yield batch.filter(pa.array(clean))
+                pa.default_memory_pool().release_unused()
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -14,8 +14,9 @@ similarity share one of their first few; pairs of one component are left out.  S
 frequent passage but little else are never paired.  Links are confirmed on the full sets.
 
 Defined results: a null id is kept as a document of its own that links with nothing; rows that repeat an id
-are one document each for its set (the first text in byte order counts) and one row in the result; empty texts have
-n_shingles 0 and link with nothing; an empty table gives an empty result.  Extra columns are not read.
+are one document with a row each in the result (of its different texts, the one whose set has the smallest fingerprint counts); empty texts have
+n_shingles 0 and link with nothing; an empty table gives an empty result.  Extra columns are not read.  ``one_of_each`` decides
+by row, not by id: rows without an id and rows that repeat one are documents like any other.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from loomtable.llm.components import connected
-from loomtable.llm.tables import columns, possibly_among, written
+from loomtable.llm.tables import columns, possibly_among, row_keyed, written
 from loomtable.llm.words import Words, batches_of_bytes, mixed
 
 
@@ -247,7 +248,9 @@ def _with_leaders(left: DataFrame, turn: int) -> DataFrame:
 
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows with their own columns, without near-duplicates of a smaller id; null ids stay."""
-    gone = written(near_duplicates(docs, id_col, **options).filter("not kept").select(F.col(id_col).alias("_gone_id")))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone_id"), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows with their own columns, without near-duplicates of an earlier row: one of a smaller id (a null id comes last), of
+    equal ids one whose text has the smaller fingerprint."""
+    rows = row_keyed(docs, id_col, text_col)
+    gone = written(near_duplicates(rows, "_row_key", text_col, **options).filter("not kept").select(F.col("_row_key").alias("_gone")))
+    return rows.join(gone, F.col("_row_key") == F.col("_gone"), "left_anti").drop("_row_key")

@@ -23,6 +23,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(df: DataFrame, id_col: str, text_col: str, name: str = "_row_key") -> DataFrame:
+    """The rows with a key of their own, in the order of their ids, null ids last, then of fingerprints of their texts.
+
+    Ids that are there and differ are such keys already; otherwise the rows are written once, so that no later run can
+    renumber them."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    counts = df.groupBy(id_.alias("id")).agg(F.count("*").alias("n"))
+    if not counts.filter("n > 1 or id is null").limit(1).count():
+        return df.withColumn(name, id_)
+    return written(df.withColumn(name, F.struct(
+        id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("print"), F.monotonically_increasing_id().alias("no"))))
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])

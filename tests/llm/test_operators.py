@@ -10,7 +10,7 @@ import pytest
 from loomtable.llm.archives import (arc_archives, arc_block, arc_record, converted, converted_archives, parsed_arc, read_archives,
                                     warc_records)
 from loomtable.llm.chat import digests, escaped, formatted, parsed, rendered, unescaped
-from loomtable.llm.decontaminate import benchmark_hits, without_benchmark
+from loomtable.llm.decontaminate import benchmark_hits, rows_without_benchmark, without_benchmark
 from loomtable.llm.grouping_sort import suffix_array
 from loomtable.llm.line_runs import repeated_lines, suffix_ranks, without_repeated_runs, _documents
 from loomtable.llm.minhash import near_duplicates, one_of_each
@@ -164,6 +164,15 @@ def test_benchmark_windows(spark, docs):
     assert benchmark_hits(d, items.limit(0)).count() == 0 and benchmark_hits(d.limit(0), items).count() == 0
 
 
+def test_rows_are_decontaminated_one_by_one(spark, docs):
+    item = prose(1, 30)
+    d = docs((None, item), (None, prose(2, 40)), (5, "x " + item), (5, prose(3, 40)), (6, prose(4, 40)))
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    for rows, left in ((d, {(None, prose(2, 40)), (5, prose(3, 40)), (6, prose(4, 40))}), (d.filter("doc_id = 6"), {(6, prose(4, 40))})):
+        out = rows_without_benchmark(rows, items)
+        assert {(r.doc_id, r.text) for r in out.collect()} == left and out.columns == d.columns
+
+
 # ---- 5 archives ----
 
 def test_archives_round_trip(spark):
@@ -212,6 +221,14 @@ def test_near_duplicates(docs):
     assert near_duplicates(d.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_equal_ids_are_deduplicated(docs):
+    base, other = prose(1, 60), prose(2, 60)
+    d = docs((None, base), (None, base.upper()), (7, base), (3, other), (3, prose(3, 60)), (3, other), (None, ""), (None, prose(4, 60)), (None, prose(4, 60)))
+    out = sorted(((r.doc_id, r.text) for r in one_of_each(d).collect()), key=str)
+    assert out == sorted([(7, base), (3, other), (3, prose(3, 60)), (None, ""), (None, prose(4, 60))], key=str)
+    assert one_of_each(d).columns == d.columns and one_of_each(d.limit(0)).count() == 0
+
+
 # ---- 7 repeated bytes ----
 
 def model_repeats(texts):
