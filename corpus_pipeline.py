@@ -2,15 +2,16 @@
 
 Each stage gets the rows that the stage before kept, written as Parquet and read again, and returns rows with
 the same columns; the last adds the shard.  Rows are decided one by one: rows without an id, or with another row's, are examined too.
+A later read need not keep the order of the mixing stage, so the last stage places the rows again and sorts each shard by the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtable.llm.decontaminate import rows_without_benchmark
 from loomtable.llm.minhash import one_of_each
-from loomtable.llm.mixing import mixed_order
+from loomtable.llm.mixing import mixed, mixed_order
 from loomtable.llm.queries import (
     SHARDS, WEIGHTS, benchmark_hits_sql, near_duplicate_sql, quality_rules_sql, shard_sql)
 from loomtable.llm.rules import passing
@@ -39,8 +40,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the shard that each goes to."""
-    return placed(docs, "doc_id", SHARDS)
+    """All documents with the shard that each goes to, sorted by shard, then in the order of the mix."""
+    mix = mixed(docs, WEIGHTS).select("row.*", F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place"))
+    order = ["shard", "_mix_slot", "_mix_place"]
+    return placed(mix, "doc_id", SHARDS).repartitionByRange(*order).sortWithinPartitions(*order).drop("_mix_slot", "_mix_place")
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("decontamination", decontamination),
