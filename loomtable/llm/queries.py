@@ -211,6 +211,20 @@ def op2(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
 
 
+@query("op2_line_runs_of_one", """
+with l as (select doc_id, unnest(case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end) as line,
+        generate_subscripts(case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end, 1) - 1 as pos from documents),
+n as (select *, row_number() over (partition by line order by doc_id, pos) > 1 as g from l),
+m as (select *, lag(g, 1, false) over (partition by doc_id order by pos) as before from n)
+select d.doc_id, count(m.pos) as n_lines, count(*) filter (g) as n_removed, count(*) filter (g and not before) as n_runs,
+       md5(coalesce(string_agg(line, chr(10) order by m.pos) filter (not g), '')) as kept_md5
+from documents d left join m on m.doc_id = d.doc_id group by d.doc_id""")
+def op2_of_one(spark, sf_dir):
+    """Repeated runs of any length: a single line that occurs earlier goes too."""
+    out = without_repeated_runs(table(spark, sf_dir, "documents"), min_lines=1)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5("kept_text").alias("kept_md5"))
+
+
 @query("op7_repeated_bytes", """
 with b as (select doc_id, encode(coalesce(text, '')) as b from documents),
 w as (select doc_id, p, array_slice(b, p, p + 99) as s from (select doc_id, b, unnest(range(1, octet_length(b) - 98)) as p from b)),

@@ -105,6 +105,14 @@ def test_line_runs_edges(docs):
     assert without_repeated_runs(d.limit(0)).count() == 0
 
 
+def test_registered_runs_of_one_line(spark, tmp_path, docs):
+    texts = {1: "head\nbody one", 2: "whole text", 3: "head\nbody two\nhead", 4: "whole text", 5: "a\n\nb\n\nc"}
+    docs(*texts.items()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op2_line_runs_of_one"](spark, str(tmp_path)))
+    assert {i: (r.n_lines, r.n_removed, r.n_runs) for i, r in got.items()} == {1: (2, 0, 0), 2: (1, 0, 0), 3: (3, 2, 2), 4: (1, 1, 1), 5: (5, 1, 1)}
+    assert got[3].kept_md5 == hashlib.md5(b"body two").hexdigest() and got[4].kept_md5 == hashlib.md5(b"").hexdigest()
+
+
 def test_ranks_sort_suffixes(docs):
     d = docs((1, "a\nb\na\nb\na\nu\nb\na"), (2, "b\na\nb\nv"))
     ranks = suffix_ranks(repeated_lines(_documents(d, "doc_id", "text"))).collect()
