@@ -12,10 +12,13 @@ from loomtable.llm.decontaminate import benchmark_hits
 from loomtable.llm.line_runs import without_repeated_runs
 from loomtable.llm.minhash import near_duplicates
 from loomtable.llm.mixing import mixed
+from loomtable.llm.pieces import decoded, encoded
 from loomtable.llm.quality import scored, train
+from loomtable.llm.ranked_scan import best_documents
 from loomtable.llm.repeats import without_repeats
 from loomtable.llm.rules import MEASURES, quality_rules
 from loomtable.llm.sharding import lookup_table, placed
+from loomtable.llm.survival import filter_audit
 from loomtable.llm.tables import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,3 +244,58 @@ from b left join held using (doc_id)""")
 def op7(spark, sf_dir):
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query("op11_ranked_documents", f"""
+with d as (select doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') as w from documents),
+c as (select count(*) filter (len(w) > 0) as n_all, sum(len(w))::bigint as l_all from d),
+q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) as term
+        from benchmark) group by all),
+t as (select doc_id, n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1)))::bigint as w from t, c group by term, n_all),
+s as (select item_id, doc_id, sum(times * w * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * n * n_all // l_all))))::bigint as score
+        from q join w using (term) join t using (term), c group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 20""")
+def op11(spark, sf_dir):
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+@query("op12_piece_ids")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = decoded(encoded(table(spark, sf_dir, "documents"), model), model, ["doc_id", "n_tokens"])
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_filter_audit", f"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {WORDS.format("coalesce(text, '')")} as w from documents),
+said as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+        (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::int
+        + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as failed
+        from d left join said using (doc_id)),
+g as (select part, failed, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from f group by part, failed),
+l as (select unnest(range(5)) as x),
+o as (select [a.x, b.x, c.x, d.x, e.x] as p from l a join l b on b.x <> a.x join l c on c.x not in (a.x, b.x) join l d on d.x not in (a.x, b.x, c.x)
+        join l e on e.x not in (a.x, b.x, c.x, d.x)),
+s as (select array_to_string(list_transform(p, lambda x: substr('ABCDE', x + 1, 1)), '') as filter_order, step, p[step] as x, 1 << p[step] as bit,
+        coalesce(list_sum(list_transform(p[1:step - 1], lambda x: 1 << x)), 0)::int as before
+        from (select p, unnest(range(1, 6)) as step from o)),
+r as (select part, filter_order, step, x,
+        coalesce(sum(n) filter (failed & (before | bit) = 0), 0)::bigint as kept,
+        coalesce(sum(n) filter (failed & before = 0 and failed & bit <> 0), 0)::bigint as removed,
+        coalesce(sum(n) filter (failed & before <> 0 and failed & bit <> 0), 0)::bigint as redundant,
+        coalesce(sum(n) filter (failed = bit), 0)::bigint as unique_fails,
+        coalesce(sum(n_good) filter (failed & before = 0 and failed & bit <> 0), 0)::bigint as good_lost,
+        coalesce(sum(n_toxic) filter (failed & before = 0 and failed & bit <> 0), 0)::bigint as toxic_lost
+        from g, s group by part, filter_order, step, x)
+select part, filter_order, step::integer as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) over (partition by part, x)::bigint as shapley from r""")
+def op13(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
