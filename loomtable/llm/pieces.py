@@ -36,7 +36,7 @@ SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _NONE = np.iinfo(np.int64).max
 _SIDE = 21
-_CHUNK = 8 << 20
+_CHUNK = 2 << 20
 
 
 def read_model(path: str) -> dict:
@@ -296,6 +296,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 ids, first = pieces.encode(texts)
                 lists = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(np.diff(first)), lists], names=["id", "n_tokens", "ids"])
+            pa.default_memory_pool().release_unused()
 
     out = given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
@@ -315,5 +316,6 @@ def decoded(tokens: DataFrame, model_path: str, carry: list[str], ids_col: str =
                 texts = pieces.decode(np.frombuffer(b"".join(lists), "<u4").astype(np.int64), first)
                 part = batch.slice(at, len(lists))
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*schema.names])
+            pa.default_memory_pool().release_unused()
 
     return given.mapInArrow(run, schema)
