@@ -8,12 +8,14 @@ hundred bars into arrays with one shuffle, and folds over the arrays.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtable.functions.checks import need_columns
+from loomtable.operators.windows import number_rows
 from loomtable.registry import operator
-from loomtable.sources.prices import recent_bars
+from loomtable.sources.prices import packed_bars_as_of, recent_bars
 
 MIN_BARS = 200
 LOOKBACK = 260
@@ -153,16 +155,20 @@ SNAPSHOT = ("close", "ema_10", "sma_50", "sma_200", "adx_14", "plus_di_14", "min
 
 @operator("indicator_snapshot")
 def indicator_snapshot(bars: DataFrame, as_of: str | None = None, lookback: int = LOOKBACK,
-                       min_bars: int = MIN_BARS) -> DataFrame:
+                       min_bars: int = MIN_BARS, requests: DataFrame | None = None) -> DataFrame:
     """Latest indicator values of every symbol with enough bars, with the tail
-    of closes and OBV that the signal rules look at."""
+    of closes and OBV that the signal rules look at.  With ``requests`` (symbol, as_of) there is a row for every request."""
     need_columns(bars, ["symbol", "trade_date", "high", "low", "close", "volume"])
-    cut = recent_bars(bars.select("symbol", "trade_date", "high", "low", "close", "volume"), lookback, as_of)
-    packed = cut.groupBy("symbol").agg(
-        F.sort_array(F.collect_list(F.struct("trade_date", "high", "low", "close", "volume"))).alias("b"))
+    used = bars.select("symbol", "trade_date", "high", "low", "close", "volume")
+    if requests is None:
+        keys = ["symbol"]
+        packed = recent_bars(used, lookback, as_of).groupBy("symbol").agg(
+            F.sort_array(F.collect_list(F.struct("trade_date", "high", "low", "close", "volume"))).alias("b"))
+    else:
+        keys, packed = ["symbol", "as_of"], packed_bars_as_of(used, requests, lookback).withColumnRenamed("bars", "b")
     packed = packed.filter(F.size("b") >= min_bars)
     s = packed.select(
-        "symbol", F.element_at("b", -1)["trade_date"].alias("as_of_date"), F.size("b").alias("n"),
+        *keys, F.element_at("b", -1)["trade_date"].alias("as_of_date"), F.size("b").alias("n"),
         F.col("b.high").alias("h"), F.col("b.low").alias("l"), F.col("b.close").alias("c"),
         F.transform("b.volume", lambda v: v.cast("double")).alias("v"),
         F.transform("b", lambda x: (x["high"] + x["low"] + x["close"]) / 3.0).alias("tp"))
@@ -196,7 +202,7 @@ def indicator_snapshot(bars: DataFrame, as_of: str | None = None, lookback: int
     safe = lambda top, bottom, otherwise: F.when(F.abs(bottom) <= EPS, otherwise).otherwise(
         top / F.nullif(bottom, F.lit(0.0)))
     return s.select(
-        "symbol", "as_of_date", n.cast("bigint").alias("bar_count"), close.alias("close"),
+        *keys, "as_of_date", n.cast("bigint").alias("bar_count"), close.alias("close"),
         _ema_last(c, 10).alias("ema_10"), _mean(c, 50).alias("sma_50"), _mean(c, 200).alias("sma_200"),
         F.col("x.adx").alias("adx_14"), F.col("x.plus").alias("plus_di_14"), F.col("x.minus").alias("minus_di_14"),
         F.element_at("obvs", -1).alias("obv"), F.col("vm").alias("volume_sma_20"),
@@ -230,52 +236,96 @@ INDICATORS = ("close_50_sma", "close_200_sma", "close_10_ema", "macd", "macds",
 _FOLDED = ("close_10_ema", "macd", "macds", "macdh", "rsi", "atr")
 
 
-def _smoothed(values: pd.Series, period: int) -> pd.Series:
-    """Wilder average: plain mean of the first values, then smoothing."""
-    out = values.astype(float).copy()
-    if len(out) < period:
-        return out * float("nan")
-    out.iloc[:period] = float("nan")
-    out.iloc[period - 1] = values.iloc[:period].mean()
-    smooth = out.iloc[period - 1:].ewm(alpha=1.0 / period, adjust=False).mean()
-    return smooth.reindex(values.index)
-
-
-def _folded_series(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Recursive indicators of one symbol (at most one bar per calendar day)."""
-    p = pdf.sort_values("trade_date").reset_index(drop=True)
-    ema = lambda s, n: s.ewm(span=n, adjust=False).mean()
-    macd = ema(p["close"], 12) - ema(p["close"], 26)
-    step = p["close"].diff().iloc[1:]
-    gain, loss = _smoothed(step.clip(lower=0), 14), _smoothed((-step).clip(lower=0), 14)
-    before = p["close"].shift(1)
-    ranges = pd.concat([p["high"] - p["low"], (p["high"] - before).abs(), (p["low"] - before).abs()], axis=1).max(axis=1)
-    signal = ema(macd, 9)
-    rsi = (100.0 - 100.0 / (1.0 + gain / loss.where(loss > EPS))).where((loss > EPS) | loss.isna(), 100.0)
-    return pd.DataFrame({"symbol": p["symbol"], "trade_date": p["trade_date"], "close_10_ema": ema(p["close"], 10),
-                         "macd": macd, "macds": signal, "macdh": macd - signal,
-                         "rsi": rsi.reindex(p.index), "atr": _smoothed(ranges.iloc[1:], 14).reindex(p.index)})
+# Rows of a scanned block; rows that rolling windows need from the block before.
+SCAN_ROWS, CONTEXT = 512, 200
+
+
+def _decayed(k: int, macd: tuple[float, float, float] = (2 / 13, 2 / 27, 2 / 10)) -> dict[str, tuple[float, Column]]:
+    """Running values x = decay * x + input from x = 0: their decays and inputs at row ``i``, with Wilder period ``k``.
+
+    An exponential mean starts at its first value.  A Wilder mean is the plain mean of its first k values at row k + 1; their inputs are
+    scaled up so that the decay leaves just that.  The signal line, a mean of the difference of two means, needs the inputs of both under its own decay.
+    """
+    first, close = F.col("i") == 1, F.col("close").cast("double")
+    mean = lambda a: F.when(first, close).otherwise(a * close)
+    fast, slow, signal = macd
+    keep = 1 - 1 / k
+    early = F.when(F.col("i") <= k + 1, F.pow(F.lit(1 / keep), F.lit(k + 1) - F.col("i"))).otherwise(1.0) / k
+    wilder = lambda v: F.when(first, 0.0).otherwise(v * early)
+    return {"e10": (1 - 2 / 11, mean(2 / 11)), "fast": (1 - fast, mean(fast)), "slow": (1 - slow, mean(slow)),
+            "fast9": (1 - signal, mean(fast)), "slow9": (1 - signal, mean(slow)),
+            "gain": (keep, wilder(F.greatest(F.col("move"), F.lit(0.0)))), "loss": (keep, wilder(F.greatest(-F.col("move"), F.lit(0.0)))),
+            "range": (keep, wilder(F.col("true_range")))}
+
+
+def _scanned(rows: DataFrame, series: dict[str, tuple[float, Column]], scan_rows: int) -> DataFrame:
+    """The rows (symbol, i, ...) with the running values of the series.
+
+    Each block of rows is summed with weights decay ** -place, which composes its affine maps.  Blocks then hand on their end values:
+    the value before a block is made of the ends of as many blocks before it as matter, which are all full; what lies before these
+    would be multiplied by less than 2 ** -60.
+    """
+    place = F.pmod(F.col("i") - 1, F.lit(scan_rows)).cast("double")
+    blocked = rows.withColumn("__b", F.floor((F.col("i") - 1) / scan_rows))
+    inside = Window.partitionBy("symbol", "__b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    local = blocked.select("*", *[(F.pow(F.lit(a), place) * F.sum(b * F.pow(F.lit(a), -place)).over(inside)).alias(f"__{n}")
+                                  for n, (a, b) in series.items()])
+    ends = local.groupBy("symbol", "__b").agg(F.max_by(F.struct(*[f"__{n}" for n in series]), "i").alias("end"))
+    order = Window.partitionBy("symbol").orderBy("__b")
+
+    def before(name: str, decay: float) -> Column:
+        depth = max(1, math.ceil(60 * math.log(2) / (-math.log(decay) * scan_rows)))
+        return sum(F.coalesce(F.lag(f"end.__{name}", d).over(order), F.lit(0.0)) * decay ** (scan_rows * (d - 1)) for d in range(1, depth + 1))
+
+    carried = ends.select("symbol", "__b", *[before(n, a).alias(f"__{n}_before") for n, (a, _) in series.items()])
+    joined = local.join(carried, ["symbol", "__b"])
+    return joined.select(*rows.columns, *[(F.col(f"__{n}") + F.pow(F.lit(a), place + 1) * F.col(f"__{n}_before")).alias(n) for n, (a, _) in series.items()])
+
+
+def _folded(rows: DataFrame, scan_rows: int) -> DataFrame:
+    """Recursive indicators of the rows (symbol, trade_date, i, close, move, true_range)."""
+    fast, slow, signal = 2 / 13, 2 / 27, 2 / 10
+    x = _scanned(rows, _decayed(14), scan_rows)
+    macd = F.col("fast") - F.col("slow")
+    # decays p and q: the q-sum of a running p-sum is (p * p-sum - q * q-sum of its inputs) / (p - q)
+    nested = lambda name, p, q: (p * F.col(name) - q * F.col(f"{name}9")) / (p - q)
+    macds = signal * (nested("fast", 1 - fast, 1 - signal) - nested("slow", 1 - slow, 1 - signal))
+    rsi = F.when(F.col("loss") <= EPS, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col("gain") / F.nullif(F.col("loss"), F.lit(0.0))))
+    full = lambda c: F.when(F.col("i") >= 15, c)
+    return x.select("symbol", "trade_date", F.col("e10").alias("close_10_ema"), macd.alias("macd"), macds.alias("macds"), (macd - macds).alias("macdh"),
+                    full(rsi).alias("rsi"), full(F.col("range")).alias("atr"))
 
 
 @operator("indicator_series")
-def indicator_series(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
+def indicator_series(bars: DataFrame, names: list[str] | None = None, block_rows: int | None = None, scan_rows: int = SCAN_ROWS) -> DataFrame:
     """Named indicators on every date of every symbol; null until a window is full.
 
-    Rolling ones are Spark windows.  The recursive ones run symbol by symbol in
-    pandas: a symbol has at most one bar per day, so a group stays small.
+    Rolling ones are Spark windows, recursive ones a scan over blocks of rows.  A symbol is one window group; with ``block_rows`` its bars
+    are numbered chunk by chunk and spread over tasks in blocks of so many rows, each with the rows before it that its windows need.
     """
     names = list(names or INDICATORS)
     unknown = [n for n in names if n not in INDICATORS]
     if unknown:
         raise ValueError(f"unknown indicator {unknown[0]!r}")
     need_columns(bars, ["symbol", "trade_date", "high", "low", "close", "volume"])
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    seen = F.row_number().over(w)
-    roll = lambda k: w.rowsBetween(-(k - 1), 0)
-    full = lambda k, value: F.when(seen >= k, value)
+    if block_rows is not None and block_rows < CONTEXT:
+        raise ValueError(f"block_rows must be at least {CONTEXT}")
+    rows = bars.select("symbol", "trade_date", "high", "low", "close", "volume")
+    if block_rows:
+        numbered = number_rows(rows, ["symbol"], ["trade_date"], "i", block_rows).withColumn("__own", F.floor((F.col("i") - 1) / block_rows))
+        late = F.pmod(F.col("i") - 1, F.lit(block_rows)) >= block_rows - CONTEXT
+        rows = numbered.withColumn("__k", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+        w = Window.partitionBy("symbol", "__k").orderBy("i")
+    else:
+        w = Window.partitionBy("symbol").orderBy("trade_date")
+        rows = rows.withColumns({"i": F.row_number().over(w).cast("bigint"), "__own": F.lit(0), "__k": F.lit(0)})
+    before = F.lag("close").over(w)
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    rows = bars.select("symbol", "trade_date", "high", "low", "close", "volume", tp.alias("tp"))
+    rows = rows.withColumns({"tp": tp, "move": F.col("close") - before,
+                             "true_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))})
     rows = rows.withColumn("step", F.col("tp") - F.lag("tp").over(w))
+    roll = lambda k: w.rowsBetween(-(k - 1), 0)
+    full = lambda k, value: F.when(F.col("i") >= k, value)
     mid, sd = F.avg("close").over(roll(20)), F.stddev_pop("close").over(roll(20))
     flow = lambda test: F.coalesce(F.sum(F.when(test, F.col("tp") * F.col("volume"))).over(roll(14)), F.lit(0.0))
     made = {"close_50_sma": full(50, F.avg("close").over(roll(50))),
@@ -284,12 +334,10 @@ def indicator_series(bars: DataFrame, names: list[str] | None = None) -> DataFra
             "vwma": full(14, F.sum(F.col("tp") * F.col("volume")).over(roll(14))
                          / F.nullif(F.sum("volume").over(roll(14)), F.lit(0))),
             "mfi": full(15, _money_flow(flow(F.col("step") > 0), flow(F.col("step") < 0)))}
-    out = rows.select("symbol", "trade_date", *[made[n].alias(n) for n in names if n in made])
-    if any(n in _FOLDED for n in names):
-        schema = T.StructType([bars.schema["symbol"], bars.schema["trade_date"],
-                               *[T.StructField(n, T.DoubleType()) for n in _FOLDED]])
-        folded = bars.select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(
-            _folded_series, schema)
-        out = out.join(folded.select("symbol", "trade_date", *[n for n in names if n in _FOLDED]),
-                       ["symbol", "trade_date"])
+    rolling, folded = [n for n in names if n in made], [n for n in names if n in _FOLDED]
+    out = (rows.select("symbol", "trade_date", "i", "close", "move", "true_range", "__own", "__k", *[made[n].alias(n) for n in rolling])
+           .filter("__own = __k"))
+    if folded:
+        x = _folded(out.select("symbol", "trade_date", "i", "close", "move", "true_range"), scan_rows)
+        out = x.select("symbol", "trade_date", *folded) if not rolling else out.join(x.select("symbol", "trade_date", *folded), ["symbol", "trade_date"])
     return out.select("symbol", "trade_date", *names)

@@ -12,26 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtable.functions.checks import need_columns, need_some
+from loomtable.functions.texts import word_list
 from loomtable.functions.values import strip
 from loomtable.operators.ordering import keep_one_per_key
+from loomtable.operators.retrieval import retrieve_nodes
 from loomtable.operators.windows import number_rows
 from loomtable.registry import operator
 from loomtable.session import cut_lineage
 
 # Relation types between concepts.
 RELATION_TYPES = ("parent_of", "child_of", "depends_on", "supports", "references", "adjacent_to")
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
-
-
-def word_list(text: Column) -> Column:
-    """Letters and digits in order, ASCII letters lowered."""
-    words = F.split(F.translate(text, _UPPER, _LOWER), _NOT_WORD)
-    return F.filter(words, lambda w: w != "")
-
-
-def word_set(text: Column) -> Column:
-    return F.array_distinct(word_list(text))
 
 
 @operator("check_aliases")
@@ -119,35 +109,6 @@ def roam_concepts(routes: DataFrame, relations: DataFrame, relation_types: list[
     return seen
 
 
-@operator("retrieve_nodes")
-def retrieve_nodes(questions: DataFrame, scope: DataFrame, nodes: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Nodes of the concepts in scope, scored by shared words; no zero scores.
-
-    Question and node meet on (concept, word), so only shared words make rows.
-    All words of a node sit in one task, which adds them up before the shuffle.
-    A node of several concepts counts under the first one in scope.  With ``top_k`` only the best nodes of a question come
-    back (ties by id), ranked before the exchange; without it every node that shares a word does.
-    """
-    need_columns(nodes, ["node_id", "title", "body", "concept_ids"])
-    asked = (questions.select("question_id", F.explode_outer(word_set(F.col("question"))).alias("word"))
-             .filter(F.col("word").isNotNull()))
-    wide = scope.groupBy("question_id").agg(F.collect_set("concept_id").alias("scope"))
-    wanted = scope.select("question_id", "concept_id").distinct().join(wide, "question_id").join(asked, "question_id")
-    held = nodes.select("node_id", "title", "body", "concept_ids").select(
-        "node_id", F.array_distinct("concept_ids").alias("concepts"),
-        F.array_union(word_set(F.col("title")), word_set(F.col("body"))).alias("nw"))
-    held = held.select("node_id", "concepts", F.explode_outer("nw").alias("word"))
-    held = held.select("node_id", "concepts", "word", F.explode_outer("concepts").alias("concept_id"))
-    first = F.get(F.filter("concepts", lambda c: F.array_contains(F.col("scope"), c)), F.lit(0))
-    counted = F.when(F.size("concepts") == 1, True).otherwise(first == F.col("concept_id"))
-    scored = (held.join(wanted, ["concept_id", "word"]).filter(counted)
-              .groupBy("question_id", "node_id").agg(F.count(F.lit(1)).alias("score")))
-    if top_k is None:
-        return scored
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "node_id")
-    return scored.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= top_k).drop("__r")
-
-
 @operator("assemble_citations")
 def assemble_citations(hits: DataFrame, nodes: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Evidence of the hits, best hit first, each (source_ref, locator) once."""

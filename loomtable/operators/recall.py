@@ -1,4 +1,15 @@
-"""Past situations most like a new one (Okapi BM25 over word counts)."""
+"""Past situations most like a new one (Okapi BM25 over word counts).
+
+The index has one row per memory and word, and one row without a word per memory.  Its statistics (memories, words, and per word
+the number of memories, the largest count and the shortest memory) are sums, maxima and minima, so those of two batches merge into those
+of both, and a new batch never reads the old memories again.
+
+A recall looks for few memories per situation.  The rarest words of a situation give first candidates, and the n-th best of their whole
+scores is a floor.  Its most common words are then left out as long as all of them together could not reach the floor: a memory
+that has none of the other words cannot win.  The other words make the candidates; candidates that could not reach the floor with
+everything that was left out are dropped, and only the rest are completed.  Posting rows are dealt by word and by memory, so a common
+word is many keys.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +21,8 @@ from loomtable.session import cut_lineage
 
 # Parameters of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: rows of one word that may share a key; memories that the rarest words may name per wanted memory; slack for sums in another order
+PART, SEEDS, SLACK = 1 << 20, 200, 1e-6
 
 
 def words(text: Column) -> Column:
@@ -18,58 +31,118 @@ def words(text: Column) -> Column:
 
 @operator("recall_index")
 def recall_index(memories: DataFrame) -> DataFrame:
-    """Word counts per memory (memory_id, dl, term, tf), written out once.
+    """Word counts per memory (memory_id, dl, term, tf), written out once; a row without term stands for the memory itself.
 
     One shuffle by memory serves the counts here and the sums of a later recall.
     """
     need_columns(memories, ["memory_id", "text"])
     counted = memories.select("memory_id", "text").repartition("memory_id").select(
-        "memory_id", words(F.col("text")).alias("w"))
+        "memory_id", words(F.coalesce("text", F.lit(""))).alias("w"))
     # an outer explode keeps the tokenising below it from being repeated in filters
-    rows = counted.select("memory_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
-    return cut_lineage(rows.groupBy("memory_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    rows = counted.select("memory_id", F.size("w").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    return cut_lineage(rows.groupBy("memory_id", "dl", "term").agg(F.count("term").alias("tf")))
+
+
+@operator("recall_statistics")
+def recall_statistics(index: DataFrame) -> DataFrame:
+    """term, memories, words, most, shortest; the row without term counts all memories."""
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("memories"), F.sum("tf").alias("words"), F.max("tf").alias("most"),
+                                     F.min("dl").alias("shortest"))
+
+
+@operator("merge_recall_statistics")
+def merge_recall_statistics(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Statistics of two batches together."""
+    return one.unionByName(other).groupBy("term").agg(F.sum("memories").alias("memories"), F.sum("words").alias("words"), F.max("most").alias("most"),
+                                                      F.min("shortest").alias("shortest"))
+
+
+@operator("add_memories")
+def add_memories(index: DataFrame, statistics: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and statistics with a batch of new memories; only the batch is read and counted."""
+    new = recall_index(batch)
+    return index.unionByName(new), cut_lineage(merge_recall_statistics(statistics, recall_statistics(new)))
 
 
 @operator("recall_situations")
-def recall_situations(memories: DataFrame, situations: DataFrame, n_matches: int = 1,
-                      index: DataFrame | None = None) -> DataFrame:
+def recall_situations(memories: DataFrame | None, situations: DataFrame, n_matches: int = 1, index: DataFrame | None = None,
+                      statistics: DataFrame | None = None) -> DataFrame:
     """Best memories per situation, with the score relative to the best one.
 
-    ``memories`` has memory_id and text, ``situations`` situation_id and text.
+    ``memories`` has memory_id and text (or an index and its statistics are given), ``situations`` situation_id and text.
     A memory that shares no word scores zero and only fills places that would
     stay empty.
     """
     need_columns(situations, ["situation_id", "text"])
     if n_matches < 1:
         raise ValueError("n_matches must be positive")
-    terms = recall_index(memories) if index is None else index
-    size = terms.select("memory_id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
-    total, mean_length = size["n"], size["avg"]
-    terms = terms.filter(F.col("term").isNotNull())
-    freq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(total - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    floor = EPSILON * (freq.agg(F.avg(idf)).first()[0] or 0.0)
-    weights = freq.select("term", F.when(idf < 0, floor).otherwise(idf).alias("idf"))
-    asked = (situations.select("situation_id", F.explode_outer(words(F.col("text"))).alias("term"))
-             .filter(F.col("term").isNotNull())
-             .groupBy("situation_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(weights, "term"))
-    part = F.col("idf") * F.col("qf") * (F.col("tf") * (K1 + 1)) / (
-        F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    scores = terms.join(asked, "term").groupBy("situation_id", "memory_id").agg(F.sum(part).alias("score"))
-    # equal texts score alike up to the order of addition: the lower id goes first
-    w = Window.partitionBy("situation_id").orderBy(F.round("score", 9).desc(), "memory_id")
-    best = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_matches)
-            .groupBy("situation_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id", "score"))).alias("b")))
+    index = recall_index(memories) if index is None else index
+    statistics = cut_lineage(recall_statistics(index)) if statistics is None else statistics
+    found = _best_scores(index.filter(F.col("term").isNotNull()), statistics, situations, n_matches)
+    best = found.groupBy("situation_id").agg(F.sort_array(F.collect_list(F.struct("rank", "memory_id", "score"))).alias("b"))
     kept = situations.select("situation_id").join(best, "situation_id", "left")
-    found = F.transform(F.coalesce("b", F.array().cast(best.schema["b"].dataType)),
-                        lambda x: F.struct(x["memory_id"].alias("memory_id"), x["score"].alias("score")))
-    first = [r[0] for r in memories.select("memory_id").orderBy("memory_id").limit(n_matches).collect()]
-    spare = F.filter(F.array(*[F.struct(F.lit(i).alias("memory_id"), F.lit(0.0).alias("score")) for i in first]),
-                     lambda x: ~F.exists(F.col("f"), lambda y: y["memory_id"] == x["memory_id"]))
-    filled = kept.select("situation_id", found.alias("f")).select(
+    kind = f"array<struct<memory_id:{index.schema['memory_id'].dataType.simpleString()},score:double>>"
+    listed = F.transform(F.coalesce("b", F.array().cast(best.schema["b"].dataType)),
+                         lambda x: F.struct(x["memory_id"].alias("memory_id"), x["score"].alias("score")))
+    first = [r[0] for r in index.filter(F.col("term").isNull()).select("memory_id").orderBy("memory_id").limit(n_matches).collect()]
+    spare = F.array(*[F.struct(F.lit(i).alias("memory_id"), F.lit(0.0).alias("score")) for i in first]).cast(kind)
+    spare = F.filter(spare, lambda x: ~F.exists(F.col("f"), lambda y: y["memory_id"] == x["memory_id"]))
+    filled = kept.select("situation_id", listed.alias("f")).select(
         "situation_id", F.slice(F.concat("f", spare), 1, n_matches).alias("f"))
     top = F.array_max("f.score")
     return filled.select("situation_id", F.when(top > 0, top).otherwise(1.0).alias("top"),
                          F.posexplode("f").alias("p", "x")).select(
         "situation_id", F.col("x.memory_id").alias("memory_id"), (F.col("p") + 1).cast("bigint").alias("rank"),
         F.col("x.score").alias("score"), (F.col("x.score") / F.col("top")).alias("similarity_score"))
+
+
+def _best_scores(postings: DataFrame, statistics: DataFrame, situations: DataFrame, n: int) -> DataFrame:
+    """situation_id, memory_id, rank, score: the n best memories that share a word."""
+    one = statistics.agg(F.max(F.when(F.col("term").isNull(), F.col("memories"))).alias("total"), F.sum("words").alias("words"),
+                         F.max(F.when(F.col("term").isNotNull(), F.col("memories"))).alias("common")).first()
+    total, length = one["total"] or 0, (one["words"] or 0) / max(one["total"] or 0, 1)
+    parts = -(-(one["common"] or 1) // PART)
+    terms = statistics.filter(F.col("term").isNotNull())
+    idf = F.log(total - F.col("memories") + 0.5) - F.log(F.col("memories") + 0.5)
+    least = EPSILON * (terms.agg(F.avg(idf)).first()[0] or 0.0)
+
+    def gain(tf: Column, dl: Column) -> Column:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / length)) if length else F.lit(0.0)
+
+    weight = F.when(idf < 0, least).otherwise(idf) * F.col("qf")
+    asked = (situations.select("situation_id", F.explode_outer(words(F.col("text"))).alias("term")).filter(F.col("term").isNotNull())
+             .groupBy("situation_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(terms, "term")
+             .withColumn("weight", weight).withColumn("most", F.greatest(F.lit(0.0), F.col("weight") * gain(F.col("most"), F.col("shortest")))))
+    asked = cut_lineage(asked.select("situation_id", "term", "weight", "most", "memories"))
+    ranked = Window.partitionBy("situation_id").orderBy(F.round("score", 9).desc(), "memory_id")
+    dealt = postings.withColumn("part", F.pmod(F.xxhash64("memory_id"), F.lit(parts)))
+
+    def met(some: DataFrame) -> DataFrame:
+        """Partial scores of all memories that have one of the words."""
+        wide = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+        return (dealt.join(wide, ["term", "part"]).groupBy("situation_id", "memory_id")
+                .agg(F.sum(F.col("weight") * gain(F.col("tf"), F.col("dl"))).alias("score")))
+
+    def completed(candidates: DataFrame, some: DataFrame) -> DataFrame:
+        """The candidates' scores and what the words add."""
+        pairs = candidates.join(some.select("situation_id", "term", "weight"), "situation_id")
+        more = (postings.join(pairs.select("situation_id", "memory_id", "term", "weight"), ["memory_id", "term"])
+                .select("situation_id", "memory_id", (F.col("weight") * gain(F.col("tf"), F.col("dl"))).alias("score")))
+        return (candidates.select("situation_id", "memory_id", "score").unionByName(more).groupBy("situation_id", "memory_id")
+                .agg(F.sum("score").alias("score")))
+
+    rare = Window.partitionBy("situation_id").orderBy("memories", "term")
+    upto = F.sum("memories").over(rare.rowsBetween(Window.unboundedPreceding, 0))
+    seeds = asked.withColumn("__r", F.row_number().over(rare)).withColumn("__n", upto).filter((F.col("__r") == 1) | (F.col("__n") <= SEEDS * n))
+    named = met(seeds).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= 4 * n).withColumn("score", F.lit(0.0))
+    floor = (completed(named, asked).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == n)
+             .select("situation_id", (F.col("score") - SLACK).alias("floor")))
+    common = Window.partitionBy("situation_id").orderBy(F.desc("memories"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    split = cut_lineage(asked.join(floor, "situation_id", "left").withColumn("upto", F.sum("most").over(common))
+                        .withColumn("left_out", F.coalesce(F.col("upto") < F.col("floor"), F.lit(False))))
+    left_out = split.filter("left_out")
+    reach = left_out.groupBy("situation_id").agg(F.max("upto").alias("reach"), F.max("floor").alias("floor"))
+    able = (met(split.filter("not left_out")).join(reach, "situation_id", "left")
+            .filter(F.col("floor").isNull() | (F.col("score") + F.col("reach") >= F.col("floor"))))
+    whole = completed(cut_lineage(able.select("situation_id", "memory_id", "score")), left_out)
+    return whole.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)

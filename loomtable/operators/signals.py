@@ -202,8 +202,9 @@ def technical_signals(snapshot: DataFrame) -> DataFrame:
 
 @operator("technical_consultation_basic")
 def technical_consultation(bars: DataFrame, as_of: str | None = None, lookback: int = 260,
-                           min_bars: int = 200) -> DataFrame:
-    return technical_signals(indicator_snapshot(bars, as_of, lookback, min_bars)).drop("closes", "obv_tail")
+                           min_bars: int = 200, requests: DataFrame | None = None) -> DataFrame:
+    """Signals of every symbol, or of every request (symbol, as_of)."""
+    return technical_signals(indicator_snapshot(bars, as_of, lookback, min_bars, requests)).drop("closes", "obv_tail")
 
 
 # ---- surroundings ----
@@ -218,16 +219,32 @@ def contextual_alignment(signals: DataFrame, proxies: DataFrame) -> DataFrame:
     """Stock, market proxy and sector proxy together: tailwind, headwind or mixed.
 
     ``proxies`` maps symbol to market_symbol and sector_symbol.  A symbol without a proxy, or whose proxy has no signal,
-    stays with the alignment ``unavailable``.
+    stays with the alignment ``unavailable``.  Signals of many dates (column ``as_of``) meet those of the same date.
     """
     need_columns(signals, ["symbol", "bias"])
     need_columns(proxies, ["symbol", "market_symbol", "sector_symbol"])
-    signals = cut_lineage(signals)  # read three times below; one row per symbol
-    other = lambda p: signals.select(C("symbol").alias(f"{p}_symbol"), C("bias").alias(f"{p}_bias"))
-    rows = (signals.join(proxies, "symbol", "left").join(other("market"), "market_symbol", "left")
-            .join(other("sector"), "sector_symbol", "left"))
+    signals = cut_lineage(signals)  # read three times below; one row per symbol, or per symbol and date
+    dates = [c for c in ("as_of",) if c in signals.columns]
+    other = lambda p: signals.select(*dates, C("symbol").alias(f"{p}_symbol"), C("bias").alias(f"{p}_bias"))
+    rows = (signals.join(proxies, "symbol", "left").join(other("market"), ["market_symbol", *dates], "left")
+            .join(other("sector"), ["sector_symbol", *dates], "left"))
     own, market, sector = (bias_direction(C(b)) for b in ("bias", "market_bias", "sector_bias"))
     known = C("market_bias").isNotNull() & C("sector_bias").isNotNull()
     alignment = _ladder((~known, "unavailable"), (own == "neutral", "mixed"), ((own == market) & (own == sector), "tailwind"),
                         ((own != market) & (own != sector), "headwind"), otherwise="mixed")
     return rows.withColumn("alignment", alignment)
+
+
+@operator("contextual_consultation")
+def contextual_consultation(bars: DataFrame, requests: DataFrame, proxies: DataFrame, lookback: int = 260, min_bars: int = 200) -> DataFrame:
+    """Signals and alignment of every request (symbol, as_of), each with its proxies as of the same date.
+
+    The proxies' dates join the requests, so all three analyses come from one pass over the bars.
+    """
+    need_columns(requests, ["symbol", "as_of"])
+    asked = cut_lineage(requests.select("symbol", "as_of").dropna().distinct())
+    known = asked.join(proxies, "symbol")
+    every = asked.unionByName(known.select(C("market_symbol").alias("symbol"), "as_of")).unionByName(
+        known.select(C("sector_symbol").alias("symbol"), "as_of"))
+    signals = technical_consultation(bars, None, lookback, min_bars, every)
+    return contextual_alignment(signals, proxies).join(asked, ["symbol", "as_of"], "left_semi")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtable.operators.concepts import navigate, retrieve_nodes, roam_concepts, route_questions, word_list
-from loomtable.operators.recall import recall_situations
+from loomtable.functions.texts import word_list
+from loomtable.operators.concepts import navigate, roam_concepts, route_questions
+from loomtable.operators.recall import add_memories, recall_index, recall_situations, recall_statistics
+from loomtable.operators.retrieval import retrieve_nodes
 from loomtable.operators.windows import number_rows
 from loomtable.plans.suite.base import Tables, query
 
@@ -162,7 +164,7 @@ def citations(spark, sf):
     return navigate(*_ontology(spark, sf), ["supports", "depends_on"], 1, 4)["citations"]
 
 
-@query("recalled_situations", r"""
+_RECALL_SQL = r"""
     WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
     st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
     tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
@@ -175,9 +177,31 @@ def citations(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank,
                  max(score) OVER (PARTITION BY item_id) AS top FROM s)
     SELECT item_id AS situation_id, doc_id AS memory_id, rank, round(score, 4) AS score, round(score / top, 6) AS similarity_score
-    FROM r WHERE rank <= 3""")
+    FROM r WHERE rank <= 3"""
+
+
+@query("recalled_situations", _RECALL_SQL)
 def recalled(spark, sf):
     t = Tables(spark, sf)
-    out = recall_situations(t.documents.select(F.col("doc_id").alias("memory_id"), "text"),
-                            t.benchmark.select(F.col("item_id").alias("situation_id"), "text"), 3)
+    return _recalled(recall_situations(t.documents.select(F.col("doc_id").alias("memory_id"), "text"), _situations(t), 3))
+
+
+@query("recalled_situations_of_batches", _RECALL_SQL)
+def recalled_of_batches(spark, sf):
+    """The same from an index that grew language by language, each batch counted once."""
+    t = Tables(spark, sf)
+    memories = t.documents.select(F.col("doc_id").alias("memory_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    languages = sorted(r[0] for r in memories.select("lang").distinct().collect())
+    index = recall_index(memories.filter(F.col("lang") == languages[0]))
+    statistics = recall_statistics(index)
+    for lang in languages[1:]:
+        index, statistics = add_memories(index, statistics, memories.filter(F.col("lang") == lang))
+    return _recalled(recall_situations(None, _situations(t), 3, index, statistics))
+
+
+def _situations(t):
+    return t.benchmark.select(F.col("item_id").alias("situation_id"), "text")
+
+
+def _recalled(out):
     return out.withColumns({"score": F.round("score", 4), "similarity_score": F.round("similarity_score", 6)})

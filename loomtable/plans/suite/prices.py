@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomtable.operators.bars import INDICATORS, SNAPSHOT, indicator_series, indicator_snapshot, short_histories
 from loomtable.plans.suite.base import Tables, day_text, query, rounded, scratch_folder
 from loomtable.sources.exports import export_csv
-from loomtable.sources.prices import (clean_prices, import_price_csv, import_summary, parse_price_rows, recent_bars,
+from loomtable.sources.prices import (bars_as_of, clean_prices, import_price_csv, import_summary, parse_price_rows, recent_bars,
                                       sync_price_payloads, upsert_bars)
 
 BARS_SQL = """
@@ -108,6 +108,31 @@ def latest_bars(spark, sf):
     return _shown(recent_bars(daily_bars(spark, sf), 60, "1999-12-31"))
 
 
+# Requests: each symbol as of the first day of every quarter (or year) in which it was traded.
+def asked_dates(bars, unit):
+    return bars.select("symbol", F.trunc("trade_date", unit).alias("as_of")).distinct()
+
+
+_AS_OF_SQL = f"""WITH {BARS_SQL},
+    q AS (SELECT DISTINCT symbol, date_trunc('quarter', trade_date)::DATE AS as_of FROM bars),
+    r AS (SELECT b.*, as_of, row_number() OVER (PARTITION BY b.symbol, as_of ORDER BY trade_date DESC) AS n
+          FROM q JOIN bars b ON b.symbol = q.symbol AND trade_date <= as_of)
+    SELECT strftime(as_of, '%Y-%m-%d') AS as_of, {_SHOW} FROM r WHERE n <= 60"""
+
+
+@query("bars_as_of", _AS_OF_SQL)
+def requested_bars(spark, sf):
+    b = daily_bars(spark, sf)
+    return _shown(bars_as_of(b, asked_dates(b, "quarter"), 60), day_text("as_of").alias("as_of"))
+
+
+@query("bars_as_of_split", _AS_OF_SQL)
+def requested_bars_split(spark, sf):
+    """The same with every symbol cut into blocks of rows, as for one too long for a task."""
+    b = daily_bars(spark, sf)
+    return _shown(bars_as_of(b, asked_dates(b, "quarter"), 60, block_rows=500), day_text("as_of").alias("as_of"))
+
+
 @query("synced_payloads", f"""WITH {BARS_SQL},
     n AS (SELECT *, replace(symbol, 'Brand#', '')::INTEGER AS k FROM bars)
     SELECT printf('%06d.SH', 600000 + k) AS symbol,
@@ -256,7 +281,7 @@ def rolling_series(spark, sf):
     return rounded(s.withColumn("trade_date", day_text("trade_date")), names)
 
 
-@query("folded_series", f"""WITH RECURSIVE {BARS_SQL},
+_FOLDED_SQL = f"""WITH RECURSIVE {BARS_SQL},
     r AS (SELECT *, row_number() OVER s AS i, close - lag(close) OVER s AS diff,
                  greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS tr
           FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY trade_date)),
@@ -274,8 +299,19 @@ def rolling_series(spark, sf):
     SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, round(e10, 4) AS close_10_ema, round(ef - es, 4) AS macd,
            round(eg, 4) AS macds, round(ef - es - eg, 4) AS macdh,
            CASE WHEN i >= 15 THEN round(CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END, 4) END AS rsi,
-           CASE WHEN i >= 15 THEN round(atr, 4) END AS atr FROM f""")
+           CASE WHEN i >= 15 THEN round(atr, 4) END AS atr FROM f"""
+
+
+@query("folded_series", _FOLDED_SQL)
 def folded_series(spark, sf):
     names = [n for n in INDICATORS if n in ("close_10_ema", "macd", "macds", "macdh", "rsi", "atr")]
     s = indicator_series(daily_bars(spark, sf), names)
     return rounded(s.withColumn("trade_date", day_text("trade_date")), names)
+
+
+@query("folded_series_split", _FOLDED_SQL)
+def folded_series_split(spark, sf):
+    """The same with every symbol spread over blocks of rows and scanned in short blocks."""
+    names = [n for n in INDICATORS if n in ("close_10_ema", "macd", "macds", "macdh", "rsi", "atr")]
+    s = indicator_series(daily_bars(spark, sf), names, block_rows=400, scan_rows=64)
+    return rounded(s.withColumn("trade_date", day_text("trade_date")), names)

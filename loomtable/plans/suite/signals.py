@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtable.operators.decisions import (disclosure_flags, security_decision, statement_signals)
-from loomtable.operators.signals import SIGNALS, contextual_alignment, technical_consultation
+from loomtable.operators.signals import SIGNALS, contextual_alignment, contextual_consultation, technical_consultation
 from loomtable.plans.suite.base import Tables, query, rounded
-from loomtable.plans.suite.prices import SNAPSHOT_SQL, daily_bars
+from loomtable.plans.suite.prices import SNAPSHOT_SQL, asked_dates, daily_bars
 from loomtable.sources.statements import announcements, latest_statement
 
 
@@ -164,6 +164,39 @@ def alignment(spark, sf):
     return _context(spark, sf).select("symbol", "bias", "market_symbol", "sector_symbol", "alignment")
 
 
+def _as_of_sql(sql: str) -> str:
+    """The same rules with each symbol's bars repeated for every date asked for: symbol@date stands for a request."""
+    asked = """asked AS (SELECT b.symbol || '@' || strftime(q.as_of, '%Y-%m-%d') AS symbol, b.* EXCLUDE (symbol) FROM bars b
+             JOIN (SELECT DISTINCT symbol, date_trunc('year', trade_date)::DATE AS as_of FROM bars) q
+             ON q.symbol = b.symbol AND b.trade_date <= q.as_of),
+    cut AS ("""
+    sql = sql.replace("cut AS (", asked, 1).replace("AS back FROM bars)", "AS back FROM asked)")
+    for end in ("% 5 + 1)", "% 3 + 6)"):
+        sql = sql.replace(end, f"{end} || '@' || split_part(symbol, '@', 2)")
+    return sql.replace("replace(symbol, 'Brand#', '')", "replace(split_part(symbol, '@', 1), 'Brand#', '')")
+
+
+@query("technical_signals_as_of", _as_of_sql(SIGNALS_SQL) + f"""
+    SELECT split_part(symbol, '@', 1) AS symbol, split_part(symbol, '@', 2) AS as_of, {', '.join(SIGNALS)} FROM sig""")
+def signals_as_of(spark, sf):
+    """Every symbol as of the first day of each year in which it was traded."""
+    b = daily_bars(spark, sf)
+    s = technical_consultation(b, requests=asked_dates(b, "year"))
+    return s.select("symbol", F.col("as_of").cast("string").alias("as_of"), *SIGNALS)
+
+
+@query("contextual_alignment_as_of", _as_of_sql(_CONTEXT_SQL) + """
+    SELECT split_part(symbol, '@', 1) AS symbol, split_part(symbol, '@', 2) AS as_of, bias, split_part(market_symbol, '@', 1) AS market_symbol,
+           split_part(sector_symbol, '@', 1) AS sector_symbol, alignment FROM ctx""")
+def alignment_as_of(spark, sf):
+    b = daily_bars(spark, sf)
+    k = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
+    proxies = b.select("symbol").distinct().select("symbol", F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string")).alias("market_symbol"),
+                                                   F.concat(F.lit("Brand#"), (k % 3 + 6).cast("string")).alias("sector_symbol"))
+    out = contextual_consultation(b, asked_dates(b, "year"), proxies)
+    return out.select("symbol", F.col("as_of").cast("string").alias("as_of"), "bias", "market_symbol", "sector_symbol", "alignment")
+
+
 # Statement figures per brand from its lines, under changing field names; those of brands above 20 go to another symbol.
 _STATEMENTS_SQL = """
     y AS (SELECT CASE WHEN replace(p_brand, 'Brand#', '')::INTEGER > 20 THEN 'other ' ELSE '' END || p_brand AS symbol,

@@ -23,6 +23,7 @@ _MODULES = (
     "loomtable.operators.bars", "loomtable.operators.signals",
     "loomtable.operators.decisions", "loomtable.operators.concepts",
     "loomtable.operators.recall", "loomtable.operators.reconcile",
+    "loomtable.operators.retrieval",
     "loomtable.operators.capacity", "loomtable.operators.masking",
     "loomtable.operators.reports", "loomtable.plans.multi_table",
     "loomtable.sources.tables", "loomtable.sources.exports",

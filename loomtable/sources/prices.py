@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from loomtable.functions.checks import need_columns, need_some
 from loomtable.functions.values import parse_number, strip
 from loomtable.operators.ordering import keep_one_per_key
-from loomtable.operators.windows import forward_fill
+from loomtable.operators.windows import forward_fill, window_calculation
 from loomtable.registry import operator
+from loomtable.session import cut_lineage
 from loomtable.sources.tables import read_cells
 
 BAR = ("trade_date", "open", "high", "low", "close", "adj_close", "volume")
@@ -127,6 +128,42 @@ def recent_bars(bars: DataFrame, lookback: int, as_of: str | None = None) -> Dat
     return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= lookback).drop("__r")
 
 
+@operator("packed_bars_as_of")
+def packed_bars_as_of(bars: DataFrame, requests: DataFrame, lookback: int, block_rows: int | None = None) -> DataFrame:
+    """symbol, as_of, bars: for every request (symbol, as_of) its latest bars up to that date, ascending, in one array.
+
+    Bars and requests of a symbol are sorted together once, so a running count of bars gives each bar its number and each request the
+    number of its last bar.  Bars are packed in blocks of ``lookback`` numbers, and a request meets the block of its last bar
+    and the one before: no range join, two rows per request.  ``block_rows`` spreads a symbol too long for one task.
+    Requests before a symbol's first bar, or for unknown symbols, give no row; repeated requests give one.
+    """
+    if lookback < 1:
+        raise ValueError("the look-back must be positive")
+    need_columns(bars, ["symbol", "trade_date"])
+    need_columns(requests, ["symbol", "as_of"])
+    row = F.struct("trade_date", *[c for c in bars.columns if c not in ("symbol", "trade_date")])
+    known = bars.filter(F.col("trade_date").isNotNull()).select("symbol", F.col("trade_date").alias("__day"), F.lit(1).alias("__bar"), row.alias("__row"))
+    asked = (requests.select("symbol", F.col("as_of").cast(bars.schema["trade_date"].dataType).alias("__day")).dropna().distinct()
+             .select("symbol", "__day", F.lit(0).alias("__bar"), F.lit(None).cast(known.schema["__row"].dataType).alias("__row")))
+    counted = window_calculation(
+        known.unionByName(asked), ["symbol"], ["__day", {"column": "__bar", "descending": True}],
+        [{"kind": "cumulative_sum", "source_column": "__bar", "output_column": "__number"}], [], block_rows)
+    counted = cut_lineage(counted.withColumn("__block", F.floor((F.col("__number") - 1) / lookback)))
+    blocks = counted.filter("__bar = 1").groupBy("symbol", "__block").agg(F.collect_list("__row").alias("__rows"))
+    places = F.array("__block", F.col("__block") - 1)
+    wanted = counted.filter("__bar = 0 and __number > 0").select("symbol", F.col("__day").alias("as_of"), F.explode(places).alias("__block"))
+    met = wanted.join(blocks, ["symbol", "__block"]).groupBy("symbol", "as_of").agg(F.sort_array(F.flatten(F.collect_list("__rows"))).alias("__rows"))
+    upto = F.filter("__rows", lambda x: x["trade_date"] <= F.col("as_of"))
+    return met.select("symbol", "as_of", upto.alias("__rows")).select(
+        "symbol", "as_of", F.slice("__rows", F.greatest(F.size("__rows") - lookback + 1, F.lit(1)), F.lit(lookback)).alias("bars"))
+
+
+@operator("bars_as_of")
+def bars_as_of(bars: DataFrame, requests: DataFrame, lookback: int, block_rows: int | None = None) -> DataFrame:
+    """The rows of ``packed_bars_as_of``: at most ``lookback`` bars per request."""
+    return packed_bars_as_of(bars, requests, lookback, block_rows).select("symbol", "as_of", F.inline("bars"))
+
+
 # ---- provider payloads ----
 
 # Providers in the default order of preference.
