@@ -10,8 +10,7 @@ _NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
 
 def word_list(text: Column) -> Column:
     """Letters and digits in order, ASCII letters lowered."""
-    words = F.split(F.translate(text, _UPPER, _LOWER), _NOT_WORD)
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _NOT_WORD), "")
 
 
 def word_set(text: Column) -> Column:

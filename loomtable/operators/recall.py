@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtable.functions.checks import need_columns
 from loomtable.registry import operator
-from loomtable.session import cut_lineage
+from loomtable.session import beside_large, cut_lineage, stored
 
 # Parameters of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -26,7 +26,7 @@ PART, SEEDS, SLACK = 1 << 20, 200, 1e-6
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsAlphabetic}\p{N}_]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}_]+"), "")
 
 
 @operator("recall_index")
@@ -40,7 +40,7 @@ def recall_index(memories: DataFrame) -> DataFrame:
         "memory_id", words(F.coalesce("text", F.lit(""))).alias("w"))
     # an outer explode keeps the tokenising below it from being repeated in filters
     rows = counted.select("memory_id", F.size("w").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
-    return cut_lineage(rows.groupBy("memory_id", "dl", "term").agg(F.count("term").alias("tf")))
+    return stored(rows.groupBy("memory_id", "dl", "term").agg(F.count("term").alias("tf")))
 
 
 @operator("recall_statistics")
@@ -120,13 +120,13 @@ def _best_scores(postings: DataFrame, statistics: DataFrame, situations: DataFra
     def met(some: DataFrame) -> DataFrame:
         """Partial scores of all memories that have one of the words."""
         wide = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-        return (dealt.join(wide, ["term", "part"]).groupBy("situation_id", "memory_id")
+        return (dealt.join(beside_large(wide), ["term", "part"]).groupBy("situation_id", "memory_id")
                 .agg(F.sum(F.col("weight") * gain(F.col("tf"), F.col("dl"))).alias("score")))
 
     def completed(candidates: DataFrame, some: DataFrame) -> DataFrame:
         """The candidates' scores and what the words add."""
         pairs = candidates.join(some.select("situation_id", "term", "weight"), "situation_id")
-        more = (postings.join(pairs.select("situation_id", "memory_id", "term", "weight"), ["memory_id", "term"])
+        more = (postings.join(beside_large(pairs.select("situation_id", "memory_id", "term", "weight")), ["memory_id", "term"])
                 .select("situation_id", "memory_id", (F.col("weight") * gain(F.col("tf"), F.col("dl"))).alias("score")))
         return (candidates.select("situation_id", "memory_id", "score").unionByName(more).groupBy("situation_id", "memory_id")
                 .agg(F.sum("score").alias("score")))
@@ -134,7 +134,7 @@ def _best_scores(postings: DataFrame, statistics: DataFrame, situations: DataFra
     rare = Window.partitionBy("situation_id").orderBy("memories", "term")
     upto = F.sum("memories").over(rare.rowsBetween(Window.unboundedPreceding, 0))
     seeds = asked.withColumn("__r", F.row_number().over(rare)).withColumn("__n", upto).filter((F.col("__r") == 1) | (F.col("__n") <= SEEDS * n))
-    named = met(seeds).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= 4 * n).withColumn("score", F.lit(0.0))
+    named = cut_lineage(met(seeds).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= 4 * n).withColumn("score", F.lit(0.0)))
     floor = (completed(named, asked).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == n)
              .select("situation_id", (F.col("score") - SLACK).alias("floor")))
     common = Window.partitionBy("situation_id").orderBy(F.desc("memories"), "term").rowsBetween(Window.unboundedPreceding, 0)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomtable.functions.checks import need_columns
 from loomtable.functions.texts import word_set
 from loomtable.registry import operator
-from loomtable.session import cut_lineage
+from loomtable.session import cut_lineage, stored
 
 BLOCK, CHUNK, FIRST_BLOCKS = 256, 256, 2
 _PLACE = ["concept_id", "block"]
@@ -34,12 +34,12 @@ def node_blocks(nodes: DataFrame, block_nodes: int = BLOCK) -> DataFrame:
     need_columns(nodes, ["node_id", "title", "body", "concept_ids"])
     if block_nodes < 1:
         raise ValueError("block_nodes must be positive")
-    held = nodes.select("node_id", F.array_distinct("concept_ids").alias("concepts"),
-                        F.array_union(word_set(F.coalesce("title", F.lit(""))), word_set(F.coalesce("body", F.lit("")))).alias("words"))
+    # one shuffle spreads the reading of words, however few files hold the nodes
+    held = nodes.select("node_id", "title", "body", "concept_ids").repartition("node_id").select(
+        "node_id", F.array_distinct("concept_ids").alias("concepts"), word_set(F.concat_ws(" ", "title", "body")).alias("words"))
     # an outer explode keeps the tokenising below it from being repeated in filters
     rows = held.select("node_id", "words", F.size("words").alias("n"), F.explode_outer("concepts").alias("concept_id"))
-    rows = rows.filter((F.col("n") > 0) & F.col("concept_id").isNotNull())
-    rows = cut_lineage(rows.withColumn("kind", F.floor(F.log2("n") * 2)))
+    rows = stored(rows).filter((F.col("n") > 0) & F.col("concept_id").isNotNull()).withColumn("kind", F.floor(F.log2("n") * 2))
     classes = rows.groupBy("concept_id", "kind").agg(F.ceil(F.count(F.lit(1)) / block_nodes).alias("blocks"), F.max("n").alias("richest"))
     block = F.struct(F.col("kind"), F.pmod(F.xxhash64("node_id"), F.col("blocks")).alias("part"))
     return rows.join(classes, ["concept_id", "kind"]).select("concept_id", block.alias("block"), "richest", "node_id", "words")

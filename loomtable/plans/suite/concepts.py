@@ -10,6 +10,7 @@ from loomtable.operators.recall import add_memories, recall_index, recall_situat
 from loomtable.operators.retrieval import retrieve_nodes
 from loomtable.operators.windows import number_rows
 from loomtable.plans.suite.base import Tables, query
+from loomtable.session import cut_lineage
 
 # Concepts: one per source of the documents; its aliases are pairs of words.
 _CONCEPTS_SQL = r"""
@@ -37,7 +38,7 @@ def _ontology(spark, sf):
     sources = t.documents.select("source").distinct()
     n = sources.count()
     src = number_rows(sources, [], ["source"], "i").withColumn("i", F.col("i") - 1)
-    w = t.benchmark.select("item_id", word_list(F.lower("text")).alias("w"))
+    w = cut_lineage(t.benchmark.select("item_id", word_list(F.lower("text")).alias("w")))
     grams = w.select(F.explode(F.when(F.size("w") > 1, F.transform(
         F.sequence(F.lit(1), F.size("w") - 1), lambda s: F.array_join(F.slice("w", s, 2), " ")))).alias("alias")).distinct()
     words = w.select(F.explode("w").alias("alias")).distinct()
@@ -54,7 +55,7 @@ def _ontology(spark, sf):
         F.col("text").alias("body"), F.array("source").alias("concept_ids"),
         F.array(F.struct(F.col("source").alias("source_ref"), (F.col("doc_id") % 10).cast("string").alias("locator")),
                 F.struct(F.col("lang").alias("source_ref"), F.lit("all").alias("locator"))).alias("evidence_refs"))
-    return _questions(t), aliases, relations, nodes
+    return _questions(t), cut_lineage(aliases), cut_lineage(relations), nodes
 
 
 # Longest spans first: pairs, then single words, each left to right without overlap.

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtable.operators.bars import INDICATORS, SNAPSHOT, indicator_series, indicator_snapshot, short_histories
-from loomtable.plans.suite.base import Tables, day_text, query, rounded, scratch_folder
+from loomtable.plans.suite.base import Tables, day_text, query, rounded, saved, scratch_folder
 from loomtable.sources.exports import export_csv
 from loomtable.sources.prices import (bars_as_of, clean_prices, import_price_csv, import_summary, parse_price_rows, recent_bars,
                                       sync_price_payloads, upsert_bars)
+from loomtable.sources.versions import read_version, upsert_version, write_version
 
 BARS_SQL = """
     p AS (SELECT p_brand AS symbol, l_shipdate::DATE AS trade_date, sqrt(l_extendedprice) AS price,
@@ -92,6 +93,37 @@ def upserted_bars(spark, sf):
     return upsert_bars([first, second]).select("symbol", day_text("trade_date").alias("trade_date"), "close", "source")
 
 
+_LOADS_SQL = f"""WITH {BARS_SQL},
+    loads AS (SELECT symbol, trade_date, close, 1 AS load FROM bars
+              UNION ALL SELECT symbol, trade_date, close + 1, 2 FROM bars WHERE volume % 3 = 0 AND year(trade_date) = 1997
+              UNION ALL SELECT symbol, trade_date + 10000, close, 2 FROM bars WHERE volume % 50 = 0 AND year(trade_date) = 1997)"""
+
+
+def _committed(spark, sf):
+    """A first version of all bars in buckets of years, then a load that corrects and adds some."""
+    root, b = scratch_folder(spark), daily_bars(spark, sf).select("symbol", "trade_date", "close", "volume").transform(saved)
+    write_version(b.drop("volume").withColumn("load", F.lit(1)), root, ["symbol", "trade_date"], ["year(trade_date)"], 16)
+    year = b.filter(F.year("trade_date") == 1997)
+    new = (year.filter("volume % 3 = 0").withColumn("close", F.col("close") + 1)
+           .unionByName(year.filter("volume % 50 = 0").withColumn("trade_date", F.date_add("trade_date", 10000))))
+    upsert_version(new.withColumn("load", F.lit(2)), root)
+    return root
+
+
+@query("committed_bars", _LOADS_SQL + """
+    SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, arg_max(close, load) AS close, max(load) AS load
+    FROM loads GROUP BY ALL""")
+def committed_bars(spark, sf):
+    return read_version(spark, _committed(spark, sf)).withColumn("trade_date", day_text("trade_date"))
+
+
+@query("committed_bars_before", _LOADS_SQL + """
+    SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS trade_date, close, load FROM loads WHERE load = 1""")
+def committed_bars_before(spark, sf):
+    """The first version stays as it was after the second load."""
+    return read_version(spark, _committed(spark, sf), 1).withColumn("trade_date", day_text("trade_date"))
+
+
 @query("bars_per_symbol", f"""WITH {BARS_SQL}
     SELECT symbol, count(*) AS imported_row_count, strftime(min(trade_date), '%Y-%m-%d') AS start_date,
            strftime(max(trade_date), '%Y-%m-%d') AS end_date FROM bars GROUP BY symbol""")

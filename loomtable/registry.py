@@ -29,6 +29,7 @@ _MODULES = (
     "loomtable.sources.tables", "loomtable.sources.exports",
     "loomtable.sources.prices", "loomtable.sources.statements",
     "loomtable.sources.disclosures", "loomtable.sources.news",
+    "loomtable.sources.versions",
 )
 
 

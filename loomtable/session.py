@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: rows of a narrow table that may be broadcast; longer ones are sorted and merged
+SMALL_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -25,3 +29,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Parquet in the shared folder, read back: the lineage is cut and Spark knows the true size."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside_large(df: DataFrame, times: int = 1) -> DataFrame:
+    """The narrow side of a join with a much larger one: sent to all if its counted rows, ``times`` over, are few, else merged."""
+    return F.broadcast(df) if df.count() * times <= SMALL_ROWS else df.hint("merge")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -10,6 +11,7 @@ from loomtable.functions.checks import need_columns
 from loomtable.functions.values import strip
 from loomtable.operators.windows import number_rows
 from loomtable.registry import operator
+from loomtable.sources.manifests import commit, content_of
 
 
 @operator("load_as_text")
@@ -158,28 +160,36 @@ LINEAGE_SCHEMA = "result_ref string, produced_by string, source_refs array<strin
 @operator("save_result")
 def save_result(df: DataFrame, root: str, result_ref: str, produced_by: str,
                 source_refs: list[str] | None = None, source_paths: list[str] | None = None) -> DataFrame:
-    """Writes ``root/result_ref`` as Parquet and appends a lineage row; with ``source_paths`` the fingerprints of
-    those files are kept, and ``load_result`` refuses the result once they change."""
-    spark = df.sparkSession
+    """Keeps the rows as Parquet below ``root`` with their lineage; with ``source_paths`` the fingerprints of
+    those files are kept, and ``load_result`` refuses the result once they change.
+
+    Rows and fingerprints go to a folder of their own; the lineage file that names it is committed last, by one rename, so a result
+    is there with its lineage or not at all.
+    """
+    spark, folder = df.sparkSession, f"results/{uuid.uuid4().hex}"
     for i, path in enumerate(source_paths or []):
-        source_fingerprint(spark, path).coalesce(1).write.parquet(f"{root}/sources/{result_ref}/{i}")
-    df.write.mode("errorifexists").parquet(f"{root}/{result_ref}")
-    row = [(result_ref, produced_by, list(source_refs or []), df.columns, list(source_paths or []))]
-    spark.createDataFrame(row, LINEAGE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/lineage")
+        source_fingerprint(spark, path).coalesce(1).write.parquet(f"{root}/{folder}/sources/{i}")
+    df.write.parquet(f"{root}/{folder}/rows")
+    lineage = {"result_ref": result_ref, "produced_by": produced_by, "source_refs": list(source_refs or []), "columns": df.columns,
+               "source_paths": list(source_paths or []), "folder": folder}
+    if not commit(spark, f"{root}/lineage/{result_ref}.json", lineage):
+        raise ValueError(f"result {result_ref!r} is there already")
     return load_result(spark, root, result_ref)
 
 
 @operator("load_result")
 def load_result(spark: SparkSession, root: str, result_ref: str) -> DataFrame:
-    lineage = result_lineage(spark, root).filter(F.col("result_ref") == result_ref).first()
-    for i, path in enumerate((lineage and lineage["source_paths"]) or []):
-        require_unchanged(spark.read.parquet(f"{root}/sources/{result_ref}/{i}"), source_fingerprint(spark, path))
-    return spark.read.parquet(f"{root}/{result_ref}")
+    lineage = content_of(spark, f"{root}/lineage/{result_ref}.json")
+    if lineage is None:
+        raise ValueError(f"there is no result {result_ref!r}")
+    for i, path in enumerate(lineage["source_paths"]):
+        require_unchanged(spark.read.parquet(f"{root}/{lineage['folder']}/sources/{i}"), source_fingerprint(spark, path))
+    return spark.read.parquet(f"{root}/{lineage['folder']}/rows")
 
 
 @operator("result_lineage")
 def result_lineage(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LINEAGE_SCHEMA).parquet(f"{root}/lineage")
+    return spark.read.schema(LINEAGE_SCHEMA).json(f"{root}/lineage")
 
 
 # ---- source fingerprints ----
