@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtable.functions.checks import need_columns
 from loomtable.registry import operator
-from loomtable.session import beside_large, cut_lineage, stored
+from loomtable.session import beside_large, cut_lineage
 
 # Parameters of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: rows of one word that may share a key; memories that the rarest words may name per wanted memory; slack for sums in another order
 PART, SEEDS, SLACK = 1 << 20, 200, 1e-6
+#: part of the floor that the words left out may reach: less leaves fewer candidates, more leaves out more words
+REACH = 0.5
 
 
 def words(text: Column) -> Column:
@@ -40,7 +42,7 @@ def recall_index(memories: DataFrame) -> DataFrame:
         "memory_id", words(F.coalesce("text", F.lit(""))).alias("w"))
     # an outer explode keeps the tokenising below it from being repeated in filters
     rows = counted.select("memory_id", F.size("w").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
-    return stored(rows.groupBy("memory_id", "dl", "term").agg(F.count("term").alias("tf")))
+    return cut_lineage(rows.groupBy("memory_id", "dl", "term").agg(F.count("term").alias("tf")))
 
 
 @operator("recall_statistics")
@@ -123,26 +125,29 @@ def _best_scores(postings: DataFrame, statistics: DataFrame, situations: DataFra
         return (dealt.join(beside_large(wide), ["term", "part"]).groupBy("situation_id", "memory_id")
                 .agg(F.sum(F.col("weight") * gain(F.col("tf"), F.col("dl"))).alias("score")))
 
-    def completed(candidates: DataFrame, some: DataFrame) -> DataFrame:
-        """The candidates' scores and what the words add."""
-        pairs = candidates.join(some.select("situation_id", "term", "weight"), "situation_id")
-        more = (postings.join(beside_large(pairs.select("situation_id", "memory_id", "term", "weight")), ["memory_id", "term"])
-                .select("situation_id", "memory_id", (F.col("weight") * gain(F.col("tf"), F.col("dl"))).alias("score")))
-        return (candidates.select("situation_id", "memory_id", "score").unionByName(more).groupBy("situation_id", "memory_id")
-                .agg(F.sum("score").alias("score")))
+    def completed(candidates: DataFrame, some: DataFrame, few: bool) -> DataFrame:
+        """The candidates' scores and what the words add: a memory's counts of these words meet its candidates as one map."""
+        listed = some.groupBy("situation_id").agg(F.collect_list(F.struct("term", "weight")).alias("words"))
+        held = postings.join(beside_large(some.select("term").distinct()), "term", "left_semi")
+        if few:
+            held = held.join(beside_large(candidates.select("memory_id").distinct()), "memory_id", "left_semi")
+        counts = held.groupBy("memory_id").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))
+        more = F.aggregate("words", F.lit(0.0), lambda sum_, w: sum_ + F.coalesce(w["weight"] * gain(F.try_element_at("tf", w["term"]), F.col("dl")), F.lit(0.0)))
+        rows = candidates.join(counts.hint("merge"), "memory_id", "left").join(beside_large(listed), "situation_id", "left")
+        return rows.select("situation_id", "memory_id", (F.col("score") + F.coalesce(more, F.lit(0.0))).alias("score"))
 
     rare = Window.partitionBy("situation_id").orderBy("memories", "term")
     upto = F.sum("memories").over(rare.rowsBetween(Window.unboundedPreceding, 0))
     seeds = asked.withColumn("__r", F.row_number().over(rare)).withColumn("__n", upto).filter((F.col("__r") == 1) | (F.col("__n") <= SEEDS * n))
     named = cut_lineage(met(seeds).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= 4 * n).withColumn("score", F.lit(0.0)))
-    floor = (completed(named, asked).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == n)
+    floor = (completed(named, asked, True).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == n)
              .select("situation_id", (F.col("score") - SLACK).alias("floor")))
     common = Window.partitionBy("situation_id").orderBy(F.desc("memories"), "term").rowsBetween(Window.unboundedPreceding, 0)
     split = cut_lineage(asked.join(floor, "situation_id", "left").withColumn("upto", F.sum("most").over(common))
-                        .withColumn("left_out", F.coalesce(F.col("upto") < F.col("floor"), F.lit(False))))
+                        .withColumn("left_out", F.coalesce(F.col("upto") < F.col("floor") * REACH, F.lit(False))))
     left_out = split.filter("left_out")
     reach = left_out.groupBy("situation_id").agg(F.max("upto").alias("reach"), F.max("floor").alias("floor"))
     able = (met(split.filter("not left_out")).join(reach, "situation_id", "left")
             .filter(F.col("floor").isNull() | (F.col("score") + F.col("reach") >= F.col("floor"))))
-    whole = completed(cut_lineage(able.select("situation_id", "memory_id", "score")), left_out)
+    whole = completed(cut_lineage(able.select("situation_id", "memory_id", "score")), left_out, False)
     return whole.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomtable.functions.checks import need_columns
 from loomtable.functions.texts import word_set
 from loomtable.registry import operator
-from loomtable.session import cut_lineage, stored
+from loomtable.session import beside_large, cut_lineage, stored
 
 BLOCK, CHUNK, FIRST_BLOCKS = 256, 256, 2
 _PLACE = ["concept_id", "block"]
@@ -129,7 +129,8 @@ def retrieve_nodes(questions: DataFrame, scope: DataFrame, nodes: DataFrame, top
 
 def _bounds(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """question_id, concept_id, block, bound: no node of the block shares more words with the question."""
-    words = blocks.select(*_PLACE, "richest", F.explode("words").alias("word")).distinct()
     asked = wanted.select("question_id", "concept_id", F.explode("words").alias("word"))
+    words = (blocks.select(*_PLACE, "richest", F.explode("words").alias("word"))
+             .join(beside_large(asked.select("concept_id", "word").distinct()), ["concept_id", "word"], "left_semi").distinct())
     return (words.join(asked, ["concept_id", "word"]).groupBy("question_id", *_PLACE)
             .agg(F.least(F.count(F.lit(1)), F.max("richest")).alias("bound")))
