@@ -2,16 +2,35 @@
 
 Every mask is drawn from SHA-256 of a secret salt and the value (or a key column's value), so it needs no lookup table,
 no state and no exchange, except for words, which come from a vocabulary table that the caller gives.
+
+``permute`` is a keyed permutation of the values of one shape: Feistel rounds shift each character of one half of the text by what
+the digest of the other half says, digits among digits, capitals among capitals, small letters among small letters, Han characters among
+Han characters and accented Latin letters among these.  Lengths, punctuation and number types stay, and different values never meet.
+
+``mask_table`` needs no column names: words in a header choose the mask, the column's type chooses it where no word does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomtable.functions.checks import need_columns, need_numeric, need_some
+from loomtable.operators.windows import number_rows
 from loomtable.registry import operator
 
-KINDS = ("token", "word", "shift_date", "scale_number")
+KINDS = ("token", "word", "shift_date", "scale_number", "permute", "constant")
+ROUNDS = 4
+# First code and size of the blocks in which characters are permuted.
+BLOCKS = ((48, 10), (65, 26), (97, 26), (192, 64), (19968, 20992))
+# Words in headers and the mask they stand for; the first that a header holds decides.
+HEADER_KINDS = (
+    ("shift_date", ("日期", "时间", "出单日", "起保日", "生效日", "终保", "到期", "date", "birthday")),
+    ("scale_number", ("保额", "限额", "保费", "收入", "金额", "费用", "佣金", "目标", "预算", "赔款", "指标值", "比例", "占比", "费率", "折扣",
+                      "amount", "price", "balance", "acctbal", "salary", "premium", "income", "cost", "rate")),
+    ("permute", ("名称", "投保主体", "人员", "经办人", "经理", "负责人", "员工", "电话", "手机", "身份证", "证件号", "信用代码", "编号", "合同号", "单号", "保单号",
+                 "name", "phone", "mobile", "address", "email", "code", "number", "key", "id")),
+    ("token", ("备注", "说明", "remark", "comment", "note")),
+)
 
 
 def _digest(salt: str, purpose: str, value: Column) -> Column:
@@ -29,7 +48,8 @@ def mask_values(df: DataFrame, rules: list[dict], salt: str, vocabulary: DataFra
 
     ``token``: ``prefix`` and ``length`` digits of the digest.  ``word``: a word of the vocabulary (one column of distinct words).
     ``shift_date``: days moved by up to ``span``, equal for equal values of ``key``.  ``scale_number``: times a factor
-    within ``spread`` of one, equal for equal values of ``key``, rounded to ``digits``.  Columns with one ``purpose`` share masks.
+    within ``spread`` of one, equal for equal values of ``key``, rounded to ``digits``.  ``permute``: texts and whole numbers of the same
+    length and shape, one to one.  ``constant``: the given ``value``.  Columns with one ``purpose`` share masks.
     """
     need_some(rules, "mask rule")
     need_columns(df, [r["column"] for r in rules] + [r["key"] for r in rules if "key" in r])
@@ -45,6 +65,10 @@ def mask_values(df: DataFrame, rules: list[dict], salt: str, vocabulary: DataFra
             out[r["column"]] = F.concat(F.lit(r.get("prefix", "")), F.substring(_digest(salt, purpose, c), 1, r.get("length", 16)))
         elif kind == "word":
             words.append((r["column"], purpose))
+        elif kind == "constant":
+            out[r["column"]] = F.when(c.isNotNull(), F.lit(r["value"]).cast(df.schema[r["column"]].dataType))
+        elif kind == "permute":
+            out[r["column"]] = _permuted(c, df.schema[r["column"]].dataType, salt, purpose)
         elif kind == "shift_date":
             span = r.get("span", 30)
             days = _draw(_digest(salt, purpose, F.col(f"`{r['key']}`")), 2 * span + 1) - span
@@ -61,8 +85,7 @@ def _with_words(df: DataFrame, words: list[tuple[str, str]], salt: str, vocabula
     if vocabulary is None:
         raise ValueError("words need a vocabulary")
     word = F.col(f"`{vocabulary.columns[0]}`")
-    # a vocabulary is a short list by nature; numbering it is one task's work
-    table = vocabulary.select(word.alias("__word"), (F.row_number().over(Window.orderBy(word)) - 1).cast("bigint").alias("__n"))
+    table = number_rows(vocabulary.select(word.alias("__word")), [], ["__word"], "__n").withColumn("__n", F.col("__n") - 1)
     size = vocabulary.count()
     if not size:
         raise ValueError("the vocabulary is empty")
@@ -71,3 +94,93 @@ def _with_words(df: DataFrame, words: list[tuple[str, str]], salt: str, vocabula
         df = (df.withColumn(f"__d{i}", _draw(_digest(salt, purpose, F.col(f"`{column}`")), size))
               .join(picked, F.col(f"__d{i}") == F.col(f"__n{i}"), "left").withColumn(column, F.col(f"__w{i}")))
     return df.select(*[f"`{c}`" for c in columns])
+
+
+def _shifted(half: Column, other: Column, salt: str, purpose: str, leading: bool) -> Column:
+    """The half with each character moved inside its block, by four digits of the other half's digest each."""
+    digest = F.sha2(F.concat(F.lit(f"{salt}|{purpose}|"), other), 256)
+
+    def moved(c: Column, i: Column) -> Column:
+        code = F.ascii(c)
+        by = F.conv(F.substring(digest, (i * 2) % 60 + 1, F.lit(4)), 16, 10).cast("int")
+        out = F.when((i == 0) & code.between(49, 57), F.char((code - 49 + by) % 9 + 49)).when(i == 0, c) if leading else None
+        for start, size in BLOCKS:
+            inside, new = code.between(start, start + size - 1), _char((code - start + by) % size + start)
+            out = F.when(inside, new) if out is None else out.when(inside, new)
+        return out.otherwise(c)
+
+    return F.array_join(F.transform(F.split(half, ""), moved), "")
+
+
+def _char(code: Column) -> Column:
+    """The character of a code, of any block."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 4, "0")), "UTF-16BE")
+
+
+def _permuted(value: Column, kind: T.DataType, salt: str, purpose: str) -> Column:
+    if isinstance(kind, T.StringType):
+        return _feistel(value, salt, purpose, False)
+    most = {T.ByteType: 127, T.ShortType: 32767, T.IntegerType: 2147483647, T.LongType: 9223372036854775807}.get(type(kind))
+    if most is None:
+        raise ValueError(f"permute needs texts or whole numbers, not {kind.simpleString()}")
+    # numbers as long as the type's largest keep their first two digits; those that start like the largest keep all
+    text = F.regexp_replace(value.cast("string"), "^-", "")
+    long, near = F.length(text) == len(str(most)), F.substring(text, 1, 2) >= str(most)[:2]
+    digits = (F.when(~long, _feistel(text, salt, purpose, True)).when(near, text)
+              .otherwise(F.concat(F.substring(text, 1, 2), _feistel(F.substring(text, 3, 20), salt, purpose, False))))
+    return F.concat(F.when(value < 0, "-").otherwise(""), digits).cast(kind)
+
+
+def _feistel(text: Column, salt: str, purpose: str, leading: bool) -> Column:
+    """Rounds over the two halves of a text; with ``leading`` the first character is a digit that does not become 0.
+
+    Halves travel as a struct from round to round, so that each round's expression stands in the plan once.
+    """
+    n = F.ceil(F.length(text) / 2).cast("int")
+    halves = F.struct(F.substring(text, F.lit(1), n).alias("a"), F.substring(text, n + 1, F.length(text)).alias("b"))
+
+    def round_(h: Column, turn: Column) -> Column:
+        return F.when(turn % 2 == 1, F.struct(_turned(h["a"], h["b"], turn, True).alias("a"), h["b"].alias("b"))).otherwise(
+            F.struct(h["a"].alias("a"), _turned(h["b"], h["a"], turn, False).alias("b")))
+
+    def _turned(half: Column, other: Column, turn: Column, first: bool) -> Column:
+        return _shifted(half, F.concat(turn.cast("string"), F.lit("|"), other), salt, purpose, leading and first)
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, round_)
+    return F.when(text.isNotNull(), F.concat(done["a"], done["b"]))
+
+
+@operator("mask_rules")
+def mask_rules(df: DataFrame, keep: list[str] | None = None, purposes: dict[str, str] | None = None) -> list[dict]:
+    """A rule for every column not kept: by words in its header where its type allows that mask, else by its type."""
+    rules = []
+    for f in df.schema.fields:
+        if f.name in (keep or []):
+            continue
+        header, whole = f.name.strip().lower(), isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        number, text = isinstance(f.dataType, T.NumericType), isinstance(f.dataType, T.StringType)
+        day = isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        able = {"shift_date": day, "scale_number": number, "permute": text or whole, "token": text}
+        kind = next((k for k, some in HEADER_KINDS if able[k] and any(w in header for w in some)), None)
+        if kind is None:
+            kind = "permute" if text or whole else "scale_number" if number else "shift_date" if day else "constant"
+        rule = {"column": f.name, "kind": kind, "purpose": (purposes or {}).get(f.name, f.name)}
+        if kind in ("shift_date", "scale_number"):
+            rule["key"] = f.name
+        if kind == "constant":
+            rule["value"] = True if isinstance(f.dataType, T.BooleanType) else None
+        rules.append(rule)
+    return rules
+
+
+@operator("mask_table")
+def mask_table(df: DataFrame, salt: str, keep: list[str] | None = None, purposes: dict[str, str] | None = None) -> DataFrame:
+    """The whole table masked without naming its columns; every column keeps its type.
+
+    Columns of other tables that are joined on get one purpose here and there.  Flags become true, nested columns null.
+    """
+    rules = mask_rules(df, keep, purposes)
+    if not rules:
+        return df
+    masked = mask_values(df, rules, salt)
+    return masked.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema.fields])

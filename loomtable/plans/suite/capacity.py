@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtable.operators.capacity import (capacity_assessment, capacity_from_inventory, latest_metrics, matched_processes,
                                           parse_inventory)
-from loomtable.operators.masking import mask_values
+from loomtable.operators.masking import mask_table, mask_values
 from loomtable.operators.reports import capacity_report_tables, diagnostics_report_tables
 from loomtable.operators.statistics import diagnostics_report
 from loomtable.plans.suite.base import SQL, Tables, day_text, query, rounded, scratch_folder
@@ -243,3 +243,39 @@ def masked_orders(spark, sf):
             .groupBy(F.col("o_custkey").alias("customer"), F.col("c_name").alias("name"), "c_mktsegment")
             .agg(day_text(F.min("o_orderdate")).alias("first_day"), F.round(F.sum("o_totalprice"), 0).alias("total"),
                  F.count_distinct("o_orderpriority").alias("levels"), F.count("*").alias("orders")))
+
+
+def _permuted_sql(text: str, purpose: str, leading: bool) -> str:
+    """The text after four rounds, as nested selects of its halves."""
+    def shifted(half: str, other: str, turn: int, first: bool) -> str:
+        by = f"('0x' || substr(sha256('pepper|{purpose}|{turn}|' || {other}), ((i - 1) * 2) % 60 + 1, 4))::INTEGER"
+        lead = f"WHEN i = 1 AND c BETWEEN '1' AND '9' THEN chr((ord(c) - 49 + {by}) % 9 + 49) WHEN i = 1 THEN c" if leading and first else ""
+        blocks = " ".join(f"WHEN ord(c) BETWEEN {a} AND {a + n - 1} THEN chr((ord(c) - {a} + {by}) % {n} + {a})" for a, n in ((48, 10), (65, 26), (97, 26)))
+        return f"list_aggregate(list_transform(string_split({half}, ''), lambda c, i: CASE {lead} {blocks} ELSE c END), 'string_agg', '')"
+
+    sql = f"SELECT substr(t, 1, ceil(length(t) / 2)::INTEGER) AS a, substr(t, ceil(length(t) / 2)::INTEGER + 1) AS b FROM (SELECT {text} AS t)"
+    for turn in (1, 2, 3, 4):
+        new = (f"{shifted('a', 'b', turn, True)} AS a, b" if turn % 2 else f"a, coalesce({shifted('b', 'a', turn, False)}, '') AS b")
+        sql = f"SELECT {new} FROM ({sql})"
+    return f"(SELECT a || b FROM ({sql}))"
+
+
+@query("masked_customers", f"""
+    SELECT {_permuted_sql('c_custkey::VARCHAR', 'customer', True)}::BIGINT AS c_custkey, {_permuted_sql('c_name', 'c_name', False)} AS c_name,
+           c_nationkey, {_permuted_sql('c_mktsegment', 'c_mktsegment', False)} AS c_mktsegment FROM customer""")
+def masked_customers(spark, sf):
+    """A table masked without naming its columns; only the nation is kept."""
+    t = Tables(spark, sf)
+    return mask_table(t.customer, "pepper", ["c_nationkey"], {"c_custkey": "customer"}).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("masked_keys_join", """
+    SELECT c_mktsegment, count(*) AS orders, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderkey) AS keys
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def masked_keys_join(spark, sf):
+    """Two tables masked on their own: joins hold, and different keys stay different."""
+    t = Tables(spark, sf)
+    c = mask_table(t.customer.select("c_custkey", "c_mktsegment"), "pepper", ["c_mktsegment"], {"c_custkey": "customer"})
+    o = mask_table(t.orders, "pepper", [], {"o_custkey": "customer"})
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(
+        F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderkey").alias("keys"))
