@@ -190,6 +190,29 @@ def capacity_tables(spark, sf):
     return _bundle_counts(spark, capacity_report_tables(_assessed(spark, sf)))
 
 
+@query("capacity_table_cells", f"""
+    WITH a AS ({SQL['capacity_assessment'].replace("END, 6)", "END, 14)")}),
+         c AS (SELECT 'conclusion' AS name, service, unnest(['evidence_level', 'capacity_status', 'current_instance_count', 'recommended_instance_count',
+                      'limiting_resource']) AS item, unnest([evidence_level, capacity_status, current_instance_count::VARCHAR,
+                      recommended_instance_count::VARCHAR, limiting_resource]) AS value FROM a)
+    SELECT name, service, item, coalesce(value, '-') AS value FROM c
+    UNION ALL SELECT 'resources', service, 'memory', concat(printf('%.4f', memory_demand), ' ', printf('%.4f', memory_penalty), ' ', memory_required, ' ',
+                     CASE WHEN memory_required > current_instance_count THEN 'insufficient' ELSE 'sufficient' END) FROM a WHERE memory_required IS NOT NULL
+    UNION ALL SELECT 'actions', service, 'missing_input', unnest(CASE WHEN missing_inputs = '' THEN ['none'] ELSE string_split(missing_inputs, ',') END) FROM a
+    UNION ALL SELECT 'actions', service, 'next_step', CASE capacity_status WHEN 'insufficient' THEN 'scale_out' WHEN 'unknown' THEN 'collect_inputs'
+                     ELSE 'keep_watching' END FROM a""")
+def capacity_table_cells(spark, sf):
+    """The cells of the result tables, read back from their bundle."""
+    root = scratch_folder(spark)
+    export_bundle(capacity_report_tables(_assessed(spark, sf)), root)
+    conclusion, resources, actions = (spark.read.parquet(f"{root}/{n}") for n in ("conclusion", "resources", "actions"))
+    memory = resources.filter("resource = 'memory'").select(
+        F.lit("resources").alias("name"), "service", F.col("resource").alias("item"),
+        F.concat_ws(" ", "projected_demand", "saturation_penalty", F.col("required_instances").cast("string"), "status").alias("value"))
+    return (conclusion.filter("metric <> 'trend_metrics'").select(F.lit("conclusion").alias("name"), "service", F.col("metric").alias("item"), "value")
+            .unionByName(memory).unionByName(actions.select(F.lit("actions").alias("name"), "service", F.col("action").alias("item"), F.col("detail").alias("value"))))
+
+
 @query("diagnostics_tables", """
     WITH c AS (SELECT corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_tax) AS b FROM lineitem)
     SELECT 'summary' AS name, 0 AS position, 5::BIGINT AS rows UNION ALL SELECT 'overview', 1, 3

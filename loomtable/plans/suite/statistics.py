@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from loomtable.operators.forecast import (driver_elasticity, historical_alerts, scenario_simulation,
                                           short_term_forecast)
 from loomtable.operators.models import (cluster_kmeans, encode_binary_target, incomplete_row_counts,
                                         linear_regression, logistic_regression)
+from loomtable.operators.reports import diagnostics_report_tables
 from loomtable.operators.statistics import (correlation_analysis, diagnostics_report, distribution_analysis,
                                             distribution_summary, outlier_detection, outlier_summary,
                                             trend_analysis)
-from loomtable.plans.suite.base import Tables, query, rounded
+from loomtable.plans.suite.base import SQL, Tables, query, rounded, scratch_folder
+from loomtable.sources.exports import export_bundle
 
 
 @query("correlations", """
@@ -104,6 +108,29 @@ def diagnostics(spark, sf):
     return rounded(out.drop("note"), ["number", "share"], 6)
 
 
+@query("diagnostics_table_cells", f"""
+    WITH d AS ({SQL['diagnostics']})
+    SELECT 'summary' AS name, unnest(['report_name', 'report_status', 'risk_level', 'ready_for_decision', 'available_section_count']) AS item,
+           unnest(['diagnostics', status, CASE status WHEN 'ok' THEN 'normal' WHEN 'degraded' THEN 'attention' ELSE 'high' END,
+                   (status = 'ok')::VARCHAR, number::BIGINT::VARCHAR]) AS value FROM d WHERE section = 'report'
+    UNION ALL SELECT 'overview', section, concat(status, ' ', count(finding)) FROM d WHERE section <> 'report' GROUP BY section, status
+    UNION ALL SELECT CASE WHEN section = 'outlier' THEN 'correlation_outlier' ELSE 'distribution_trend' END,
+                     CASE WHEN status = 'ok' THEN finding || ':' || column_name ELSE 'status' END,
+                     CASE WHEN status = 'ok' THEN concat_ws(' / ', printf('%.4f', number), printf('%.2f%%', share * 100)) ELSE 'unavailable' END
+              FROM d WHERE section <> 'report'""")
+def diagnostics_table_cells(spark, sf):
+    """The cells of the report's tables, read back from their bundle."""
+    report = diagnostics_report(Tables(spark, sf).events, outlier={"columns": ["value"]}, distribution={"column": "value"},
+                                trend={"time_column": "month", "value_column": "value"})
+    root = scratch_folder(spark)
+    export_bundle(diagnostics_report_tables(report), root)
+    read = lambda n: spark.read.parquet(f"{root}/{n}").withColumn("name", F.lit(n))
+    shown = [read("summary").select("name", F.col("metric").alias("item"), "value"),
+             read("overview").select("name", F.col("section").alias("item"), F.concat_ws(" ", "status", F.col("finding_count").cast("string")).alias("value"))]
+    shown += [read(n).select("name", F.col("metric").alias("item"), "value") for n in ("correlation_outlier", "distribution_trend")]
+    return reduce(DataFrame.unionByName, shown)
+
+
 @query("incomplete_rows", """
     SELECT count(quality) AS row_count_used, count(*) - count(quality) AS dropped_rows
     FROM documents LEFT JOIN labels USING (doc_id)""")
