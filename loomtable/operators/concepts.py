@@ -34,24 +34,43 @@ def check_aliases(aliases: DataFrame) -> DataFrame:
     return one.select("alias_key", F.when(F.col("n") > 1, clash).otherwise(F.col("concept_id")).alias("concept_id"))
 
 
+@operator("alias_trie")
+def alias_trie(aliases: DataFrame) -> DataFrame:
+    """The aliases as steps (state, word, next_state, concept_id): a state is the words read so far, '' before the first.
+
+    Only the step that completes an alias has its concept.  An alias with several steps shares those of its beginning with others.
+    """
+    keys = check_aliases(aliases).select("concept_id", F.split("alias_key", " ").alias("w"))
+    steps = keys.select("concept_id", F.size("w").alias("n"), "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k")).select(
+        F.array_join(F.slice("w", F.lit(1), F.col("k") - 1), " ").alias("state"), F.element_at("w", F.col("k")).alias("word"),
+        F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("next_state"), F.when(F.col("k") == F.col("n"), F.col("concept_id")).alias("concept_id"))
+    return steps.groupBy("state", "word", "next_state").agg(F.max("concept_id").alias("concept_id"))
+
+
 @operator("route_questions")
 def route_questions(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Concepts named in each question: longest spans first, no overlaps.
 
-    Spans up to the longest alias become join keys; the spans that met an alias
-    come back to their question and are settled there by a fold.
+    Every word starts a walk through the trie of the aliases; a level joins the walks that are alive with their question's
+    next word and the steps from their state, and a walk that no alias continues is gone.  The walks end with the last
+    alive one, so a long alias costs only the walks that follow it.  Completed aliases are settled per question by a fold.
     """
     need_columns(questions, ["question_id", "question"])
-    keys = check_aliases(aliases)
-    longest = keys.agg(F.max(F.size(F.split("alias_key", " ")))).first()[0] or 1
-    words = questions.select("question_id", word_list(F.col("question")).alias("w"))
-    places = words.select("question_id", "w", F.posexplode_outer("w").alias("p", "one")).filter(F.col("p").isNotNull())
-    places = places.select("question_id", "w", (F.col("p") + 1).alias("start"))
-    spans = places.select("question_id", "start", F.explode(F.sequence(F.lit(1), F.least(
-        F.lit(longest), F.size("w") - F.col("start") + 1))).alias("length"), "w")
-    spans = spans.select("question_id", "start", "length",
-                         F.lower(F.array_join(F.slice("w", F.col("start"), F.col("length")), " ")).alias("alias_key"))
-    met = spans.join(keys, "alias_key").groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(
+    trie = cut_lineage(alias_trie(aliases))
+    words = questions.select("question_id", F.posexplode(F.transform(word_list(F.col("question")), F.lower)).alias("p", "word"))
+    words = cut_lineage(words.withColumn("p", F.col("p") + 1))
+    walks = words.select("question_id", F.col("p").alias("start"), F.col("p").alias("at"), F.lit("").alias("state"))
+    ended, length = None, 0
+    while True:
+        length += 1
+        walks = cut_lineage(walks.join(words.withColumnRenamed("p", "at"), ["question_id", "at"]).join(trie, ["state", "word"]).select(
+            "question_id", "start", (F.col("at") + 1).alias("at"), F.col("next_state").alias("state"), "concept_id"))
+        done = walks.filter(F.col("concept_id").isNotNull()).select("question_id", "start", F.lit(length).alias("length"), "concept_id")
+        ended = done if ended is None else ended.unionByName(done)
+        walks = walks.drop("concept_id")
+        if walks.isEmpty():
+            break
+    met = ended.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("length")).alias("o"), "start", "length", "concept_id"))).alias("spans"))
     none = F.array().cast("array<struct<o:int,start:int,length:int,concept_id:string>>")
 
