@@ -32,16 +32,18 @@ def group_and_aggregate(df: DataFrame, group_by: list[str], aggregations: list[d
 
 @operator("pivot_table")
 def pivot_table(df: DataFrame, rows: list[str], columns: list[str], values: list[str],
-                aggregation: str, headers: list[str] | None = None) -> DataFrame:
+                aggregation: str, headers: list[str] | None = None, max_headers: int = 10_000) -> DataFrame:
     """Sum, mean or count of one column; absent cells are null.
 
     Column keys are joined with `` | `` and sorted.  Pass ``headers`` when they are known: that saves the job that finds
-    them.  A table has as many columns as there are keys, so beyond some thousand use ``pivot_cells``.
+    them.  More than ``max_headers`` keys are an error; ``pivot_cells`` takes any number.
     """
     keyed, cell = _pivot_cells(df, rows, columns, values, aggregation)
     keys = [f"__r{i}" for i in range(len(rows))]
     if headers is None:
-        headers = sorted(r[0] for r in keyed.select("__p").distinct().collect())
+        headers = sorted(r[0] for r in keyed.select("__p").distinct().limit(max_headers + 1).collect())
+        if len(headers) > max_headers:
+            raise ValueError(f"more than {max_headers} headers; use pivot_cells")
     out = keyed.groupBy(*keys).pivot("__p", headers).agg(cell)
     return (out.select(*[F.col(k).alias(r) for k, r in zip(keys, rows)],
                        *[F.col(f"`{h}`") for h in headers]).orderBy(*rows))

@@ -233,20 +233,15 @@ def forward_fill(df: DataFrame, columns: list[str], keys: list[str], order_by: l
              .orderBy(*sort_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumns({c: F.coalesce(F.last(p, ignorenulls=True).over(w), F.col(f"`{c}`"))
                                for c, p in present.items()})
-    rows = (_number_in_chunks(_grouped(df, keys), sort_columns(order_by))
-            .withColumn("__block", F.floor((F.col("__rn") - 1) / size)))
-    earlier = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (rows.groupBy("__g", "__block")
-               .agg(*[F.max_by(p, F.when(p.isNotNull(), F.col("__rn"))).alias(f"__v{i}")
-                      for i, p in enumerate(present.values())])
-               .select("__g", "__block",
-                       *[F.last(f"__v{i}", ignorenulls=True).over(earlier).alias(f"__c{i}")
-                         for i in range(len(columns))]))
-    w = (Window.partitionBy("__g", "__block").orderBy("__rn")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({f"__l{i}": F.last(p, ignorenulls=True).over(w)
-                             for i, p in enumerate(present.values())})
-    rows = rows.join(carried, ["__g", "__block"])
-    rows = rows.withColumns({c: F.coalesce(F.col(f"__l{i}"), F.col(f"__c{i}"), F.col(f"`{c}`"))
-                             for i, c in enumerate(columns)})
+    # a fill inside ordered chunks and the last value before each chunk: no row needs a number of its own
+    order = sort_columns(order_by)
+    chunked = cut_lineage(_grouped(df, keys).repartitionByRange(F.col("__g"), *order).withColumn("__chunk", F.spark_partition_id()))
+    w = Window.partitionBy("__g", "__chunk").orderBy(*order)
+    rows = chunked.withColumns({"__n": F.row_number().over(w), **{f"__l{i}": F.last(p, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)) for i, p in enumerate(present.values())}})
+    earlier = Window.partitionBy("__g").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("__g", "__chunk").agg(*[F.max_by(f"__l{i}", "__n").alias(f"__v{i}") for i in range(len(columns))])
+    carried = ends.select("__g", "__chunk", *[F.last(f"__v{i}", ignorenulls=True).over(earlier).alias(f"__c{i}") for i in range(len(columns))])
+    rows = rows.join(carried, ["__g", "__chunk"]).withColumns({c: F.coalesce(F.col(f"__l{i}"), F.col(f"__c{i}"), F.col(f"`{c}`"))
+                                                              for i, c in enumerate(columns)})
     return rows.select(*df.columns)

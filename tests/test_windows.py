@@ -153,3 +153,24 @@ def test_long_pivot_has_the_cells_of_the_wide_one(frame):
     wide = pivot_table(df, ["r"], ["c"], ["v"], "sum").collect()
     long = {(r.r, r.header): r.value for r in pivot_cells(df, ["r"], ["c"], ["v"], "sum").collect()}
     assert long == {(w["r"], h): w[h] for w in wide for h in "xyz" if w[h] is not None}
+
+
+def test_a_pivot_refuses_more_headers_than_its_bound(frame):
+    df = frame("r string, c int, v int", ("x", 1, 1), ("x", 2, 2), ("y", 3, 3))
+    assert len(pivot_table(df, ["r"], ["c"], ["v"], "sum", max_headers=3).columns) == 4
+    with pytest.raises(ValueError, match="more than 2 headers"):
+        pivot_table(df, ["r"], ["c"], ["v"], "sum", max_headers=2)
+
+
+def test_a_fill_crosses_chunks_and_groups(frame, spark):
+    values = [(g, i, f"{g}{i}" if (i * 7 + len(g)) % 11 == 0 else [None, "", " "][i % 3]) for g in ("a", "bb") for i in range(400)]
+    df = frame("g string, i int, v string", *values, (None, 1, "n"), (None, 2, None)).repartition(6)
+    for keys in ([], ["g"]):
+        order = ["g", "i"] if not keys else ["i"]
+        got = {(r.g, r.i): r.v for r in forward_fill(df, ["v"], keys, order, block_rows=50).collect()}
+        last, group = None, object()
+        for g, i, v in sorted([*values, (None, 1, "n"), (None, 2, None)], key=lambda x: (x[0] is not None, x[0] or "", x[1])):
+            if keys and g != group:
+                last, group = None, g
+            last = v if v and v.strip() else last
+            assert got[g, i] == (last if last is not None else v), (keys, g, i)
