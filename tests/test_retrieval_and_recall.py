@@ -38,7 +38,7 @@ def brute(nodes, questions, scope, top_k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_nodes,top_k", [(1, 3), (8, 1), (8, 5), (1000, 7), (8, None), (16, 500)])
+@pytest.mark.parametrize("block_nodes,top_k", [(1, 3), (8, 5), (8, None), (1000, 500)])
 def test_retrieval_in_blocks_equals_scoring_every_node(frame, library, block_nodes, top_k):
     nodes, questions, scope = library
     index = node_blocks(frame(NODE, *nodes), block_nodes)
@@ -110,7 +110,7 @@ def same(got, docs, asked, n):
         assert [r.score for r in found[s]] == pytest.approx([x for _, x in want[s][:n]])
 
 
-@pytest.mark.parametrize("n,seeds,part", [(1, 200, 1 << 20), (3, 1, 1 << 20), (3, 200, 16), (40, 5, 50)])
+@pytest.mark.parametrize("n,seeds,part", [(1, 200, 1 << 20), (3, 1, 16), (40, 5, 50)])
 def test_recall_equals_scoring_every_memory(frame, memories, monkeypatch, n, seeds, part):
     monkeypatch.setattr(recall, "SEEDS", seeds)
     monkeypatch.setattr(recall, "PART", part)

@@ -42,7 +42,7 @@ def plain_folds(bars):
     return out
 
 
-@pytest.mark.parametrize("block_rows,scan_rows", [(None, 512), (None, 7), (None, 16), (200, 512), (256, 64), (5000, 100)])
+@pytest.mark.parametrize("block_rows,scan_rows", [(None, 512), (None, 7), (200, 512), (256, 64)])
 def test_scanned_blocks_equal_a_walk(frame, block_rows, scan_rows):
     data = {"LONG": walk("LONG", 1, 1300), "MID": walk("MID", 2, 40), "ONE": walk("ONE", 3, 1), "FLAT": [
         ("FLAT", dt.date(2020, 1, 1) + dt.timedelta(days=i), 5.0, 5.0, 5.0, 5.0, 5.0, 1) for i in range(30)]}
