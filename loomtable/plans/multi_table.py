@@ -1,7 +1,7 @@
 """Putting many tables together: append alike ones, then join the best pairs.
 
-The loop runs on the driver over *tables*; all row work is Spark jobs over
-per-key counts.  A plan is a list of steps; ``execute`` runs them behind limits
+The loop runs on the driver over *tables*; the links of all pairs of tables are found
+together, and those of a joined table with the rest once it is written.  A plan is a list of steps; ``execute`` runs them behind limits
 on unmatched rows and duplicate keys.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtable.operators.joins import join_preflight, join_tables
-from loomtable.operators.links import suggest_table_links
+from loomtable.operators.links import ranked_links
 from loomtable.operators.ordering import append_tables
 from loomtable.registry import operator
 from loomtable.session import cut_lineage
@@ -90,19 +90,21 @@ def plan_tables(tables: dict[str, DataFrame], max_link_candidates: int = 3) -> T
             made.add(ref)
         nodes.append((ref, df))
 
-    links: dict[tuple[str, str], dict | None] = {}
+    links: dict[tuple[str, str], dict] = {}
 
-    def best_link(a, b):
-        if (a[0], b[0]) not in links:
-            first = suggest_table_links(a[1], b[1], max_link_candidates).first()
-            links[(a[0], b[0])] = first.asDict() if first else None
-        return links[(a[0], b[0])]
+    def find_links(known: dict[str, DataFrame], pairs: list[tuple[str, str]]) -> None:
+        """The best link of every pair of tables, all counted in one job."""
+        found = ranked_links(known, pairs, 1) if pairs else None
+        for row in found.collect() if found is not None else []:
+            links[(row["left_table"], row["right_table"])] = row.asDict()
+
+    find_links(dict(nodes), [(a[0], b[0]) for i, a in enumerate(nodes) for b in nodes[i + 1:]])
 
     while True:
         best = None
         for i in range(len(nodes)):
             for j in range(i + 1, len(nodes)):
-                link = best_link(nodes[i], nodes[j])
+                link = links.get((nodes[i][0], nodes[j][0]))
                 if link is None:
                     continue
                 score = (2 if link["confidence"] == "high" else 1, link["match_row_count"])
@@ -121,6 +123,7 @@ def plan_tables(tables: dict[str, DataFrame], max_link_candidates: int = 3) -> T
         # later steps read the written rows instead of joining again
         nodes.append((f"{step}_result", cut_lineage(
             join_tables(left[1], right[1], link["left_column"], link["right_column"]))))
+        find_links(dict(nodes), [(ref, f"{step}_result") for ref, _ in nodes[:-1]])
     plan.unresolved_refs = [ref for ref, _ in nodes]
     return plan
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from loomtable.operators.joins import join_preflight, join_tables
-from loomtable.operators.links import candidate_pairs, suggest_table_links, suggest_table_workflow
+from loomtable.operators.links import candidate_pairs, link_counts, possible_pairs, suggest_table_links, suggest_table_workflow
 from loomtable.operators.lookups import fill_missing_from_lookup, lookup_values
 from loomtable.operators.reconcile import calendar_values, reconcile_sources
+from loomtable.plans import multi_table
 from loomtable.plans.multi_table import TablePlan, execute, plan_tables
 
 
@@ -146,3 +147,48 @@ def test_decimal_keys_meet_whole_ones(frame):
     left = frame("k decimal(10,2), a int", (Decimal("1.00"), 1), (Decimal("10.50"), 2), (Decimal("100.00"), 3))
     right = frame("k2 string, b int", ("1", 7), ("10.5", 8), ("100", 9), ("1.00", 10))
     assert sorted(r.b for r in join_tables(left, right, "k", "k2", "matched_only").collect()) == [7, 8, 9]
+
+
+def brute_links(left, right, a, b):
+    """match_row_count and both match rates, from plain counters."""
+    ls, rs = ([str(v).strip() for v in (r[c] for r in df.collect()) if v is not None and str(v).strip()]
+              for df, c in ((left, a), (right, b)))
+    lset, rset = set(ls), set(rs)
+    lm, rm = sum(v in rset for v in ls), sum(v in lset for v in rs)
+    return min(lm, rm), lm / max(len(ls), 1), rm / max(len(rs), 1)
+
+
+@pytest.mark.parametrize("shift", [0, 5_000, 12_000, 40_000])
+def test_sketches_rule_out_only_what_cannot_link(spark, shift):
+    """20,000 keys a side of which 20,000 - shift are shared; the right side holds key 7 another 9,000 times."""
+    left = spark.range(20_000).select(F.col("id").alias("order_id"), F.lit(" ").alias("note"))
+    right = (spark.range(shift, shift + 20_000).union(spark.range(9_000).select(F.lit(7)))
+             .select(F.concat(F.lit(" "), "id").alias("order_no"), F.lit("x").alias("note")))
+    tables, pair = {"l": left, "r": right}, (("l", "order_id"), ("r", "order_no"))
+    matched, lrate, rrate = brute_links(left, right, "order_id", "order_no")
+    row = link_counts(tables, [pair]).first()
+    assert (row.match_row_count, row.left_match_rate, row.right_match_rate) == (matched, lrate, rrate)
+    possible = possible_pairs(tables, [pair, (("l", "note"), ("r", "note"))])
+    if lrate >= 0.5 and rrate >= 0.5:
+        assert possible == [pair]
+    if shift == 40_000:
+        assert possible == []
+    assert [r.left_column for r in suggest_table_links(left, right).collect()] == (
+        ["order_id"] if matched and lrate >= 0.5 and rrate >= 0.5 else [])
+
+
+def test_links_of_empty_and_blank_tables(frame):
+    some, none = frame("user_id string", ("1",), (" ",), (None,)), frame("user_id string")
+    assert suggest_table_links(some, none).collect() == []
+    assert suggest_table_links(none, none).columns == suggest_table_links(some, some).columns
+    assert suggest_table_links(some, some).first().match_row_count == 1
+
+
+def test_plan_counts_all_pairs_of_tables_together(frame, monkeypatch):
+    calls = []
+    real = multi_table.ranked_links
+    monkeypatch.setattr(multi_table, "ranked_links", lambda *a: calls.append(a[1]) or real(*a))
+    parts = {n: frame(f"user_id string, {n} string", ("1", "x"), ("2", "y")) for n in "abcd"}
+    plan = multi_table.plan_tables(parts)
+    assert [s["action"] for s in plan.steps].count("join_tables") == 3 and len(plan.unresolved_refs) == 1
+    assert [len(c) for c in calls] == [6, 2, 1]
