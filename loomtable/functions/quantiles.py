@@ -1,80 +1,89 @@
-"""Exact linear-interpolation quantiles of many columns.
+"""Exact linear-interpolation quantiles of many columns in two scans.
 
-A mergeable sketch brackets each quantile, then only the values inside the brackets are counted, so no
-task holds a whole column.  A bracket that misses is replaced by the full range: the result is always exact.
+The first counts the values of all columns in bins that follow the order of the numbers (1/256 of a doubling wide), and
+sums tell which bins hold the wanted ranks.  The second counts only the values in those bins; a bin that holds one value
+only needs none.  Bins are combined before the shuffle, so a task sends a bounded number of rows per column, and no task
+holds a whole column.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_ACCURACY = 10_000
-_MARGIN = 0.0005
+#: bins per doubling, and the place of 2 ** -1100 below every double
+_FINE, _FLOOR = 256, 1100
+_NAN, _ZERO = 1_000_000, 0
+
+
+def value_bin(v: Column) -> Column:
+    """Whole number that never falls as the double grows: Java's logarithm is semi-monotonic, and so is all that follows.
+    NaN comes last, as Spark sorts it; infinities share the outermost bins but for NaN."""
+    size = F.least(F.floor((F.log2(F.abs(v)) + _FLOOR) * _FINE), F.lit(_NAN - 1)).cast("int")
+    return F.when(F.isnan(v), _NAN).when(v > 0, size).when(v < 0, -size).otherwise(_ZERO)
+
+
+def _long(values: DataFrame, places) -> DataFrame:
+    """(col, v): a row per cell of the columns c<place>; plain projections, as a filter of an array would leave the
+    generated code."""
+    cells = [f"{i}, c{i}" for i in places]
+    return values.select(F.expr(f"stack({len(cells)}, {', '.join(cells)}) as (col, v)")).filter("v is not null")
+
+
+def _ranks(total: Column, probabilities: list[float]) -> Column:
+    """The ranks (from 0) that the quantiles need: the one below and the one above each position."""
+    return F.array(*[f(p * (total - 1)).cast("bigint") for p in probabilities for f in (F.floor, F.ceil)])
+
+
+def _needed(total: int, probabilities: list[float]) -> list[int]:
+    """The same ranks of a known total."""
+    return sorted({f(p * (total - 1)) for p in probabilities for f in (math.floor, math.ceil)})
 
 
 def quantile_rows(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """Rows of (column_name, quantiles array<double>)."""
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    exact = _bracketed(values, columns, probabilities)
-    rows = [(c, exact[c]) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "column_name string, quantiles array<double>")
-
-
-def _bracketed(values: DataFrame, columns, probabilities) -> dict[str, list[float]]:
-    edges = sorted({min(1.0, max(0.0, p + s)) for p in probabilities for s in (-_MARGIN, _MARGIN)})
-    first = values.agg(*[e for i, c in enumerate(columns) for e in (
-        F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.min(F.col(f"`{c}`")).alias(f"lo{i}"),
-        F.max(F.col(f"`{c}`")).alias(f"hi{i}"),
-        F.percentile_approx(F.col(f"`{c}`"), edges, _ACCURACY).alias(f"e{i}"))]).first()
-    wanted, out = {}, {}
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        out[c] = [None] * len(probabilities)
-        for j, p in enumerate(probabilities if n else []):
-            at = dict(zip(edges, first[f"e{i}"]))
-            low = at[max(0.0, p - _MARGIN)] if p > _MARGIN else first[f"lo{i}"]
-            high = at[min(1.0, p + _MARGIN)] if p < 1 - _MARGIN else first[f"hi{i}"]
-            wanted[(c, j)] = (low, high, p * (n - 1))
-    found = _pick(values, wanted)
-    missed = {k: (None, None, v[2]) for k, v in wanted.items() if k not in found}
-    if missed:
-        found.update(_pick(values, missed))
-    for (c, j), v in found.items():
-        out[c][j] = v
-    return out
-
-
-def _pick(values: DataFrame, wanted: dict) -> dict:
-    """Values at the wanted positions, interpolated; only complete ones."""
-    if not wanted:
-        return {}
-    cells, below = [], []
-    for i, ((c, _), (low, high, _)) in enumerate(wanted.items()):
-        v = F.col(f"`{c}`")
-        inside = v.isNotNull() if low is None else v.between(low, high)
-        cells.append(F.when(inside, F.struct(F.lit(i).alias("id"), v.alias("v"))))
-        below.append(F.count(F.when(F.lit(False) if low is None else v < low, 1)).alias(f"b{i}"))
-    base = values.agg(*below).first()
-    counts = (values.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
-              .select("x.id", "x.v").groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")))
-    # about a thousandth of the distinct values lies in a bracket
-    earlier = Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    hit = None
-    for i, (_, _, position) in enumerate(wanted.values()):
-        for k in {math.floor(position), math.ceil(position)}:
-            k -= base[f"b{i}"]
-            test = (F.col("id") == i) & (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-            hit = test if hit is None else hit | test
-    rows = ranked.filter(hit).select("id", "v", "before", "n").collect()
-    out = {}
-    for i, (key, (_, _, position)) in enumerate(wanted.items()):
-        ends = []
-        for k in (math.floor(position), math.ceil(position)):
-            k -= base[f"b{i}"]
-            ends += [r["v"] for r in rows if r["id"] == i and r["before"] <= k < r["before"] + r["n"]]
-        if len(ends) == 2:
-            out[key] = ends[0] + (ends[1] - ends[0]) * (position - math.floor(position))
-    return out
+    # a negative zero equals zero everywhere but in a grouping
+    values = df.select(*[(F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    bins = (_long(values, range(len(columns))).withColumn("bin", value_bin(F.col("v"))).groupBy("col", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    # a column has at most 2,200 doublings of bins, so its bins fit one task
+    of = Window.partitionBy("col")
+    placed = bins.select("*", (F.col("lo") == F.col("hi")).alias("single"), F.sum("n").over(of).alias("total"), F.coalesce(F.sum("n").over(
+        of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    held = placed.filter(F.exists(_ranks(F.col("total"), probabilities),
+                                  lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))))
+    found = held.collect()  # at most two bins per quantile and column
+    wanted = {i: [r for r in found if r["col"] == i] for i in range(len(columns))}
+    out = {i: [None] * len(probabilities) for i in wanted}
+    picked = {(i, k): r["lo"] for i, rows in wanted.items() for r in rows if r["single"]
+              for k in _needed(r["total"], probabilities) if r["before"] <= k < r["before"] + r["n"]}
+    open_bins = [r for r in found if not r["single"]]
+    if open_bins:
+        picked.update(_values_at(values, probabilities, open_bins))
+    for i, rows in wanted.items():
+        for j, p in enumerate(probabilities if rows else []):
+            at = p * (rows[0]["total"] - 1)
+            low, high = picked[(i, math.floor(at))], picked[(i, math.ceil(at))]
+            out[i][j] = low if low == high else low + (high - low) * (at - math.floor(at))
+    return df.sparkSession.createDataFrame([(c, out[i]) for i, c in enumerate(columns)],
+                                           "column_name string, quantiles array<double>")
+
+
+def _values_at(values: DataFrame, probabilities: list[float], bins: list) -> dict:
+    """(column, rank) -> value, by counting the values in the given bins."""
+    place = F.lit(None).cast("int")
+    for b, r in enumerate(bins):
+        place = F.when((F.col("col") == r["col"]) & F.col("v").between(r["lo"], r["hi"]), b).otherwise(place)
+    some = values.filter(reduce(or_, [F.col(f"c{r['col']}").between(r["lo"], r["hi"]) for r in bins]))
+    counts = (_long(some, sorted({r["col"] for r in bins})).select(place.alias("at"), "v").filter("at is not null")
+              .groupBy("at", "v").agg(F.count(F.lit(1)).alias("n")))
+    earlier = Window.partitionBy("at").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.array(*[F.lit(r["before"]) for r in bins])
+    ranks = F.array(*[F.array(*[F.lit(k) for k in _needed(r["total"], probabilities)]) for r in bins])
+    placed = counts.withColumn("before", F.get(start, "at") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    hit = placed.select("at", "v", F.explode(F.filter(
+        F.get(ranks, "at"), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))).alias("rank"))
+    return {(bins[r["at"]]["col"], r["rank"]): r["v"] for r in hit.collect()}

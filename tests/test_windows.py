@@ -1,10 +1,12 @@
+import math
 import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from conftest import column, rows
-from loomtable.functions.quantiles import quantile_rows
+from loomtable.functions.quantiles import quantile_rows, value_bin
 from loomtable.operators.grouping import group_and_aggregate, pivot_cells, pivot_table
 from loomtable.operators.ordering import append_tables, deduplicate_by_key, distinct_rows, sort_rows, top_n
 from loomtable.operators.windows import forward_fill, number_rows, window_calculation
@@ -117,6 +119,30 @@ def test_exact_quantiles(spark):
             assert value == pytest.approx(v[low] + (v[high] - v[low]) * (p - low))
 
 
+def test_quantiles_of_odd_numbers(spark):
+    """Signs, zeros, the smallest and largest doubles, infinities, NaN last, ties, an empty column; against a sorted list."""
+    rng = random.Random(4)
+    tiny, huge, inf = 5e-324, 1.7976931348623157e308, float("inf")
+    odd = [0.0, -0.0, tiny, -tiny, 2 ** -1022, 1.0, 2.0, 2.0 - 2 ** -52, 2.0 + 2 ** -51, huge, -huge, inf, -inf, float("nan")]
+    columns = {"odd": odd, "near": [1 + rng.randrange(400) * 2 ** -52 for _ in odd * 30], "none": [], "one": [3.5],
+               "wide": [math.copysign(2.0 ** rng.uniform(-1070, 1020), rng.choice([1, -1])) for _ in odd * 30]}
+    height = max(map(len, columns.values()))
+    data = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(height)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = {r[0]: r[1] for r in quantile_rows(df, list(columns), [0.0, 0.5, 1.0]).collect()}
+    for name, v in columns.items():
+        v = sorted(v, key=lambda x: (math.isnan(x), x))
+        if not v:
+            assert got[name] == [None] * 3
+            continue
+        middle = (len(v) - 1) / 2
+        low, high = v[math.floor(middle)], v[math.ceil(middle)]
+        want = [v[0], low if low == high else low + (high - low) * (middle - math.floor(middle)), v[-1]]
+        assert [repr(x) for x in got[name]] == [repr(x) for x in want], name
+    ordered = [r[0] for r in df.select("wide").filter("wide is not null").orderBy(value_bin(F.col("wide")), "wide").collect()]
+    assert ordered == sorted(columns["wide"])
+
+
 def test_group_and_pivot(frame):
     df = frame("region string, month string, sales bigint", ("East", "Jan", 150), ("East", "Feb", 50), ("West", "Jan", 150),
                (None, "Jan", None))
