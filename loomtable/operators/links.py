@@ -54,7 +54,8 @@ def _cells(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> Data
         df = tables[ref]
         cells = [F.when(~is_blank(df, c), F.struct(F.lit(i).alias("col"), strip(text_of(df, c)).alias("key")))
                  for i, (t, c) in enumerate(columns) if t == ref]
-        parts.append(df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*"))
+        # blanks go after the explode: array_compact would leave the generated code
+        parts.append(df.select(F.explode(F.array(*cells)).alias("x")).filter("x is not null").select("x.*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -182,7 +182,8 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
                  max_iterations: int = 100) -> Clusters:
     """Farthest-first start from the first row by ``row_id``, then Lloyd rounds.
 
-    Every round is one grouped aggregate over a cached projection.  Centres come
+    Equal points are folded into one point with their count and smallest id, combined before the shuffle, so a
+    round costs the distinct points.  Every round is one grouped aggregate over them, cached.  Centres come
     back to the driver (clusters x features numbers) and enter the next round as
     literals, so the plan does not grow from round to round.
     """
@@ -195,9 +196,12 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
     x = [F.col(n) for n in names]
     data = df.select(F.col(f"`{row_id}`").alias("id"), *[F.col(f"`{f}`").cast("double").alias(n)
                                                          for f, n in zip(features, names)])
-    data = data.dropna(subset=names).repartition("id").persist(StorageLevel.MEMORY_AND_DISK)
+    data = (data.dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    means = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in names]
+    sizes_and_sums = [F.sum("n").alias("n"), F.sum(F.col("__d") * F.col("n")).alias("d")]
     try:
-        first = data.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*names), "id").alias("c")).first()
+        first = data.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min_by(F.struct(*names), "id").alias("c")).first()
         if cluster_count > first["n"]:
             raise ValueError(f"{cluster_count} clusters need at least as many rows, not {first['n']}")
         centers = [list(first["c"])]
@@ -209,7 +213,7 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
             centers.append([far[n] for n in names])
         for _ in range(max(1, max_iterations)):
             rows = (_with_nearest(data, x, centers).groupBy("__k")
-                    .agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("d"), *[F.avg(n).alias(n) for n in names]).collect())
+                    .agg(*sizes_and_sums, *means).collect())
             moved = [list(c) for c in centers]
             for r in rows:
                 moved[r["__k"]] = [r[n] for n in names]
@@ -219,7 +223,7 @@ def fit_clusters(df: DataFrame, features: list[str], cluster_count: int, row_id:
                 break
         # the last round found the same centres again, so its sizes and distances hold
         final = rows if still else (_with_nearest(data, x, centers).groupBy("__k")
-                                    .agg(F.count(F.lit(1)).alias("n"), F.sum("__d").alias("d")).collect())
+                                    .agg(*sizes_and_sums).collect())
         sizes = [0] * cluster_count
         for r in final:
             sizes[r["__k"]] = r["n"]

@@ -22,7 +22,8 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = [F.when(~is_placeholder(df, c), F.struct(F.lit(c).alias("column_name"),
                                                      text_of(df, c).alias("value")))
              for c in columns]
-    return (df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+    # placeholders go after the explode: array_compact would leave the generated code
+    return (df.select(F.explode(F.array(*cells)).alias("x")).filter("x is not null").select("x.*")
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 

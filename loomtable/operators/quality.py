@@ -147,7 +147,7 @@ def _counts_by(df: DataFrame, columns: list[str], value, extra=None) -> DataFram
     """(column_name, value, n, ...) over the non-blank cells of text columns."""
     cells = [F.when(~is_blank(df, c), F.struct(F.lit(c).alias("column_name"),
                                                strip(text_of(df, c)).alias("cell"))) for c in columns]
-    rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+    rows = df.select(F.explode(F.array(*cells)).alias("x")).filter("x is not null").select("x.*")
     return rows.withColumn("value", value(F.col("cell")))
 
 

@@ -165,6 +165,14 @@ def test_kmeans(frame):
         cluster_kmeans(frame("i int, x double", (1, 2.0), (2, 2.0)), ["x"], 2, "i")
 
 
+def test_kmeans_folds_equal_points(frame):
+    """Copies weigh as rows: the centres of a table and of the same table with each point many times over differ as the means do."""
+    points = [(0.0, 0.0)] * 40 + [(1.0, 0.0)] * 20 + [(9.0, 9.0)] * 5 + [(9.0, 10.0)] * 15 + [(-0.0, 0.0)] * 3
+    m = fit_clusters(frame("i int, x double, y double", *[(i, *p) for i, p in enumerate(points)]), ["x", "y"], 2, "i")
+    assert m.sizes == [63, 20] and m.row_count_used == 83
+    assert [[round(float(v), 9) for v in c] for c in m.centers] == [[round(20 / 63, 9), 0.0], [9.0, 9.75]]
+
+
 def test_kmeans_against_a_plain_model(frame):
     rng = random.Random(8)
     data = [(rng.gauss(c, 1.5), rng.gauss(-c, 1.5)) for c in (0, 4, 9) for _ in range(30)]
