@@ -47,7 +47,11 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+    """Doubles are rounded as SQL engines round them, the scaled number to a whole one; Spark's own rounding goes by the printed digits,
+    which differs where a quotient ends in a 5 just behind them (0.0015625)."""
+    kinds, scale = dict(df.dtypes), 10.0 ** digits
+    return df.withColumns({c: F.round(F.col(f"`{c}`") * scale) / scale if kinds[c] == "double" else F.round(F.col(f"`{c}`"), digits)
+                           for c in columns})
 
 
 def day_text(c: str | Column) -> Column:
