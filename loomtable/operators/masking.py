@@ -12,6 +12,10 @@ Han characters and accented Latin letters among these.  Lengths, punctuation and
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomtable.functions.checks import need_columns, need_numeric, need_some
@@ -20,6 +24,8 @@ from loomtable.registry import operator
 
 KINDS = ("token", "word", "shift_date", "scale_number", "permute", "constant")
 ROUNDS = 4
+#: characters that are permuted together
+MOST_CHARS = 1 << 20
 # First code and size of the blocks in which characters are permuted.
 BLOCKS = ((48, 10), (65, 26), (97, 26), (192, 64), (19968, 20992))
 # Words in headers and the mask they stand for; the first that a header holds decides.
@@ -96,25 +102,26 @@ def _with_words(df: DataFrame, words: list[tuple[str, str]], salt: str, vocabula
     return df.select(*[f"`{c}`" for c in columns])
 
 
-def _shifted(half: Column, other: Column, salt: str, purpose: str, leading: bool) -> Column:
-    """The half with each character moved inside its block, by four digits of the other half's digest each."""
-    digest = F.sha2(F.concat(F.lit(f"{salt}|{purpose}|"), other), 256)
-
-    def moved(c: Column, i: Column) -> Column:
-        code = F.ascii(c)
-        by = F.conv(F.substring(digest, (i * 2) % 60 + 1, F.lit(4)), 16, 10).cast("int")
-        out = F.when((i == 0) & code.between(49, 57), F.char((code - 49 + by) % 9 + 49)).when(i == 0, c) if leading else None
-        for start, size in BLOCKS:
-            inside, new = code.between(start, start + size - 1), _char((code - start + by) % size + start)
-            out = F.when(inside, new) if out is None else out.when(inside, new)
-        return out.otherwise(c)
-
-    return F.array_join(F.transform(F.split(half, ""), moved), "")
-
-
-def _char(code: Column) -> Column:
-    """The character of a code, of any block."""
-    return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 4, "0")), "UTF-16BE")
+def _moved(halves: list[str], others: list[str], salted: bytes, leading: bool) -> list[str]:
+    """The halves with each character moved inside its block, by two bytes of the other half's digest each."""
+    length = np.array([len(h) for h in halves])
+    end = np.cumsum(length)
+    row = np.repeat(np.arange(len(halves)), length)
+    place = np.arange(len(row)) - np.repeat(end - length, length)
+    code = np.frombuffer("".join(halves).encode("utf-32-le"), np.uint32).astype(np.int64)
+    digest = np.frombuffer(b"".join([hashlib.sha256(salted + o.encode()).digest() for o in others]), np.uint8).reshape(-1, 32)
+    by = digest[row, place % 30].astype(np.int64) * 256 + digest[row, place % 30 + 1]
+    out = code.copy()
+    for start, size in BLOCKS:
+        inside = (code >= start) & (code < start + size)
+        out[inside] = (code[inside] - start + by[inside]) % size + start
+    if leading:
+        first = place == 0
+        digit = first & (code >= 49) & (code <= 57)
+        out[first] = code[first]
+        out[digit] = (code[digit] - 49 + by[digit]) % 9 + 49
+    text = out.astype(np.uint32).tobytes().decode("utf-32-le")
+    return [text[e - n:e] for e, n in zip(end.tolist(), length.tolist())]
 
 
 def _permuted(value: Column, kind: T.DataType, salt: str, purpose: str) -> Column:
@@ -126,28 +133,41 @@ def _permuted(value: Column, kind: T.DataType, salt: str, purpose: str) -> Colum
     # numbers as long as the type's largest keep their first two digits; those that start like the largest keep all
     text = F.regexp_replace(value.cast("string"), "^-", "")
     long, near = F.length(text) == len(str(most)), F.substring(text, 1, 2) >= str(most)[:2]
-    digits = (F.when(~long, _feistel(text, salt, purpose, True)).when(near, text)
-              .otherwise(F.concat(F.substring(text, 1, 2), _feistel(F.substring(text, 3, 20), salt, purpose, False))))
+    # a Python column is made for every row: each of the two gets only the texts that it serves
+    short, rest = F.when(~long, text), F.when(long & ~near, F.substring(text, 3, 20))
+    digits = (F.when(~long, _feistel(short, salt, purpose, True)).when(near, text)
+              .otherwise(F.concat(F.substring(text, 1, 2), _feistel(rest, salt, purpose, False))))
     return F.concat(F.when(value < 0, "-").otherwise(""), digits).cast(kind)
 
 
 def _feistel(text: Column, salt: str, purpose: str, leading: bool) -> Column:
     """Rounds over the two halves of a text; with ``leading`` the first character is a digit that does not become 0.
 
-    Halves travel as a struct from round to round, so that each round's expression stands in the plan once.
+    The different texts of an Arrow batch are permuted together, ``MOST_CHARS`` characters or one text at a time.
     """
-    n = F.ceil(F.length(text) / 2).cast("int")
-    halves = F.struct(F.substring(text, F.lit(1), n).alias("a"), F.substring(text, n + 1, F.length(text)).alias("b"))
-
-    def round_(h: Column, turn: Column) -> Column:
-        return F.when(turn % 2 == 1, F.struct(_turned(h["a"], h["b"], turn, True).alias("a"), h["b"].alias("b"))).otherwise(
-            F.struct(h["a"].alias("a"), _turned(h["b"], h["a"], turn, False).alias("b")))
-
-    def _turned(half: Column, other: Column, turn: Column, first: bool) -> Column:
-        return _shifted(half, F.concat(turn.cast("string"), F.lit("|"), other), salt, purpose, leading and first)
-
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, round_)
-    return F.when(text.isNotNull(), F.concat(done["a"], done["b"]))
+    def rounds(texts: list[str]) -> list[str]:
+        a, b = [t[:-(-len(t) // 2)] for t in texts], [t[-(-len(t) // 2):] for t in texts]
+        for turn in range(1, ROUNDS + 1):
+            salted = f"{salt}|{purpose}|{turn}|".encode()
+            if turn % 2:
+                a = _moved(a, b, salted, leading)
+            else:
+                b = _moved(b, a, salted, False)
+        return [x + y for x, y in zip(a, b)]
+
+    def permuted(column: pa.Array) -> pa.Array:
+        coded = column.dictionary_encode()
+        texts, done, start = coded.dictionary.to_pylist(), [], 0
+        while start < len(texts):
+            stop, chars = start + 1, len(texts[start])
+            while stop < len(texts) and chars + len(texts[stop]) <= MOST_CHARS:
+                chars += len(texts[stop])
+                stop += 1
+            done += rounds(texts[start:stop])
+            start = stop
+        return pa.array(done, pa.string()).take(coded.indices)
+
+    return F.arrow_udf(permuted, "string")(text)
 
 
 @operator("mask_rules")

@@ -68,3 +68,12 @@ def test_a_table_is_masked_without_naming_its_columns(spark, frame):
 def test_what_cannot_be_permuted(frame):
     with pytest.raises(ValueError, match="permute needs"):
         permuted(frame("x double", (1.0,)), "x")
+
+
+def test_texts_are_permuted_in_batches_not_character_by_character_in_the_plan(spark, frame):
+    df = frame("t string, n bigint", ("Customer#000000001", 1234), ("", 0), (None, None), ("Customer#000000001", -1234), ("x" * 3_000_000, 9))
+    out = mask_table(df, "pepper")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "ArrowEvalPython" in plan
+    one, empty, nulls, again, long = out.collect()
+    assert one.t == again.t and one.n == -again.n and empty.t == "" and tuple(nulls) == (None, None) and len(long.t) == 3_000_000
