@@ -6,6 +6,9 @@ rich the block's richest node is.  A top-k search looks into a question's most p
 floor, and blocks whose bound stays below it are never opened.  An opened block answers up to ``CHUNK`` questions at once and
 sends back at most k nodes for each, so what is shuffled grows with questions, opened blocks and k, not with the pairs that share
 a word.  No key is larger than a block: hot concepts have many blocks, common words are only looked up inside them.
+
+An index that is made for known questions keeps only words that one of them may hold, by one bit per word in a summary of fixed size: two
+words may share a bit, which keeps a word too many and changes no score.  Such an index is a small part of the texts.
 """
 
 from __future__ import annotations
@@ -21,15 +24,18 @@ from loomtable.registry import operator
 from loomtable.session import beside_large, cut_lineage, stored
 
 BLOCK, CHUNK, FIRST_BLOCKS = 256, 256, 2
+#: numbers of 64 bits in the summary of the asked words; words of the nodes that one task lists block by block
+SLOTS, PART_WORDS = 1 << 14, 1 << 21
 _PLACE = ["concept_id", "block"]
 
 
 @operator("node_blocks")
-def node_blocks(nodes: DataFrame, block_nodes: int = BLOCK) -> DataFrame:
+def node_blocks(nodes: DataFrame, block_nodes: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
     """concept_id, block, richest, node_id, words: the nodes of each concept in blocks of about ``block_nodes``.
 
     Nodes are sorted into two classes per doubling of their number of words, and each class of a concept is dealt into
-    blocks by the fingerprint of the node id.  The words are read once and the rows are written out.
+    blocks by the fingerprint of the node id.  The words are read once and the rows are written out.  With ``asked`` (lists of ``words``) other
+    words may be left out, and nodes with none of them; the index then serves these questions only.
     """
     need_columns(nodes, ["node_id", "title", "body", "concept_ids"])
     if block_nodes < 1:
@@ -37,12 +43,33 @@ def node_blocks(nodes: DataFrame, block_nodes: int = BLOCK) -> DataFrame:
     # one shuffle spreads the reading of words, however few files hold the nodes
     held = nodes.select("node_id", "title", "body", "concept_ids").repartition("node_id").select(
         "node_id", F.array_distinct("concept_ids").alias("concepts"), word_set(F.concat_ws(" ", "title", "body")).alias("words"))
+    if asked is not None:
+        may = lambda w: F.getbit(F.get("bits", _slot(w)), _bit(w)) == 1
+        held = held.crossJoin(F.broadcast(_summary(asked))).select("node_id", "concepts", F.filter("words", may).alias("words"))
     # an outer explode keeps the tokenising below it from being repeated in filters
     rows = held.select("node_id", "words", F.size("words").alias("n"), F.explode_outer("concepts").alias("concept_id"))
     rows = stored(rows).filter((F.col("n") > 0) & F.col("concept_id").isNotNull()).withColumn("kind", F.floor(F.log2("n") * 2))
-    classes = rows.groupBy("concept_id", "kind").agg(F.ceil(F.count(F.lit(1)) / block_nodes).alias("blocks"), F.max("n").alias("richest"))
+    classes = cut_lineage(rows.groupBy("concept_id", "kind").agg(F.ceil(F.count(F.lit(1)) / block_nodes).alias("blocks"), F.max("n").alias("richest")))
     block = F.struct(F.col("kind"), F.pmod(F.xxhash64("node_id"), F.col("blocks")).alias("part"))
-    return rows.join(classes, ["concept_id", "kind"]).select("concept_id", block.alias("block"), "richest", "node_id", "words")
+    return rows.join(beside_large(classes), ["concept_id", "kind"]).select("concept_id", block.alias("block"), "richest", "node_id", "words")
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(SLOTS))
+
+
+def _bit(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(64)).cast("int")
+
+
+def _summary(asked: DataFrame) -> DataFrame:
+    """One row: ``SLOTS`` numbers that have the bits of all words set."""
+    word = F.col("word")
+    some = asked.select(F.explode("words").alias("word")).select(
+        _slot(word).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(word)).alias("bits"))
+    every = asked.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("bigint").alias("bits"))
+    each = some.unionByName(every).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    return each.agg(F.sort_array(F.collect_list(F.struct("slot", "bits"))).alias("s")).select(F.col("s.bits").alias("bits"))
 
 
 def _scored(index: DataFrame, wanted: DataFrame, top_k: int | None) -> DataFrame:
@@ -51,7 +78,7 @@ def _scored(index: DataFrame, wanted: DataFrame, top_k: int | None) -> DataFrame
     A group is one block and one chunk of questions.  Only scores of at least the floor leave it, at most ``top_k`` a question.
     """
     chunks = wanted.select(*_PLACE, "chunk").distinct()
-    held = index.select(*_PLACE, "node_id", "words").join(chunks, _PLACE).select(*_PLACE, "chunk", "node_id", "words")
+    held = index.select(*_PLACE, "node_id", "words").join(beside_large(chunks), _PLACE).select(*_PLACE, "chunk", "node_id", "words")
     kinds = {"question_id": wanted.schema["question_id"].dataType.simpleString(), "node_id": index.schema["node_id"].dataType.simpleString()}
 
     def run(nodes: pa.Table, questions: pa.Table) -> pa.Table:
@@ -102,8 +129,8 @@ def retrieve_nodes(questions: DataFrame, scope: DataFrame, nodes: DataFrame, top
     """
     need_columns(questions, ["question_id", "question"])
     need_columns(scope, ["question_id", "concept_id"])
-    blocks = node_blocks(nodes) if index is None else index
     asked = questions.select("question_id", word_set(F.coalesce("question", F.lit(""))).alias("words"))
+    blocks = node_blocks(nodes, asked=asked) if index is None else index
     # questions of a chunk meet a block together; their number per chunk is about CHUNK
     chunks = F.greatest(F.lit(1), F.ceil(F.lit(questions.count() / CHUNK)))
     wanted = scope.select("question_id", "concept_id").distinct().join(asked.filter(F.size("words") > 0), "question_id")
@@ -128,9 +155,15 @@ def retrieve_nodes(questions: DataFrame, scope: DataFrame, nodes: DataFrame, top
 
 
 def _bounds(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """question_id, concept_id, block, bound: no node of the block shares more words with the question."""
+    """question_id, concept_id, block, bound: no node of the block shares more words with the question.
+
+    The rows of a block are brought together before their words are listed, so that a word leaves a block once; the parts grow in number
+    with the words and not in size.
+    """
+    listed = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-listed // PART_WORDS))
     asked = wanted.select("question_id", "concept_id", F.explode("words").alias("word"))
-    words = (blocks.select(*_PLACE, "richest", F.explode("words").alias("word"))
+    words = (blocks.repartition(parts, *_PLACE).select(*_PLACE, "richest", F.explode("words").alias("word"))
              .join(beside_large(asked.select("concept_id", "word").distinct()), ["concept_id", "word"], "left_semi").distinct())
-    return (words.join(asked, ["concept_id", "word"]).groupBy("question_id", *_PLACE)
+    return (words.join(beside_large(asked), ["concept_id", "word"]).groupBy("question_id", *_PLACE)
             .agg(F.least(F.count(F.lit(1)), F.max("richest")).alias("bound")))

@@ -74,6 +74,29 @@ def test_retrieval_of_nothing(frame, library):
         node_blocks(n, 0)
 
 
+@pytest.mark.parametrize("slots,top_k", [(1 << 14, 4), (1, 4), (1, None)])
+def test_an_index_for_known_questions_keeps_their_words_only(frame, library, monkeypatch, slots, top_k):
+    """What is written and shuffled is a small part of the texts; words that share a bit change no score."""
+    nodes, questions, scope = library
+    nodes = [(n, t, f"{b or ''} " + " ".join(f"other{n}x{i}" for i in range(50)), c) for n, t, b, c in nodes]
+    written, stored = [], retrieval.stored
+    monkeypatch.setattr(retrieval, "SLOTS", slots, raising=False)
+    monkeypatch.setattr(retrieval, "PART_WORDS", 100, raising=False)
+    monkeypatch.setattr(retrieval, "stored", lambda df: written.append(stored(df)) or written[-1])
+    got = retrieve_nodes(frame("question_id int, question string", *questions), frame("question_id int, concept_id string", *scope), frame(NODE, *nodes), top_k)
+    assert sorted(tuple(r) for r in got.select("question_id", "node_id", "score").collect()) == brute(nodes, questions, scope, top_k)
+    asked = {w for _, t in questions for w in re.findall(r"[a-z0-9]+", (t or "").lower())}
+    kept = collections.Counter(w in asked for r in written[0].collect() for w in r.words)
+    assert kept[False] < (0.05 if slots > 1 else 1000) * kept[True] and len(written) == 1
+
+
+def test_blocks_are_looked_up_without_moving_the_index(frame, library):
+    nodes, questions, scope = library
+    index = node_blocks(frame(NODE, *nodes), 8)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 # ---- recall ----
 
 def plain_scores(docs, asked):
